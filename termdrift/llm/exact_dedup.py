@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from termdrift.llm.tables import shared_folder, written
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a store per partition, most of them small, so none claims disk space ahead.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -32,8 +35,9 @@ def stream_groups(arrivals_path: str, schema, spark, folder: str, files_per_batc
     """digest, keep_id, keep_at, group_size, from a stream over the files of arrivals_path.
 
     Run again on the same folder with more files, it goes on from its state."""
-    before = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         reader = spark.readStream.schema(schema)
         if files_per_batch:
@@ -48,10 +52,8 @@ def stream_groups(arrivals_path: str, schema, spark, folder: str, files_per_batc
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     kinds = "digest binary, keeper struct<doc_id:long,at:string>, group_size long, batch int"
     changed = spark.read.schema(kinds).parquet(f"{folder}/changed")
     last = changed.groupBy("digest").agg(F.max_by(F.struct("keeper", "group_size"), "batch").alias("g"))
@@ -73,7 +75,7 @@ def mark_copies(documents: DataFrame, digest=sha256, files_per_batch: int | None
     multiple = groups.where("group_size > 1").select("digest", "keep_id")
     hits = arrivals.select("doc_id", "digest").join(multiple, "digest").select(F.col("doc_id").alias("hit_id"), "keep_id", "digest").distinct()
     texts = documents.select(F.col("doc_id").alias("hit_id"), text.alias("bytes")).join(hits, "hit_id")
-    texts = texts.where(digest(F.col("bytes")).cast("binary") == F.col("digest"))
+    texts = written(texts.where(digest(F.col("bytes")).cast("binary") == F.col("digest")), "exact-dedup-hits")
     stays = texts.where("hit_id = keep_id").select("keep_id", "digest", F.col("bytes").alias("kept_bytes"))
     differing = texts.where("hit_id <> keep_id").join(stays, ["keep_id", "digest"]).where("bytes <> kept_bytes").select("digest")
     shared = written(differing.distinct(), "exact-dedup-differing")

@@ -51,8 +51,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    documents = read(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return exact_dedup.mark_copies(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
