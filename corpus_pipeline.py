@@ -39,7 +39,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 2000)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -22,31 +22,49 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A word of the letters up to U+00FF, whose case folds alike everywhere, and a sign behind it.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
 class RunIds:
     """Run of non-blank characters -> its ids as little-endian 32-bit bytes. The vocabulary drops blanks and no merge
     crosses them, so a text's ids are those of its runs. New runs of a batch are encoded together, with a mark between
-    them; past the limit only what the batch at hand uses is kept."""
+    them; what goes unused while
+    `limit` others come is forgotten."""
 
     MARK = "~"
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.limit = limit
         (self.mark,) = self._encode(self.MARK)
+        self.stop, self.comma = (array("i", self._encode(c)).tobytes() for c in ".,")
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, runs: list[str]) -> None:
-        known, mark = self.known, self.mark
-        together = [r for r in runs if self.MARK not in r]
+        """Adds runs to those known. A plain word with a full stop or a comma is two parts to the vocabulary, and case
+        is folded, so that its word is looked up and encoded alone, once."""
+        plain = [run for run in runs if PLAIN(run)]
+        words = [run.rstrip(".,").lower() for run in plain]
+        if len(self.words) > self.limit:
+            self.words = {}
+        self._encode_into(self.words, list(set(words).difference(self.words)))
+        tails = {".": self.stop, ",": self.comma}
+        self.known.update(zip(plain, map(self.words.__getitem__, words), strict=True))
+        self.known.update((run, self.known[run] + tails[run[-1]]) for run in plain if run[-1] in tails)
+        self._encode_into(self.known, [run for run in runs if run not in self.known])
+
+    def _encode_into(self, known: dict[str, bytes], runs: list[str]) -> None:
+        together, mark = [r for r in runs if self.MARK not in r], self.mark
         for k in range(0, len(together), 4000):
             some = together[k : k + 4000]
             ids, at = self._encode(f" {self.MARK} ".join(some) + f" {self.MARK}"), 0
@@ -63,9 +81,12 @@ class RunIds:
         odd = re.compile("[\x1c-\x1f]").search
         split = [t.split() if t and not odd(t) else [t] if t else [] for t in texts]
         runs = set(chain.from_iterable(split))
-        if len(self.known) + len(runs) > self.limit:
-            self.known = {r: self.known[r] for r in runs & self.known.keys()}
-        self._learn(list(runs.difference(self.known)))
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        new, older = runs.difference(self.known), self.older
+        back = new & older.keys()
+        self.known.update((run, older[run]) for run in back)
+        self._learn(list(new - back))
         of = self.known.__getitem__
         return [b"".join(map(of, s)) for s in split]
 
@@ -116,7 +137,10 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: in
     and the sum of squared fills only grows, so it ends."""
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     rest = [b for b in bins if sum(lengths[i] for i in b) < capacity]
+    least = -(-sum(lengths) // capacity)
     for _ in range(rounds):
+        if len(full) + len(rest) <= least:  # no bin can be emptied
+            break
         rest.sort(key=lambda b: (-sum(lengths[i] for i in b), b))
         changed = False
         for k in range(len(rest) - 1, 0, -1):  # the least filled gives
