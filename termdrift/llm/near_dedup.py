@@ -8,8 +8,9 @@ matches a link at exactly 0.8 escapes about once in two million times, a closer
 
 Prefix: classes that agree in m of K coordinates share one of their K - m + 1 rarest keys, so only those are posted,
 rarest first by their count over the whole corpus. What many documents share is thereby hardly ever looked up. Skip
-merging: a key's classes are first compared with the smallest of them alone, which links most groups; then a pair is
-looked at only if its two classes are still in different components, as any other changes nothing. That loses no
+merging: a class is first compared with one other alone, the smallest under its most frequent key, then with the
+smallest under each key, which links most groups; then a pair is looked at only if its two classes are still in
+different components, as any other changes nothing. That loses no
 component, and a group of thousands of near copies makes thousands of pairs, not millions. Sizes that cannot reach the
 similarity are skipped too.
 
@@ -117,50 +118,69 @@ def _near(n: str, m: str, percent: int):
 
 
 def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """key, id, n: each class under those of its rarest keys that another class has too."""
+    """key, id, n, held: each class under those of its rarest keys that another class has too."""
     keys = classes.select("id", "n", F.posexplode("signature").alias("i", "value")).select("id", "n", F.xxhash64("i", "value").alias("key"))
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     common = keys.join(held, "key")
     by_class = Window.partitionBy("id", "n")  # a class has one row per coordinate
     ranked = common.withColumns({"place": F.row_number().over(by_class.orderBy("held", "key")), "common": F.count(F.lit(1)).over(by_class)})
     # its other keys, held by no one else, come before these
-    return ranked.where(F.col("place") + (coordinates - F.col("common")) <= coordinates - matches + 1).select("key", "id", "n")
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """a, b: the pairs that agree in enough coordinates and reach the similarity on their full sets."""
-    of = lambda table, value, end: table.select(F.col("id").alias(end), F.col(value).alias(f"{value}_{end}"))
-    signed = pairs.join(of(classes, "signature", "a"), "a").join(of(classes, "signature", "b"), "b")
-    agreeing = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    likely = signed.where(agreeing >= matches).select("a", "b")
-    held = likely.join(of(sets, "shingles", "a"), "a").join(of(sets, "shingles", "b"), "b")
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    enough = both * 100 >= (F.size("shingles_a") + F.size("shingles_b") - both) * percent
+    return ranked.where(F.col("place") + (coordinates - F.col("common")) <= coordinates - matches + 1).select("key", "id", "n", "held")
+
+
+def agreeing(x: str, y: str):
+    """In how many coordinates two signatures agree."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs that reach the similarity on their full sets."""
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"set_{end}"))
+    held = pairs.join(of("a"), "a").join(of("b"), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    enough = both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent
     return held.where(enough).select("a", "b").distinct()
 
 
 def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int, matches: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between classes that connect each component, and the components (node, component)."""
-    posted = written(postings(classes, coordinates, matches), "near-dedup-postings")
-    involved = posted.select(F.col("id").alias("doc_id")).distinct()
+    """Confirmed links between classes that connect each component, and the components (node, component).
+
+    First each class meets one other, the smallest under its most frequent key; then, where they are still apart, the
+    smallest under each of its keys; then whatever is apart under a key it shares."""
+    chosen = written(postings(classes, coordinates, matches), "near-dedup-chosen")
+    posted = written(chosen.join(classes.select("id", "n", "signature"), ["id", "n"]), "near-dedup-postings")
+    involved = chosen.select(F.col("id").alias("doc_id")).distinct()
     sets = written(full_sets(documents.select("doc_id", "text").join(involved, "doc_id"), size).withColumnRenamed("doc_id", "id"), "near-dedup-sets")
-    # within a key, classes go by size, so that the one they are compared with is near in size to many
-    first = posted.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("hub"))
-    star = posted.join(first, "key").select(F.col("hub.id").alias("a"), F.col("hub.n").alias("m"), F.col("id").alias("b"), "n")
-    star = star.where((F.col("a") != F.col("b")) & _near("m", "n", percent)).select("a", "b").distinct()
-    near = written(confirmed(star, classes, sets, matches, percent), "near-dedup-links")
-
-    joined = connected_components(near).withColumnRenamed("node", "id")
-    placed = written(posted.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-dedup-placed")
+    likely = _near("n", "m", percent) & (agreeing("signature", "sign") >= matches)
+    hubs = chosen.groupBy("key").agg(F.min("id").alias("a"))
+    signed = classes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("signature").alias("sign"))
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b), each tested by size and signature, then on the full sets."""
+        own = classes.select(F.col("id").alias("b"), "n", "signature")
+        return confirmed(pairs.join(own, "b").join(signed, "a").where(likely).select("a", "b"), sets, percent)
+
+    def apart(found: DataFrame, table: DataFrame) -> DataFrame:
+        placed = connected_components(found).withColumnRenamed("node", "id")
+        return table.join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    one = chosen.join(hubs, "key").groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("held", "key")).alias("a")).where("a <> b")
+    near = written(meet(one), "near-dedup-links")
+
+    placed = written(apart(near, chosen).select("key", "id", "component"), "near-dedup-placed")
+    first = placed.groupBy("key").agg(F.min(F.struct("id", "component")).alias("hub"))
+    star = placed.join(first, "key").where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    near = written(near.union(meet(star)), "near-dedup-links")
+
+    placed = written(apart(near, posted), "near-dedup-placed")
     members = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
-    open_ = placed.join(split, "key")
-    left = open_.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("component_a"))
-    right = open_.select("key", F.col("id").alias("b"), "n", "component", "main")
-    apart = (F.col("component_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))) & _near("m", "n", percent)
-    rest = left.join(right, left["key"].eqNullSafe(right["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(rest, classes, sets, matches, percent)
-    every = written(near.union(more), "near-dedup-links")
+    mixed = placed.join(split, "key")
+    left = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("component_a"), F.col("signature").alias("sign"))
+    right = mixed.select(F.col("key").alias("key_b"), F.col("id").alias("b"), "n", "component", "main", "signature")
+    new = (F.col("component_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b")))
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & new & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = written(near.union(confirmed(rest, sets, percent)), "near-dedup-links")
     return every, connected_components(every)
 
 
