@@ -54,6 +54,7 @@ def by_level(dataset: DataFrame, terms: DataFrame, namespace: str = ontology.PRO
 def depth_analysis(hierarchy: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Rank correlations of growth with both depths and with their change, and growth by depth of the old snapshot."""
     whole = hierarchy.na.drop(subset=["normalized_depth_2016", "normalized_depth_2024", GROWTH])
+    whole = written(whole, "hierarchy")  # four statistics read it
     columns = ("normalized_depth_2016", "normalized_depth_2024", "norm_depth_change")
     binned = stats.by_bin(whole.withColumn("depth_bin_2016", depth_bin(F.col("normalized_depth_2016"))), "depth_bin_2016", GROWTH)
     return {c: stats.spearman(whole, c, GROWTH) for c in columns}, binned.withColumn("bin_order", bin_order(F.col("depth_bin_2016")))
