@@ -38,9 +38,9 @@ def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> np.ndarray:
     """At most `pivots` rows out of at most `sample`, by a hash of the id; the farthest first."""
     got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()["v"].to_pylist()
     width = max((len(v) for v in got), default=0)
-    rows = np.array([v for v in got if len(v) == width], float).reshape(-1, width)
-    if not len(rows):
-        return rows
+    rows = np.array([v for v in got if len(v) == width], float)
+    if not rows.size:
+        return np.zeros((0, width))
     chosen = [int(np.argmax(((rows - rows.mean(0)) ** 2).sum(1)))]
     far = ((rows - rows[chosen[0]]) ** 2).sum(1)
     while len(chosen) < min(pivots, len(rows)) and far.max() > 0:
