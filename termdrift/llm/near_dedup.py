@@ -3,8 +3,8 @@
 A document's set is its distinct shingles of words. Documents with the same set form one class, and classes stand for
 their documents from there on. A signature has one MinHash value per coordinate; the pair (coordinate, value) is a key
 and every class is posted under its keys. Two classes at the similarity sought agree in most coordinates; those that
-agree in at least `matches` are compared on their full sets, so no false link remains. With 48 coordinates and 22
-matches a link at exactly 0.8 escapes about once in two million times, a closer one less often.
+agree in at least `matches` are compared on their full sets, so no false link remains. With 48 coordinates and 26
+matches a link at exactly 0.8 escapes about 13 times in a million, one at 0.85 hardly ever.
 
 Prefix: classes that agree in m of K coordinates share one of their K - m + 1 rarest keys, so only those are posted,
 rarest first by their count over the whole corpus. What many documents share is thereby hardly ever looked up. Skip
@@ -148,7 +148,8 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
     First each class meets one other, the smallest under its most frequent key; then, where they are still apart, the
     smallest under each of its keys; then whatever is apart under a key it shares."""
     chosen = written(postings(classes, coordinates, matches), "near-dedup-chosen")
-    posted = written(chosen.join(classes.select("id", "n", "signature"), ["id", "n"]), "near-dedup-postings")
+    own_keys = chosen.groupBy("id", "n").agg(F.collect_set("key").alias("keys"))  # at most one per coordinate
+    posted = written(chosen.join(classes.select("id", "n", "signature").join(own_keys, ["id", "n"]), ["id", "n"]), "near-dedup-postings")
     involved = chosen.select(F.col("id").alias("doc_id")).distinct()
     sets = written(full_sets(documents.select("doc_id", "text").join(involved, "doc_id"), size).withColumnRenamed("doc_id", "id"), "near-dedup-sets")
     likely = _near("n", "m", percent) & (agreeing("signature", "sign") >= matches)
@@ -176,15 +177,16 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
     members = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
     mixed = placed.join(split, "key")
-    left = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("component_a"), F.col("signature").alias("sign"))
-    right = mixed.select(F.col("key").alias("key_b"), F.col("id").alias("b"), "n", "component", "main", "signature")
+    left = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("component_a"), F.col("signature").alias("sign"), F.col("keys").alias("keys_a"))
+    right = mixed.select(F.col("key").alias("key_b"), F.col("id").alias("b"), "n", "component", "main", "signature", "keys")
+    once = F.array_min(F.array_intersect("keys_a", "keys")) == F.col("key")  # a pair that shares several keys meets at one
     new = (F.col("component_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = left.join(right, (F.col("key") == F.col("key_b")) & new & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & new & once & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     every = written(near.union(confirmed(rest, sets, percent)), "near-dedup-links")
     return every, connected_components(every)
 
 
-def cluster_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 22) -> DataFrame:
+def cluster_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 26) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     known = documents.select("doc_id", "text")
     sketched = written(sketches(known, shingle, coordinates), "near-dedup-sketches")
