@@ -5,8 +5,8 @@ characters behind the mark U+2581. Its segmentation is the one with the highest
 with fewer tokens, so the count is well defined. Characters that no piece covers cost one token per UTF-8 byte.
 
 Pre-tokens go into a trie. A node holds the best score and count of its prefix, worked out once from its ancestors,
-so words that share a beginning share the work; a word's last node holds its count. The trie is kept from row to row
-in a worker and starts anew at a bound on its nodes.
+so words that share a beginning share the work; a word's last node holds its count. The trie and the counts of recent
+words are kept from row to row in a worker; the trie starts anew at a bound on its nodes.
 
 Null and empty texts count 0. Rows are independent: repeated rows, extra columns and empty tables need no care.
 """
@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termdrift.llm.recent import Recent
+
 MARK = "▁"
 #: Below the lowest score by this much, as the public library scores an unknown character.
 UNKNOWN = 10.0
@@ -31,12 +33,11 @@ def read_pieces(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast({model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if not any(f(i) for f in odd)})
 
 
-class PrefixCounts(dict):
+class PrefixCounts:
     """Pre-token -> token count, by a trie whose nodes are shared between pre-tokens."""
 
     #: A node: its character's children, the best (score, -tokens) of its prefix, and its parent's chain of those.
-    def __init__(self, pieces: dict[str, float], limit: int = 250_000):
-        super().__init__()
+    def __init__(self, pieces: dict[str, float], limit: int = 600_000):
         self.limit = limit
         self.endings: dict[str, dict] = {}  # trie of reversed pieces; under "" the score
         for piece, score in pieces.items():
@@ -45,29 +46,31 @@ class PrefixCounts(dict):
                 node = node.setdefault(c, {})
             node[""] = score
         self.floor = min(pieces.values(), default=0.0) - UNKNOWN
+        self.memo = Recent(self.count, 400_000)
         self._restart()
 
     def _restart(self) -> None:
-        self.clear()
         self.root: dict = {}
         self.nodes = 0
 
     def _grow(self, prefix: str, best: list[tuple[float, int]]) -> tuple[float, int]:
         """The best of prefix, given those of all shorter ones."""
-        end, node = len(prefix), self.endings
-        score, tokens = best[end - 1]
-        top = (score + self.floor, tokens - len(prefix[-1].encode()))
-        for start in range(end - 1, -1, -1):
-            node = node.get(prefix[start])
-            if node is None:
+        start, node = len(prefix), self.endings
+        score, tokens = best[start - 1]
+        top, most = score + self.floor, tokens - len(prefix[-1].encode())
+        while start:
+            start -= 1
+            if (node := node.get(prefix[start])) is None:
                 break
-            own = node.get("")
-            if own is not None:
+            if (own := node.get("")) is not None:
                 score, tokens = best[start]
-                top = max(top, (score + own, tokens - 1))
-        return top
+                score += own
+                if score > top or score == top and tokens - 1 > most:
+                    top, most = score, tokens - 1
+        return top, most
 
-    def __missing__(self, word: str) -> int:
+    def count(self, word: str) -> int:
+        """Walks the part of the trie that other words have left, and grows the rest."""
         if self.nodes > self.limit:
             self._restart()
         text, node, best = MARK + word, self.root, [(0.0, 0)]
@@ -78,8 +81,7 @@ class PrefixCounts(dict):
                 self.nodes += 1
             best.append(below[""])
             node = below
-        self[word] = count = -best[-1][1]
-        return count
+        return -best[-1][1]
 
 
 _COUNTERS: dict = {}
@@ -93,7 +95,7 @@ def token_count(text: Column, pieces: Broadcast, path: str) -> Column:
         if path not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[path] = PrefixCounts(pieces.value)
-        of = _COUNTERS[path].__getitem__
+        of = _COUNTERS[path].memo.__getitem__
         return pa.array([sum(map(of, (t or "").split())) for t in texts.to_pylist()], pa.int64())
 
     return count(text)
