@@ -26,26 +26,19 @@ import hashlib
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termdrift.llm.recent import Recent
 from termdrift.llm.tables import written
 from termdrift.operators.components import connected_components
 
-#: What parts words, and the letters folded.
+#: What parts words, and the letters folded. On UTF-8 bytes, lower() and split() do just this.
 WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-
-
-_HASHES = Recent(_word_hash, 300_000)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -53,12 +46,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
-    words = WORDS((text or "").translate(FOLD) if text and not text.isascii() else (text or "").lower())
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles of a text in UTF-8 as sorted 64-bit hashes."""
+    words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, "u8")
-    h = np.fromiter(map(_HASHES.__getitem__, words), "u8", len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
     n = max(len(h) - size + 1, 1)
     out = np.full(n, min(len(h), size), "u8")
     for k in range(min(size, len(h))):
@@ -91,7 +84,7 @@ def sketches(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
         import pyarrow as pa
 
         by = coefficients(coordinates)
-        sets = [shingle_set(t, size) for t in texts.to_pylist()]
+        sets = [shingle_set(t, size) for t in texts.cast("binary").to_pylist()]
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         flat = np.concatenate([signature(s, by) if len(s) else np.zeros(coordinates, "u8") for s in sets]).view("i8")
         signatures = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="i4") * coordinates), pa.array(flat))
@@ -105,7 +98,7 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
     def shingles(texts):
         import pyarrow as pa
 
-        sets = [shingle_set(t, size) for t in texts.to_pylist()]
+        sets = [shingle_set(t, size) for t in texts.cast("binary").to_pylist()]
         ends = np.cumsum([0] + [len(s) for s in sets]).astype("i4")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, "u8")]).view("i8")))
 
