@@ -36,7 +36,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return unigram.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+    return unigram.count_corpus(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
 def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
