@@ -44,6 +44,15 @@ def clusters(nodes: DataFrame, pairs: DataFrame, threshold: float = 0.9) -> Data
     return nodes.select("id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def similarity_of(wanted: DataFrame, memberships: DataFrame, key: str = "id", item: str = "item") -> DataFrame:
+    """a, b, jaccard of the given pairs (a, b) from their whole sets, however small; 0 for an unknown or empty set."""
+    sets = memberships.select(F.col(key).alias("a"), F.col(item).alias("i")).where("i IS NOT NULL").distinct()
+    sizes = sets.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    common = wanted.join(sets, "a").join(sets.withColumnRenamed("a", "b"), ["b", "i"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    held = wanted.join(sizes, "a", "left").join(sizes.toDF("b", "n"), "b", "left").join(common, ["a", "b"], "left")
+    return held.select("a", "b", F.coalesce(F.col("c") / (F.col("m") + F.col("n") - F.col("c")), F.lit(0.0)).alias("jaccard"))
+
+
 @dataclass
 class Overlap:
     filtered: DataFrame  # the dataset's rows of representatives
@@ -52,12 +61,13 @@ class Overlap:
     removal: DataFrame  # removed_terms with the similarity and both sides' counts and changes
 
 
-def filter_overlapping_go_terms(nodes: DataFrame, pairs: DataFrame, dataset: DataFrame, threshold: float = 0.9, old: str = OLD_COUNT, new: str = NEW_COUNT) -> Overlap:
+def filter_overlapping_go_terms(nodes: DataFrame, pairs: DataFrame, dataset: DataFrame, threshold: float = 0.9, old: str = OLD_COUNT, new: str = NEW_COUNT, memberships: DataFrame | None = None) -> Overlap:
     """Of each cluster the term with the largest change in percent stays, up or down; of equals the smallest id.
 
     nodes: all ids, of which those outside the dataset may still link others. pairs: both directions of a similarity
     that differs by direction; the one from the removed to the kept term is reported, the other if it is missing,
-    and 0 if both are. Dataset rows whose id is no node go. A cluster without a row in the dataset, or with no known
+    and 0 if both are. Where pairs leaves out what is less similar, memberships (id, item) gives the true value: in a
+    chain of links the removed term may be far from the kept one. Dataset rows whose id is no node go. A cluster without a row in the dataset, or with no known
     change, has no representative."""
     placed = clusters(nodes, pairs, threshold)
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -70,6 +80,8 @@ def filter_overlapping_go_terms(nodes: DataFrame, pairs: DataFrame, dataset: Dat
     gone = rows.where("cluster_size > 1").join(kept, "component").where("go_id <> representative_go_id")
     directed = pairs.select("a", "b", "jaccard", F.lit(0).alias("back")).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", F.lit(1).alias("back")))
     cell = directed.groupBy("a", "b").agg(F.min_by("jaccard", "back").alias("jaccard"))
+    if memberships is not None:
+        cell = similarity_of(gone.select(F.col("go_id").alias("a"), F.col("representative_go_id").alias("b")).distinct(), memberships)
     detail = gone.join(cell, (F.col("go_id") == F.col("a")) & (F.col("representative_go_id") == F.col("b")), "left").select(
         F.col("go_id").alias("removed_go_id"), "representative_go_id", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard_similarity"),
         F.col(old).alias("removed_genes_2016"), F.col(new).alias("removed_genes_2024"), F.col("pct_change").alias("removed_pct_change"),

@@ -232,7 +232,7 @@ def overlapped(spark, sf_dir) -> overlap.Overlap:
     w = words(spark, sf_dir)
     n = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("go_id"), F.col("n_chars").alias(NEW_COUNT))
     dataset = w.groupBy(F.col("id").alias("go_id")).agg(F.count(F.lit(1)).alias(OLD_COUNT)).join(n, "go_id")
-    return overlap.filter_overlapping_go_terms(w.select("id").distinct(), similar(spark, sf_dir), dataset)
+    return overlap.filter_overlapping_go_terms(w.select("id").distinct(), similar(spark, sf_dir), dataset, memberships=w)
 
 
 def jaccard_pairs(spark, sf_dir):
