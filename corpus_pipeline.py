@@ -23,7 +23,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.mark_copies(docs).where("kept").select(*COLUMNS)
+    """One row a text: of rows that repeat both id and text, which are all kept, the one with the least other columns."""
+    kept = exact_dedup.mark_copies(docs).where("kept")
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    repeated = kept.where("group_size > 1").groupBy("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
+    one = repeated.agg(F.min("text").alias("text"), F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    return kept.where("group_size = 1").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

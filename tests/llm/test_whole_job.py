@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 
+import corpus_pipeline
 from termdrift.llm import unigram
 from termdrift.llm import queries as corpus
 
@@ -42,3 +43,13 @@ def test_counts_are_of_a_unigram_model_and_keep_white_space(spark, tmp_path):
     assert (got[24], got[25], got[26], got[27]) == (2, 1, 0, 0)  # the mark in front and a tab; one run of two blanks
     for t in texts:
         assert "".join(unigram.pre_tokens(t)) == (" " + t if t else "")
+
+
+def test_pipeline_keeps_one_row_of_a_text_in_a_table_twice(spark):
+    rows = [(1, "same"), (2, "same"), (2, "same"), (3, "own"), (4, None), (5, ""), (None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(2, "same"), (3, "own"), (5, ""), (-1, "no id")])
+    for table in (docs, docs.union(docs), docs.union(docs.replace("s", "t", "source"))):
+        got = corpus_pipeline.without_copies(spark, table, "").collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in got) == want
+        assert {r["source"] for r in got} == {"s"}
