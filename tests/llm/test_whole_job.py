@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 import corpus_pipeline
-from termdrift.llm import unigram
+from termdrift.llm import near_dedup, unigram
 from termdrift.llm import queries as corpus
 
 
@@ -45,6 +45,20 @@ def test_counts_are_of_a_unigram_model_and_keep_white_space(spark, tmp_path):
         assert "".join(unigram.pre_tokens(t)) == (" " + t if t else "")
 
 
+def test_near_copies_whose_signatures_agree_in_few_places(spark):
+    rows = []
+    for k, (seed, i) in enumerate([(11, 8830), (1, 25815), (1, 58150), (10, 59972), (5, 7301)]):
+        words = [f"{seed}q{i}r{j}" for j in range(13)]
+        both = " ".join(words[:11]), " ".join(words)  # 8 of 10 shingles
+        by = near_dedup.coefficients(48)
+        a, b = (near_dedup.signature(near_dedup.shingle_set(t.encode(), 4), by) for t in both)
+        assert 22 <= (a == b).sum() < 26
+        rows += [(2 * k, both[0]), (2 * k + 1, both[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.cluster_documents(df, shingle=4).collect()}
+    assert got == {i: (i - i % 2, i % 2 == 0) for i, _ in rows}
+
+
 def test_pipeline_keeps_one_row_of_a_text_in_a_table_twice(spark):
     rows = [(1, "same"), (2, "same"), (2, "same"), (3, "own"), (4, None), (5, ""), (None, "no id"), (None, "no id")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
