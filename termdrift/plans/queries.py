@@ -85,9 +85,14 @@ def universe_align(spark, sf_dir):
     return old.withColumn("side", F.lit("old")).union(new.withColumn("side", F.lit("new")))
 
 
+def key_range(key):
+    """So many keys make one list or text, whatever the table's size."""
+    return F.floor(key / 500).alias("key_range")
+
+
 def parallel_explode(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    lists = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
+    lists = p.groupBy("p_brand", key_range(F.col("p_partkey"))).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
     joined = lambda f: F.array_join(F.transform("x", lambda s: f(s)), "|")
     annotations = lists.select(
         F.col("p_brand").alias("go_id"), F.col("p_brand").alias("go_name"), F.lit("biological_process").alias("go_domain"),
@@ -261,13 +266,13 @@ def cluster_sizes(spark, sf_dir):
 
 
 def ontology_parse(spark, sf_dir):
-    """The parts as the text of an ontology, parsed back."""
+    """The parts as the texts of an ontology, one for each range of keys, parsed back."""
     t = terms(spark, sf_dir, False)
     stanza = F.concat_ws(
         "\n", F.lit("[Term]"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("namespace: "), "namespace"),
         F.array_join(F.transform("parents", lambda p: F.concat(F.lit("is_a: "), p, F.lit(" ! name"))), "\n"), F.when(F.col("obsolete"), "is_obsolete: true"), F.lit(""),
     )
-    text = t.select(stanza.alias("s"), "id").groupBy().agg(F.concat(F.lit("format-version: 1.2\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"]), "\n")).alias("value"))
+    text = t.select(stanza.alias("s"), "id").groupBy(key_range(F.col("id").cast("long"))).agg(F.concat(F.lit("format-version: 1.2\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"]), "\n")).alias("value"))
     return files.parse_ontology(text).select("id", F.array_join(F.array_sort("parents"), ",").alias("parents"), "namespace", "obsolete")
 
 
