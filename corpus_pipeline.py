@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termdrift.llm import exact_dedup, near_dedup, packing, pii, quality
-from termdrift.llm.tables import read, shared_folder, small_batches
+from termdrift.llm.tables import read, small_batches
+from termdrift.scratch import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

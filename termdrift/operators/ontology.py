@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termdrift.operators.components import written
+from termdrift.scratch import written
 
 PROCESS = "biological_process"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termdrift.functions import stats
 from termdrift.operators import classify, growth, ontology, overlap, universe
-from termdrift.operators.components import shared_folder
+from termdrift.scratch import shared_folder
 from termdrift.plans import snapshot
 from termdrift.schemas import COMMON_TERMS, GROWTH, NEW_COUNT, OLD_COUNT
 from termdrift.sources import files

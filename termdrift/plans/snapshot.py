@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termdrift.functions import stats
 from termdrift.functions.scalars import bin_order, depth_bin
 from termdrift.operators import classify, growth, ontology, universe
-from termdrift.operators.components import written
+from termdrift.scratch import written
 from termdrift.schemas import GROWTH
 
 
