@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termdrift.llm.tables import shared_folder, written
+from termdrift.scratch import shared_folder, written
 
 #: State on disk; a store per partition, most of them small, so none claims disk space ahead.
 STATE_CONF = {

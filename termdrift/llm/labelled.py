@@ -19,6 +19,8 @@ def sample_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def sample_texts(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text, label of the sample. The sample is bounded by `most`, so it may be broadcast."""
+    """doc_id, text, label of the sample: at most `most` rows, so its labels may be broadcast. Of the texts that one id
+    has, the least counts."""
     chosen = sample_labels(labels, label, most)
-    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", label).agg(F.min("text").alias("text"))
