@@ -8,16 +8,21 @@ matches a link at exactly 0.8 escapes about once in two million times, a closer
 
 Prefix: classes that agree in m of K coordinates share one of their K - m + 1 rarest keys, so only those are posted,
 rarest first by their count over the whole corpus. What many documents share is thereby hardly ever looked up. Skip
-merging: a class is first compared with one other alone, the smallest under its most frequent key, then with the
-smallest under each key, which links most groups; then a pair is looked at only if its two classes are still in
-different components, as any other changes nothing. That loses no
-component, and a group of thousands of near copies makes thousands of pairs, not millions. Sizes that cannot reach the
+merging: a class first meets one hub, that of its most frequent key, then the hub of each of its keys; a key's hub is
+the class under it with the most keys that others have too, which is next to the text that the copies were made from.
+This links most of a group in rows that grow with its size. After that only pairs whose classes are still in different
+components can change anything.
+
+For those the prefix is taken once more, on the full sets: in the order of how many sets hold a shingle, two sets at
+the similarity have their first common shingle where both still have as many to come as they must share. Such places
+are few, and the pairs that are left meet there; this filter is exact. A copy that is too far from its group has more
+shingles of its own than it may lack, so it meets nobody, however large the group. Sizes that cannot reach the
 similarity are skipped too.
 
 Null and empty texts, and texts of blanks only, have the empty set: they are linked with nothing and kept. Texts
 shorter than a shingle are one shingle. Of each component the document with the smallest doc_id stays. A row without
-id is kept and belongs to no component. Rows with the same id are one document. Extra columns stay, and an empty table
-stays empty.
+id is kept and belongs to no component. Rows that repeat an id each go by their own text; an id that is the smallest
+of several texts links them. Only the columns named below come back, whatever others there are. An empty table stays empty. The tables between the steps are deleted at the end, but for the one that is read.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termdrift.scratch import written
 from termdrift.operators.components import connected_components
+from termdrift.scratch import Scratch
 
 #: What parts words, and the letters folded. On UTF-8 bytes, lower() and split() do just this.
 WORDS = re.compile("[^\x20\x09-\x0d]+").findall
@@ -94,6 +99,8 @@ def sketches(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, size: int) -> DataFrame:
+    """id, shingles array<long>."""
+
     @F.arrow_udf("array<long>")
     def shingles(texts):
         import pyarrow as pa
@@ -102,7 +109,7 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
         ends = np.cumsum([0] + [len(s) for s in sets]).astype("i4")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, "u8")]).view("i8")))
 
-    return documents.select("doc_id", shingles("text").alias("shingles"))
+    return documents.select(F.col("doc_id").alias("id"), shingles("text").alias("shingles"))
 
 
 def _near(n: str, m: str, percent: int):
@@ -111,14 +118,14 @@ def _near(n: str, m: str, percent: int):
 
 
 def postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """key, id, n, held: each class under those of its rarest keys that another class has too."""
+    """key, id, n, held, common: each class under those of its rarest keys that another class has too. held: by how
+    many; common: how many of the class's keys are held by others."""
     keys = classes.select("id", "n", F.posexplode("signature").alias("i", "value")).select("id", "n", F.xxhash64("i", "value").alias("key"))
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    common = keys.join(held, "key")
     by_class = Window.partitionBy("id", "n")  # a class has one row per coordinate
-    ranked = common.withColumns({"place": F.row_number().over(by_class.orderBy("held", "key")), "common": F.count(F.lit(1)).over(by_class)})
+    ranked = keys.join(held, "key").withColumns({"place": F.row_number().over(by_class.orderBy("held", "key")), "common": F.count(F.lit(1)).over(by_class)})
     # its other keys, held by no one else, come before these
-    return ranked.where(F.col("place") + (coordinates - F.col("common")) <= coordinates - matches + 1).select("key", "id", "n", "held")
+    return ranked.where(F.col("place") + (coordinates - F.col("common")) <= coordinates - matches + 1).select("key", "id", "n", "held", "common")
 
 
 def agreeing(x: str, y: str):
@@ -135,61 +142,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(enough).select("a", "b").distinct()
 
 
-def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int, matches: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between classes that connect each component, and the components (node, component).
+def rare_places(sets: DataFrame, percent: int) -> DataFrame:
+    """key long, id, n, rest: each set under its rarest shingles that other sets hold too. rest: how many shingles the
+    set has from there on, in the order of how many sets hold them; those that no other holds come first. Two sets of n
+    and m shingles have a first common one, and share no more than the lesser rest there; so it is among these places."""
+    each = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), F.explode("shingles").alias("key"))
+    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = each.join(held, "key").groupBy("id", "n", "s").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("c"))
+    left = F.size("c") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
+    placed = shared.where(left > 0).select("id", "n", F.size("c").alias("size"), F.posexplode(F.slice("c", F.lit(1), left)).alias("i", "c"))
+    return placed.select("c.key", "id", "n", (F.col("size") - F.col("i")).alias("rest"))
+
 
-    First each class meets one other, the smallest under its most frequent key; then, where they are still apart, the
-    smallest under each of its keys; then whatever is apart under a key it shares."""
-    chosen = written(postings(classes, coordinates, matches), "near-dedup-chosen")
-    own_keys = chosen.groupBy("id", "n").agg(F.collect_set("key").alias("keys"))  # at most one per coordinate
-    posted = written(chosen.join(classes.select("id", "n", "signature").join(own_keys, ["id", "n"]), ["id", "n"]), "near-dedup-postings")
+def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int, matches: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Confirmed links (a, b) between classes, enough to connect each component; None where no key is shared."""
+    chosen = scratch.write(postings(classes, coordinates, matches))
+    if chosen.isEmpty():
+        return None
     involved = chosen.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(full_sets(documents.select("doc_id", "text").join(involved, "doc_id"), size).withColumnRenamed("doc_id", "id"), "near-dedup-sets")
+    sets = scratch.write(full_sets(documents.join(involved, "doc_id"), size))
     likely = _near("n", "m", percent) & (agreeing("signature", "sign") >= matches)
-    hubs = chosen.groupBy("key").agg(F.min("id").alias("a"))
-    signed = classes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("signature").alias("sign"))
+    own = classes.select(F.col("id").alias("b"), "n", "signature")
+    other = classes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("signature").alias("sign"))
 
     def meet(pairs: DataFrame) -> DataFrame:
         """pairs (a, b), each tested by size and signature, then on the full sets."""
-        own = classes.select(F.col("id").alias("b"), "n", "signature")
-        return confirmed(pairs.join(own, "b").join(signed, "a").where(likely).select("a", "b"), sets, percent)
+        return confirmed(pairs.join(own, "b").join(other, "a").where(likely).select("a", "b"), sets, percent)
 
     def apart(found: DataFrame, table: DataFrame) -> DataFrame:
         placed = connected_components(found).withColumnRenamed("node", "id")
         return table.join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+    central = F.struct(F.col("common"), -F.col("id"))
+    hubs = chosen.groupBy("key").agg(F.max_by("id", central).alias("a"))
     one = chosen.join(hubs, "key").groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("held", "key")).alias("a")).where("a <> b")
-    near = written(meet(one), "near-dedup-links")
+    near = scratch.write(meet(one))
 
-    placed = written(apart(near, chosen).select("key", "id", "component"), "near-dedup-placed")
-    first = placed.groupBy("key").agg(F.min(F.struct("id", "component")).alias("hub"))
+    placed = scratch.write(apart(near, chosen))
+    first = placed.groupBy("key").agg(F.max_by(F.struct("id", "component"), central).alias("hub"))
     star = placed.join(first, "key").where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    near = written(near.union(meet(star)), "near-dedup-links")
+    near = scratch.write(near.union(meet(star)))
 
-    placed = written(apart(near, posted), "near-dedup-placed")
+    placed = scratch.write(apart(near, chosen).select("key", "id", "n", "component"))
     members = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
-    mixed = placed.join(split, "key")
-    left = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("component_a"), F.col("signature").alias("sign"), F.col("keys").alias("keys_a"))
-    right = mixed.select(F.col("key").alias("key_b"), F.col("id").alias("b"), "n", "component", "main", "signature", "keys")
-    once = F.array_min(F.array_intersect("keys_a", "keys")) == F.col("key")  # a pair that shares several keys meets at one
+    unsettled = scratch.write(placed.join(split, "key").select("id", "component").distinct())  # they share a key with another component
+    rare = scratch.write(rare_places(sets.join(unsettled.select("id"), "id"), percent).join(unsettled, "id"))
+    members = rare.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
+    posted = rare.join(split.select("key", "main"), "key").join(classes.select("id", "n", "signature"), ["id", "n"])
+    posted = scratch.write(posted)
+    left = posted.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("rest_a"), F.col("component").alias("component_a"), F.col("signature").alias("sign"))
+    right = posted.select(F.col("key").alias("key_b"), F.col("id").alias("b"), "n", "rest", "component", "main", "signature")
     new = (F.col("component_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = left.join(right, (F.col("key") == F.col("key_b")) & new & once & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    every = written(near.union(confirmed(rest, sets, percent)), "near-dedup-links")
-    return every, connected_components(every)
+    enough = F.least("rest_a", "rest") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    rest = left.join(right, (F.col("key") == F.col("key_b")) & new & enough & likely)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return scratch.write(near.union(confirmed(rest, sets, percent)))
 
 
 def cluster_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 22) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     known = documents.select("doc_id", "text")
-    sketched = written(sketches(known, shingle, coordinates), "near-dedup-sketches")
-    full = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    by_set = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    classes = by_set.join(full.select("set_key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), ["set_key", "id"]).dropDuplicates(["set_key"])
-    classes = written(classes, "near-dedup-classes")
-    # an id that stands for several sets is one document
-    _, joined = links(classes, known, shingle, coordinates, matches, percent)
-    by_set = classes.select("set_key", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    placed = sketched.join(by_set, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with Scratch(documents.sparkSession, "near-dedup") as scratch:
+        sketched = scratch.write(sketches(known, shingle, coordinates))
+        full = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+        by_set = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
+        classes = by_set.join(full.select("set_key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), ["set_key", "id"]).dropDuplicates(["set_key"])
+        classes = scratch.write(classes)
+        found = links(classes, known, shingle, coordinates, matches, percent, scratch)
+        by_set = classes.select("set_key", "id")
+        if found is None:
+            by_set = by_set.withColumn("component", F.col("id"))
+        else:
+            joined = connected_components(found).withColumnRenamed("node", "id")
+            by_set = by_set.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = sketched.join(by_set.select("set_key", "component"), "set_key", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return scratch.keep(placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
