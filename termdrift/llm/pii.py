@@ -1,17 +1,30 @@
-"""Personal data by boosted trees over candidate spans (operator 7), in DataFrame functions alone.
+"""Personal data and secrets by boosted trees over candidate spans (operator 7), in DataFrame functions alone.
 
 Base patterns find emails, addresses of hosts, payment cards and phones, each leftmost and without overlap per kind.
-High-recall generators propose further spans, which may overlap: runs of digits with any punctuation, and addresses
-whose @ and dots are spelled out. Boosted trees score a proposal by its format and its surroundings. They learn from
-the corpus itself: proposals that meet a base span of their kind are the examples for, all others those against. What
-marks a base span as such, like a leading plus, is no feature, so the trees go by the rest of the format. A threshold
-per kind, the lowest that reaches the wished precision on a held-out half, selects what is added to the base spans.
+High-recall generators propose further spans, which may overlap: numbers of a card's or a phone's length with any
+marks in them, addresses whose @ and dots are spelled out or bracketed, and secrets, which are runs of letters and
+digits of 12 characters or more, and values of at least 6 characters behind an equals sign or a colon.
+
+Boosted trees score a proposal by its format and its surroundings. They learn from the corpus itself, by evidence that
+is no feature of the trees: a proposal is an example for if its normalised form is valid, all others are against. Valid
+is a card by its check sum, an address of a host by the size of its parts, an email by a common top-level domain, a
+phone by its country code or by the numbering plan of ten-digit numbers, and a secret by an issuer's mark in front or a
+name like password before it. So the trees tell which formats and surroundings go with valid content, and redact
+others of the kind that no pattern describes.
+
+Thresholds are calibrated per kind on the half of the documents that the trees have not seen, and there only on
+proposals that meet no base span, as only such are added: the lowest score from which on a share of `precision` is
+valid (with one invalid case more than was seen, so that few cases prove nothing), and a lower one, from a share of
+`supported` on, for proposals that have the evidence themselves. An added span that overlaps a base span of any kind,
+or an added one before it, is left out; all base spans stay.
 
 All features take few values. Spark counts the proposals for each combination over the whole corpus; the trees are
-grown from these counts, whose number is bounded by the combinations and not by the corpus.
+grown from these counts, whose number is bounded by the combinations and not by the corpus. Base spans and proposals
+are worked out once, in one pass over the texts, and written to the shared folder.
 
-Null text is empty and has no spans. Rows are independent: repeated rows, extra columns and empty tables need no care.
-Places count code points, from 0, with the end exclusive.
+Null text is empty and has no spans. Rows are independent: repeated rows count as often as they come, and empty tables
+stay empty. Extra columns stay; those named base_spans or spans are replaced. Equal scores select alike, so ties need
+no order. Places count code points, from 0, with the end exclusive.
 """
 
 from __future__ import annotations
@@ -22,7 +35,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from termdrift.llm.tables import fresh, without
+from termdrift.scratch import written
+
+#: The kinds of the base patterns, and all kinds, in the order of spans.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 
 #: What each kind looks like. Runs are possessive and start only at a run's start or where the last
 #: match ended, which finds the same matches as the plain form in linear time and without deep recursion.
@@ -35,11 +53,28 @@ BASE = {
 #: The generators of proposals, by the kind that they propose.
 PROPOSED = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|(?<=\x20)dot(?=\x20))\x20?[A-Za-z0-9-]++)++",
-    "phone": r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++",
-    "card": r"[0-9](?:[\x20.-]?[0-9])++",
+    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:\.|\[\.\]|\(\.\)|\(dot\)|\[dot\])\x20?[0-9]{1,3}+){3}(?![0-9])",
+    "card": r"[0-9](?:[\x20._/-]?[0-9])++",
+    "phone": r"\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9])++",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])(?=[0-9_+/-]{0,64}[A-Za-z])[A-Za-z0-9_+/-]{12,}+|(?<=[=:][\x20\x22\x27]{0,2})[^\s\x22\x27=:]{6,}+",
+}
+#: What a text must hold for a generator to find anything.
+SIGNS = {"email": r"@|[\[(\x20]at[\])\x20]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", "secret": "[0-9=:]"}
+#: How many digits a card and a phone have.
+DIGITS = {"card": (13, 19), "phone": (9, 15)}
+#: Words before a span that speak of its kind.
+CUES = {
+    "email": "mail|contact|write|address",
+    "ip": "ip|host|server|address|from|login",
+    "card": "card|visa|credit|debit|payment|account",
+    "phone": "tel|phone|call|mobil|fax|contact|cell",
 }
+#: Common top-level domains, names that secrets are given, and marks that issuers put in front of theirs.
+DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|de|fr|es|it|nl|ch|at|be|pl|se|no|dk|fi|pt|ie|us|ca|mx|br|ar|au|nz|jp|cn|in|kr|ru|za"
+NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|api.?key|access.?key|private.?key)[^A-Za-z0-9]{0,4}$"
+ISSUED = r"^(?:AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[_-][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,})"
 SPANS = "array<struct<start:int,end:int,s:string>>"
-FEATURES = ("digits", "groups", "marks", "parens", "letters", "luhn", "before", "after", "cue")
+FEATURES = ("size", "digits", "share", "distinct", "case", "groups", "marks", "before", "after", "cue")
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -92,57 +127,86 @@ def base_spans(text: Column) -> dict[str, Column]:
     def of(kind: str) -> Column:
         return _cheap(kind, text, F.filter(located(text, BASE[kind]), lambda x: _passes(kind, x["s"])))
 
-    return {kind: of(kind) for kind in KINDS}
+    return {kind: of(kind) for kind in BASE_KINDS}
+
+
+def _valid(kind: str, s: Column, ahead: Column) -> Column:
+    """The evidence: whether the normalised form is one of the kind's."""
+    digits = _digits(s)
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(F.lower(s), r"\x20?(?:[\[(]at[\])]|(?<=\x20)at(?=\x20))\x20?", "@"), r"\x20?(?:[\[(]dot[\])]|(?<=\x20)dot(?=\x20))\x20?", ".")
+        return F.regexp_like(plain, F.lit(rf"^[a-z0-9._%+-]+@[a-z0-9.-]+\.(?:{DOMAINS})$"))
+    if kind == "ip":
+        return F.forall(F.split(s, "[^0-9]+"), lambda p: p.cast("int") <= 255)
+    if kind == "card":
+        return luhn(s)
+    if kind == "phone":
+        return F.regexp_like(s, F.lit(r"^(?:\+|00)")) | F.regexp_like(digits, F.lit("^1?[2-9][0-9]{2}[2-9][0-9]{6}$"))
+    return F.regexp_like(F.lower(ahead), F.lit(NAMES)) | F.regexp_like(s, F.lit(ISSUED))
+
+
+def _side(c: Column) -> Column:
+    return F.when(c == "", 0).when(F.regexp_like(c, F.lit(r"[=:\x22\x27]")), 4).when(F.regexp_like(c, F.lit("[0-9]")), 2).when(F.regexp_like(c, F.lit("[A-Za-z]")), 3).otherwise(1)
 
 
-def _bucket(n: Column, most: int) -> Column:
-    return F.least(n, F.lit(most))
+def _step(n: Column, *steps: int) -> Column:
+    """How many of the steps n has reached."""
+    return sum(((n >= k).cast("int") for k in steps), F.lit(0))
 
 
 def proposals(text: Column, base: Column) -> Column:
-    """array<struct<kind, start, end, meets, features...>>; base: struct of the base spans by kind. meets: 1 if a base
-    span of the kind covers as much or more, 2 if it only overlaps one of any kind."""
+    """array<struct<kind, start, end, free, valid, features...>>; base: struct of the base spans by kind. free: whether
+    no base span is met."""
     text = F.coalesce(text, F.lit(""))
+    none = F.lit(0)
 
     def described(kind: str) -> Column:
+        number = kind in ("ip", "card", "phone")
+
         def one(x: Column) -> Column:
             s = x["s"]
-            ahead = F.substr(text, F.greatest(x["start"] - 11, F.lit(1)), F.least(x["start"], F.lit(12)))
-            behind = F.substr(text, x["end"] + 1, F.lit(1))
-            kindred = F.exists(base[kind], lambda b: (b["start"] <= x["start"] + 1) & (b["end"] >= x["end"]) | (x["start"] <= b["start"]) & (b["end"] <= x["end"]) & (F.length(_digits(b["s"])) + 2 >= F.length(_digits(s))))
-            touched = F.lit(False)
-            for k in KINDS:
-                touched = touched | F.exists(base[k], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-            side = lambda c: F.when(c == "", 0).when(F.regexp_like(c, F.lit(r"[\s,;:.!?()\[\]\"'<>+]")), 1).when(F.regexp_like(c, F.lit(r"[0-9]")), 2).otherwise(3)
+            ahead = F.substr(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+            digits = F.length(_digits(s))
+            free = F.lit(True)
+            for k in BASE_KINDS:
+                free = free & ~F.exists(base[k], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+            cases = F.regexp_like(s, F.lit("[A-Z]")).cast("int") + 2 * F.regexp_like(s, F.lit("[a-z]")).cast("int")
             return F.struct(
-                F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                F.when(kindred, 1).when(touched, 2).otherwise(0).alias("meets"),
-                _bucket(F.length(_digits(s)), 20).alias("digits"),
-                _bucket(F.size(F.split(s, "[^0-9]+", -1)), 6).alias("groups"),
-                _bucket(F.length(F.regexp_replace(s, r"[^.@\[\]-]", "")), 4).alias("marks"),
-                F.contains(s, F.lit("(")).cast("int").alias("parens"),
-                F.regexp_like(s, F.lit("[A-Za-z]")).cast("int").alias("letters"),
-                luhn(s).cast("int").alias("luhn"),
-                side(F.right(F.regexp_replace(ahead, r"\+[0-9][\x20().-]*$|\+$", ""), F.lit(1))).alias("before"),
-                side(behind).alias("after"),
-                F.regexp_like(F.lower(ahead), F.lit(r"tel|phone|call|mobil|fax|mail|card|contact|visa")).cast("int").alias("cue"),
+                F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), free.alias("free"), _valid(kind, s, ahead).alias("valid"),
+                (none if number else _step(F.length(s), 9, 12, 16, 20, 24, 32, 40, 64)).alias("size"),
+                (F.least(digits, F.lit(20)) if number else none).alias("digits"),
+                (none if number else _step(digits * 10 / F.length(s), 1, 2, 4, 6, 8)).alias("share"),
+                (none if number else _step(F.size(F.array_distinct(F.split(s, ""))) * 10 / F.length(s), 2, 3, 4, 6, 8)).alias("distinct"),
+                (none if number else cases).alias("case"),
+                (F.least(F.size(F.split(s, "[^0-9]+", -1)), F.lit(6)) if number else none).alias("groups"),
+                F.least(F.length(F.regexp_replace(s, r"[A-Za-z0-9\x20+]", "")), F.lit(6)).alias("marks"),
+                _side(F.right(ahead, F.lit(1))).alias("before"),
+                _side(F.substr(text, x["end"] + 1, F.lit(1))).alias("after"),
+                (F.regexp_like(F.lower(ahead), F.lit(CUES[kind])).cast("int") if kind in CUES else none).alias("cue"),
             )
 
-        found = F.filter(located(text, PROPOSED[kind]), lambda x: (F.length(_digits(x["s"])) >= (0 if kind == "email" else 9)) & (F.length(x["s"]) <= 80))
-        sign = F.regexp_like(text, F.lit(r"@|[\[(\x20]at[\])\x20]" if kind == "email" else "[0-9]"))
-        return F.when(sign, F.transform(found, one))
+        found = located(text, PROPOSED[kind])
+        if kind in DIGITS:
+            found = F.filter(found, lambda x: F.length(_digits(x["s"])).between(*DIGITS[kind]))
+        return F.when(F.regexp_like(text, F.lit(SIGNS[kind])), F.transform(found, one))
+
+    return F.concat(*[F.coalesce(described(k), F.array()) for k in KINDS])
 
-    made = [F.coalesce(described(k), F.array()) for k in PROPOSED]
-    return F.concat(*made)
+
+def mark(documents: DataFrame, column: str) -> DataFrame:
+    """documents with one struct column more: the base spans by kind, and the proposals."""
+    base = documents.withColumn(column, F.struct(*[v.alias(k) for k, v in base_spans(F.col("text")).items()]))
+    return base.withColumn(column, F.struct(F.col(column).alias("base"), proposals(F.col("text"), F.col(column)).alias("proposed")))
 
 
 @dataclass
 class Trees:
-    """Boosted trees for the log odds of a proposal, per kind, and the odds from which a proposal is taken."""
+    """Boosted trees for the log odds of a proposal, per kind, and the odds from which a proposal is taken: that of one
+    without, and of one with evidence of its own."""
 
     bias: dict[str, float] = field(default_factory=dict)
     splits: dict[str, list] = field(default_factory=dict)  # nested (feature, at most, low, high), or a leaf's value
-    threshold: dict[str, float] = field(default_factory=dict)
+    threshold: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def score(self, x: Column, kind: str) -> Column:
         def leaf(tree) -> Column:
@@ -158,7 +222,8 @@ class Trees:
 
     def selects(self, x: Column) -> Column:
         chosen = F.lit(False)
-        for kind, least in self.threshold.items():
+        for kind, (alone, supported) in self.threshold.items():
+            least = F.when(x["valid"], supported).otherwise(alone) - 1e-9
             chosen = chosen | ((x["kind"] == kind) & (self.score(x, kind) >= least))
         return chosen
 
@@ -192,15 +257,32 @@ def _grow(rows: list[dict], depth: int):
     return name, v, _grow([r for r in rows if r[name] <= v], depth - 1), _grow([r for r in rows if r[name] > v], depth - 1)
 
 
-def fit(documents: DataFrame, rounds: int = 12, depth: int = 3, precision: float = 0.9) -> Trees:
-    """Trees from all proposals of the corpus. A kind without examples for it gets none, and adds nothing."""
-    base = F.struct(*[v.alias(k) for k, v in base_spans(F.col("text")).items()])
-    told = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).alias("half"), "text", base.alias("base"))
-    each = told.select("half", F.explode(proposals(F.col("text"), F.col("base"))).alias("x")).select("half", "x.*")
-    counts = each.groupBy("half", "kind", *FEATURES).agg(F.sum((F.col("meets") == 1).cast("long")).alias("yes"), F.count(F.lit(1)).alias("all"))
-    rows = [r.asDict() for r in counts.collect()]  # a row for each combination of feature values
+def counted(marked: DataFrame, column: str) -> list[dict]:
+    """A row for each combination of half, kind and feature values: how many proposals, and how many of them are valid,
+    among all and among those that meet no base span."""
+    told = marked.select(F.pmod(F.xxhash64("doc_id", f"{column}.base", f"{column}.proposed"), F.lit(2)).alias("half"), F.explode(f"{column}.proposed").alias("x"))
+    tally = lambda name, which: F.sum(which.cast("long")).alias(name)
+    sums = told.select("half", "x.*").groupBy("half", "kind", *FEATURES).agg(
+        F.count(F.lit(1)).alias("all"), tally("yes", F.col("valid")), tally("free", F.col("free")), tally("free_yes", F.col("free") & F.col("valid")))
+    return [r.asDict() for r in sums.collect()]
+
+
+def _least(hold: list[dict], precision: float) -> float:
+    """The lowest score from which on that share of the free proposals is valid; infinite where there is none."""
+    right = seen = 0
+    found = math.inf
+    for f in sorted({r["f"] for r in hold}, reverse=True):
+        right += sum(r["free_yes"] for r in hold if r["f"] == f)
+        seen += sum(r["free"] for r in hold if r["f"] == f)
+        if right / (seen + 1) >= precision:
+            found = f
+    return found
+
+
+def fit(rows: list[dict], rounds: int = 12, depth: int = 3, precision: float = 0.9, supported: float = 0.5) -> Trees:
+    """Trees from the counts of all proposals of the corpus. A kind without examples for it gets none, and adds nothing."""
     trees = Trees()
-    for kind in PROPOSED:
+    for kind in KINDS:
         own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: [r["half"], *(r[f] for f in FEATURES)])
         learn, hold = [r for r in own if r["half"] == 0], [r for r in own if r["half"] == 1]
         yes, n = sum(r["yes"] for r in learn), sum(r["all"] for r in learn)
@@ -217,35 +299,39 @@ def fit(documents: DataFrame, rounds: int = 12, depth: int = 3, precision: float
             trees.splits[kind].append(tree)
             for r in own:
                 r["f"] += _value(tree, r)
-        right = seen = 0
-        for f in sorted({r["f"] for r in hold}, reverse=True):
-            right += sum(r["yes"] for r in hold if r["f"] == f)
-            seen += sum(r["all"] for r in hold if r["f"] == f)
-            if seen and right / seen >= precision:
-                trees.threshold[kind] = f
+        least = _least(hold, precision), _least(hold, supported)
+        if least[1] < math.inf:
+            trees.threshold[kind] = least
     return trees
 
 
-def find(documents: DataFrame, trees: Trees) -> DataFrame:
-    """documents with base_spans and spans: array<struct<kind, start, end>>, by kind as in KINDS, then by place.
-
-    An added span that overlaps a base span of any kind, or an added one before it, is left out."""
-    base = documents.withColumn("_base", F.struct(*[v.alias(k) for k, v in base_spans(F.col("text")).items()]))
+def take(marked: DataFrame, trees: Trees, column: str) -> DataFrame:
+    """marked with base_spans and spans, and without the column of marks: array<struct<kind, start, end>>, by kind as in
+    KINDS, then by place."""
     plain = lambda kind, a: F.transform(a, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    found = base.withColumn("base_spans", F.concat(*[plain(k, F.col("_base")[k]) for k in KINDS]))
+    marks = F.col(column)
+    base = F.concat(*[plain(k, marks["base"][k]) for k in BASE_KINDS])
     if not trees.threshold:
-        return found.withColumn("spans", F.col("base_spans")).drop("_base")
-    taken = F.filter(proposals(F.col("text"), F.col("_base")), lambda x: (x["meets"] == 0) & trees.selects(x))
-    sorted_ = F.array_sort(F.transform(taken, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+        return marked.withColumn("base_spans", base).withColumn("spans", F.col("base_spans")).drop(column)
+    taken = F.filter(marks["proposed"], lambda x: x["free"] & trees.selects(x))
+    in_order = F.array_sort(F.transform(taken, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
     apart = F.aggregate(
-        sorted_,
+        in_order,
         F.array().cast("array<struct<kind:string,start:int,end:int>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > x["start"]), a).otherwise(F.concat(a, F.array(F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (-x["back"]).alias("end"))))),
     )
-    found = found.withColumn("_added", apart)
-    by_kind = [F.array_sort(of_kind(F.concat("base_spans", "_added"), kind)) for kind in KINDS]
-    spans = F.when(F.size("_added") == 0, F.col("base_spans")).otherwise(F.concat(*by_kind))
-    return found.withColumn("spans", spans).drop("_base", "_added")
+    found = marked.withColumn("base_spans", base).withColumn(column, apart)
+    by_kind = [F.array_sort(of_kind(F.concat("base_spans", column), kind)) for kind in KINDS]
+    spans = F.when(F.size(column) == 0, F.col("base_spans")).otherwise(F.concat(*by_kind))
+    return found.withColumn("spans", spans).drop(column)
+
+
+def find(documents: DataFrame, **fitting) -> DataFrame:
+    """documents with base_spans and spans, by trees that are grown from these documents."""
+    plain = without(documents, "base_spans", "spans")
+    column = fresh(plain, "_marks")
+    marked = written(mark(plain, column), "pii-marks")
+    return take(marked, fit(counted(marked, column), **fitting), column)
 
 
 def of_kind(spans: Column, kind: str) -> Column:

@@ -44,10 +44,12 @@ def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents")
-    found = pii.find(documents, pii.fit(documents))
-    n = [F.size(pii.of_kind(F.col("base_spans"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *n, F.sha2(pii.shown(F.col("base_spans")), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"))
+    """The contract's columns, then n_secret long, the spans that the trees add as secrets, and n_spans long, all spans."""
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda spans, name: F.size(spans).cast("long").alias(name)
+    n = [count(pii.of_kind(F.col("base_spans"), kind), f"n_{kind}") for kind in pii.BASE_KINDS]
+    more = count(pii.of_kind(F.col("spans"), "secret"), "n_secret"), count(F.col("spans"), "n_spans")
+    return found.select("doc_id", *n, F.sha2(pii.shown(F.col("base_spans")), 256).alias("base_sha256"), pii.shown(F.col("spans")).alias("spans"), *more)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
