@@ -40,7 +40,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find(docs, pii.fit(docs)).withColumn("text", pii.redact(F.col("text"), F.col("spans")))
+    found = pii.find(docs).withColumn("text", pii.redact(F.col("text"), F.col("spans")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
