@@ -41,7 +41,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """The tables of one job, as a context: what it writes goes at its end, what it keeps stays for the result's readers."""
+    """The tables of one job, as a context: what it writes goes at its end, what it keeps stays for the result's readers.
+    last: the path of the table written last."""
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark, self.folder, self.n = spark, shared_folder(spark, purpose), 0
@@ -57,7 +58,8 @@ class Scratch:
         return f"{self.folder}/{kind}/{self.n}"
 
     def write(self, df: DataFrame) -> DataFrame:
-        return saved(df, self._next("rounds"))
+        self.last = self._next("rounds")
+        return saved(df, self.last)
 
     def keep(self, df: DataFrame) -> DataFrame:
         return saved(df, self._next("kept"))
