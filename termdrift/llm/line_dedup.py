@@ -1,11 +1,13 @@
 """Lines that many documents repeat (operator 3), in DataFrame functions alone.
 
 Two passes over the lines. The first counts documents per key, combined before the shuffle, so a line that a third of
-all rows hold is one row per task. The second joins the repeated keys to the places that hold them; a hot key is
-split by Spark's skew join. Only hashes, ids and places are shuffled, until the lines to drop meet their document.
+all rows hold is one row per task; its result is written, so that the join of the second, with the places that hold
+the repeated keys, is one that Spark can split where a key is hot. Only hashes, ids and places are shuffled. The
+lines to drop then meet their document; a bitmap of bounded size keeps the other documents' texts out of that shuffle.
 
 Null and empty texts are one empty line. A document with no id keeps all its lines. Rows with the same id count as
-one document and lose the same keys. Extra columns stay. An empty table stays empty.
+one document and lose the same keys. Extra columns stay; those named n_lines, n_dropped or kept_text are replaced. An
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termdrift.llm.bitmap import split
+from termdrift.llm.tables import fresh, without
+from termdrift.scratch import Scratch
+
 #: The blanks stripped from a line, and the letters that are folded.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,23 +57,22 @@ def repeated_lines(documents: DataFrame, min_length: int = 10, min_documents: in
 
 def drop_repeated_lines(documents: DataFrame, min_length: int = 10, min_documents: int = 2) -> DataFrame:
     """documents with n_lines, n_dropped long and kept_text: every repeated line is gone but from the first document."""
+    documents = without(documents, "n_lines", "n_dropped", "kept_text")
     places = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(_keys(documents, min_length)).alias("at", "key")).where(F.col("key").isNotNull())
-    repeated = repeated_lines(documents, min_length, min_documents)
-    dropped = (
-        places.join(repeated, "key")
-        .where(F.col("doc_id") != F.col("first_doc"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("at").alias("_dropped"))
-        .withColumnRenamed("doc_id", "_doc")
-    )
+    with Scratch(documents.sparkSession, "line-dedup") as scratch:
+        repeated = scratch.write(repeated_lines(documents, min_length, min_documents))
+        doc, dropped = fresh(documents, "_doc"), fresh(documents, "_dropped")
+        lost = places.join(repeated, "key").where(F.col("doc_id") != F.col("first_doc"))
+        lost = scratch.keep(lost.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("at").alias(dropped)))
+    losing, whole = split(documents, F.col("doc_id"), lost, doc)
+    joined = losing.join(lost, F.col("doc_id") == F.col(doc), "left").drop(doc)
+    every = joined.unionByName(whole.withColumn(dropped, F.lit(None).cast("array<int>")))
     lines = lines_of(F.col("text"))
-    joined = documents.join(dropped, F.col("doc_id") == F.col("_doc"), "left").withColumn("_lines", lines)
-    n = F.size("_lines")
-    places_kept = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("_dropped", F.array().cast("array<int>")))
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(places_kept, lambda i: F.element_at("_lines", i + 1)), "\n"))
-    return joined.select(
+    n, gone = F.size(lines), F.coalesce(dropped, F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
+    return every.select(
         *documents.columns,
         n.cast("long").alias("n_lines"),
-        (n - F.size(places_kept)).cast("long").alias("n_dropped"),
-        kept.alias("kept_text"),
+        F.size(gone).cast("long").alias("n_dropped"),
+        F.when(F.col(dropped).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
