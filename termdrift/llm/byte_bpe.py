@@ -5,8 +5,9 @@ one pass. From the longest token at each place the encoder walks on, takes a sho
 not stand side by side after the merges, and steps back where none fits; a place once found wrong is never tried
 again, so the time is linear. Whether two tokens may be neighbours is worked out once per pair.
 
-Null text is the empty text, and an empty text has no tokens. Rows are independent: repeated rows, extra columns and
-empty tables need no care, and every row comes back.
+Null text is the empty text, and an empty text has no tokens. Rows are independent: repeated rows and empty tables need
+no care, and every row comes back. The encoding is unique, so there are no ties. Extra columns stay; those named
+token_ids or decoded are replaced.
 """
 
 from __future__ import annotations
@@ -164,8 +165,6 @@ def _encoder(key: str, ranks: Broadcast, pattern: str) -> Encoder:
     return _ENCODERS[key, pattern]
 
 
-
-
 def encode(text: Column, ranks: Broadcast, path: str, pattern: str) -> Column:
     """array<int>: the ids of a text; no null."""
 
@@ -182,14 +181,25 @@ def encode(text: Column, ranks: Broadcast, path: str, pattern: str) -> Column:
     return ids(text)
 
 
-def decode(ids: Column, ranks: Broadcast) -> Column:
+_TOKENS: dict = {}
+
+
+def _tokens(key: str, ranks: Broadcast) -> dict[int, bytes]:
+    """id -> token, one per Python worker."""
+    if key not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[key] = {rank: token for token, rank in ranks.value.items()}
+    return _TOKENS[key]
+
+
+def decode(ids: Column, ranks: Broadcast, path: str) -> Column:
     """binary: the bytes that ids stand for; null or no ids are no bytes, and an unknown id is an error."""
 
     @F.arrow_udf("binary")
     def data(lists):
         import pyarrow as pa
 
-        table = {rank: token for token, rank in ranks.value.items()}.__getitem__
+        table = _tokens(path, ranks).__getitem__
         flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
         at, out = 0, []
         for n in lists.value_lengths().fill_null(0).to_pylist():
@@ -204,4 +214,4 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
     """documents with token_ids array<int> and decoded binary, its round trip."""
     ranks = read_ranks(documents.sparkSession, path)
     encoded = documents.withColumn("token_ids", encode(F.col("text"), ranks, path, pattern))
-    return encoded.withColumn("decoded", decode(F.col("token_ids"), ranks))
+    return encoded.withColumn("decoded", decode(F.col("token_ids"), ranks, path))

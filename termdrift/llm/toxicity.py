@@ -7,8 +7,10 @@ words that the labels show to be tied to toxicity: at most once in two hundred w
 It learns from a bounded sample of labelled rows (max_labelled, by a hash of the id). A document's severity is the
 expected grade; grade is the likeliest, and a document is toxic if grades above 0 are likelier than not.
 
-Null and empty texts have no words and get the severity of a text without any. Rows are independent: repeated rows and
-extra columns need no care, and an empty table stays empty. Without usable labels of both classes every severity is 0.
+Null and empty texts have no words and get the severity of a text without any; a very long text counts whole. Rows are
+independent: repeated rows need no care, and an empty table stays empty. Of two grades equally likely the lower one is
+given. Extra columns stay; those named severity, grade or toxic are replaced. Without usable labels of both classes
+every severity is 0.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from termdrift.llm.labelled import sample_texts
 from termdrift.llm.recent import Recent
+from termdrift.llm.tables import fresh, without
 
 WORDS = re.compile(r"\w+").findall
 BUCKETS = 1 << 18
@@ -125,6 +128,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> Se
 def grade_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = 6000) -> DataFrame:
     """documents with severity double in 0 to 3, grade int and toxic boolean."""
     model = fit(documents, labels, max_labelled)
+    documents = without(documents, "severity", "grade", "toxic")
     if model is None:
         return documents.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(False)})
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -137,7 +141,8 @@ def grade_documents(documents: DataFrame, labels: DataFrame, max_labelled: int =
         fields = [pa.array(p @ np.arange(4)), pa.array(p.argmax(1).astype("i4")), pa.array(p[:, 0] < 0.5)]
         return pa.StructArray.from_arrays(fields, ["severity", "grade", "toxic"])
 
-    return documents.withColumn("_graded", graded("text")).select("*", "_graded.*").drop("_graded")
+    own = fresh(documents, "_graded")
+    return documents.withColumn(own, graded("text")).select(*documents.columns, f"{own}.*")
 
 
 _SLOTS = Recent(slot)

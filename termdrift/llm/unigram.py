@@ -16,8 +16,8 @@ Pre-tokens go into a trie. A node holds the best score and count of its prefix,
 so words that share a beginning share the work; a word's last node holds its count. The trie and the counts of recent
 words are kept from row to row in a worker; the trie starts anew at a bound on its nodes.
 
-Null and empty texts count 0. Repeated rows count as often as they come, in the estimate too; extra columns and empty
-tables need no care.
+Null and empty texts count 0. Repeated rows count as often as they come, in the estimate too. Extra columns stay; one
+named n_tokens is replaced. On an empty table every piece is as likely as any other, and no row comes back.
 """
 
 from __future__ import annotations
