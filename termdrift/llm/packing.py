@@ -1,13 +1,19 @@
 """Best-fit packing of tokenised documents into sequences (operator 9).
 
 Documents are tokenised by a public word-piece vocabulary, closed with one id, and cut only where longer than a
-sequence. The pieces are dealt into blocks of a bounded number of documents by a hash of the document's id, which
-bounds what one task holds whatever the corpus, and costs less than one sequence a block. In a block the pieces are
-placed best fit, longest first. Then a local search works on the bins that are not full: it moves a piece, swaps one
-for one, or two for one, whenever the sum of squared fills grows, which empties the least filled bins.
-
-Null text is empty: a document of the closing id alone. Repeated rows are packed as often as they come. Extra columns
-are ignored, and an empty table gives no pieces.
+sequence. The lengths and checksums of the pieces are written, and the pieces are dealt into blocks of about `block`
+pieces by their place in that table, so a block is no larger however often an id or a text repeats. In a block the
+pieces are placed best fit, longest first. Then a local search works on the bins that are not full: it moves a piece,
+swaps one for one, or two for one, whenever the sum of squared fills grows, which empties the least filled bins. It
+ends when the bins are as few as their tokens allow, or when a whole round finds no exchange.
+
+What is left of each block, the bins filled below `closed` of a sequence, goes to a next level, where the leftovers of
+up to `together` blocks meet in one and are packed anew; and so on until one block is left. So the corpus as a whole,
+and not each block, has its few underfull sequences.
+
+Null text is empty: a document of the closing id alone. Repeated rows, and rows without id, are packed as often as they
+come. Pieces of one length are alike, so of ties any order packs as well; the same table is packed the same way. Extra
+columns are ignored, and an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -16,12 +22,15 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termdrift.scratch import Scratch
+
 #: A word of the letters up to U+00FF, whose case folds alike everywhere, and a sign behind it.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
@@ -132,15 +141,13 @@ def fill(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 20) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search on the bins that are not full, until a round changes nothing. No bin overflows, no piece is lost,
     and the sum of squared fills only grows, so it ends."""
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     rest = [b for b in bins if sum(lengths[i] for i in b) < capacity]
     least = -(-sum(lengths) // capacity)
-    for _ in range(rounds):
-        if len(full) + len(rest) <= least:  # no bin can be emptied
-            break
+    while len(full) + len(rest) > least:  # else no bin can be emptied
         rest.sort(key=lambda b: (-sum(lengths[i] for i in b), b))
         changed = False
         for k in range(len(rest) - 1, 0, -1):  # the least filled gives
@@ -204,21 +211,36 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bin_of, offset
 
 
-def pack_documents(documents: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, block: int = 4096) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-
-    Only lengths and checksums are shuffled. A block holds about `block` documents, however many there are.
-    """
-    blocks = max(1, -(-documents.count() // block))
-    pieces = documents.select("doc_id", F.explode(cut(F.col("text"), path, capacity, closing_id)).alias("p")).select("doc_id", "p.*")
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+def _packing(level: int, capacity: int, closed: float):
+    """A function that packs a block, and marks the pieces whose sequence is filled below closed."""
 
     def packed(pdf):
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-        bins, offsets = place(pdf["length"].tolist(), capacity)
-        pdf["sequence_id"] = pdf["block"] * (1 << 32) + bins
+        lengths = pdf["length"].tolist()
+        bins, offsets = place(lengths, capacity)
+        fills = np.bincount(bins, lengths, minlength=1)
+        pdf["sequence_id"] = (level << 56) + pdf["block"] * (1 << 24) + bins
         pdf["offset"] = offsets
-        return pdf.drop(columns="block")
+        pdf["open"] = fills[bins] < closed * capacity
+        return pdf
+
+    return packed
+
+
+def pack_documents(documents: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, block: int = 4096, together: int = 64, closed: float = 0.95) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    Only lengths and checksums are shuffled, and each level but the first holds only what the one before left over."""
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("block").applyInPandas(packed, kinds)
+    with Scratch(documents.sparkSession, "packing") as scratch:
+        pieces = scratch.write(documents.select("doc_id", F.explode(cut(F.col("text"), path, capacity, closing_id)).alias("p")).select("doc_id", "p.*"))
+        blocks = max(1, -(-pieces.count() // block))
+        # the places of the rows of a written table are the same whenever it is read
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+        settled, level = [], 0
+        while True:
+            done = scratch.write(dealt.groupBy("block").applyInPandas(_packing(level, capacity, closed if blocks > 1 else 0), f"{kinds}, block long, open boolean"))
+            settled.append(done.where("NOT open").drop("block", "open"))
+            if blocks == 1:
+                return scratch.keep(reduce(DataFrame.union, settled))
+            level, blocks = level + 1, -(-blocks // together)
+            dealt = done.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", F.floor(F.col("block") / together).alias("block"))
