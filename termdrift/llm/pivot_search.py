@@ -1,18 +1,24 @@
 """Exact search for the highest inner products by a table of pivots (operator 6).
 
 A bounded sample of rows yields the pivots, each the farthest from those before it. Every row is indexed: it carries
-its length and its distances to all pivots. By the triangle inequality the largest difference between the distances of
-a query and of a candidate to one pivot bounds their own distance from below, and with both lengths that bounds their
-inner product from above. Candidates are evaluated in the order of that bound until the next bound is below the
-lowest score that still counts; so the result is exact.
+its length and its distances to all pivots, and goes to a block of bounded size with others whose nearest pivot is the
+same. By the triangle inequality the largest difference between the distances of a query and of a candidate to one
+pivot bounds their own distance from below, and with both lengths that bounds their inner product from above.
 
-Candidates and queries are dealt into blocks of bounded size, and a task works on one pair of blocks at a time. Its
-best per query are merged by a ranking that Spark cuts down before it shuffles.
+First each query is searched in one block of its own pivot. The score of its k-th best there is a threshold that the
+result can only exceed. A block keeps the range of its distances to each pivot, so the same bound holds for blocks: a
+pair of blocks whose bound is below the threshold of all its queries is left out before a row is shuffled. In the
+pairs that are left, candidates whose bound is below the query's threshold are left out, and the others are evaluated
+in the order of the bound, in growing steps, until the next bound is below the lowest score that still counts; so the
+result is exact. The best of each task are merged by a ranking that Spark cuts down before it shuffles.
+
+How much is eliminated hangs on the data: much where vectors lie in groups, nothing where they are spread evenly over
+many dimensions, as there all distances are about alike; then every query meets every candidate, in blocks.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id. A query of
 another width than a candidate has no score with it. A vector of no components has the score 0 with its like. Rows
-that repeat a vec_id are all candidates, but none is a candidate for queries of its own id. Ties go to the smaller
-vec_id. Extra columns are ignored, and an empty table gives no rows.
+that repeat a vec_id are all candidates, but none is a candidate for queries of its own id; the queries of one id are
+ranked together. Ties go to the smaller vec_id. Extra columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termdrift.scratch import Scratch
+
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -50,78 +58,129 @@ def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> np.ndarray:
 
 
 def indexed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vectors with d array<double>: its length, then its distance to each pivot; empty where the width differs."""
+    """vectors with d array<double>: its length, then its distance to each pivot, where it has their width; and cell
+    int: the nearest pivot, or -1."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("struct<d:array<double>,cell:int>")
     def distances(lists):
         import pyarrow as pa
 
-        p, out = shared.value, []
+        p, d, cell = shared.value, [], []
         width = p.shape[1] if len(p) else -1
         for v in lists.to_pylist():
             x = np.array(v, float)
-            out.append(np.concatenate(([np.sqrt(x @ x)], np.sqrt(((p - x) ** 2).sum(1)))).tolist() if len(v) == width else [])
-        return pa.array(out, pa.list_(pa.float64()))
-
-    return vectors.withColumn("d", distances("v"))
-
-
-def best_of_block(q_ids, q, q_d, c_ids, c, c_d, k: int) -> list[tuple[int, int, int]]:
-    """The k highest scores of each query within one block of candidates: (query, candidate, score)."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1) < 2.0**53
-    scale = max(float(q_d[:, 0].max()) + float(c_d[:, 0].max()), 1.0)
-    bound = np.zeros((len(q), len(c)))
-    for j in range(q_d.shape[1]):  # the length is the distance to the origin, one more pivot
-        np.maximum(bound, np.abs(q_d[:, j : j + 1] - c_d[None, :, j]), out=bound)
-    most = (q_d[:, :1] ** 2 + c_d[None, :, 0] ** 2 - bound**2) / 2 + 1e-9 * scale**2 + 0.5  # the slack covers rounding
-    order = np.argsort(-most, axis=1, kind="stable")
-    out = []
-    step = 4 * k + 32
-    for i in range(len(q)):
-        ids, scores = np.zeros(0, "i8"), np.zeros(0, "f8" if exact else object)
-        for at in range(0, len(c), step):
-            some = order[i, at : at + step]
-            if len(ids) >= k and most[i, some[0]] < scores[k - 1]:
-                break
-            some = some[c_ids[some] != q_ids[i]]
-            found = c[some] @ q[i] if exact else np.array([sum(int(a) * int(b) for a, b in zip(x, q[i], strict=True)) for x in c[some]], object)
-            ids, scores = np.concatenate((ids, c_ids[some])), np.concatenate((scores, found))
-            top = np.lexsort((ids, -scores))[:k] if exact else np.array(sorted(range(len(ids)), key=lambda n: (-scores[n], ids[n]))[:k], int)
-            ids, scores = ids[top], scores[top]
-        out += [(int(q_ids[i]), int(a), max(min(int(s), 2**63 - 1), -(2**63))) for a, s in zip(ids, scores, strict=True)]
-    return out
-
-
-def top_inner_products(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 24, sample: int = 2000, candidate_block: int = 4096, query_block: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score. vectors: vec_id, embedding; queries: which rows are queries, too."""
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", whole(F.col("embedding")).alias("v"), queries.alias("asks"))
-    points = indexed(rows, choose_pivots(rows, pivots, sample))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
-    c_blocks, q_blocks = max(1, -(-sizes["n"] // candidate_block)), max(1, -(-sizes["q"] // query_block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n)).cast("int")
-    width = F.size("v").alias("width")
-    candidates = points.select("vec_id", "v", "d", width, own(c_blocks).alias("c"), every(q_blocks).alias("q"))
-    asking = points.where("asks").select("vec_id", "v", "d", width, own(q_blocks).alias("q"), every(c_blocks).alias("c"))
+            far = np.sqrt(((p - x) ** 2).sum(1)) if len(v) == width else np.zeros(0)
+            d.append([float(np.sqrt(x @ x)), *far.tolist()])
+            cell.append(int(far.argmin()) if len(far) else -1)
+        return pa.StructArray.from_arrays([pa.array(d, pa.list_(pa.float64())), pa.array(cell, pa.int32())], ["d", "cell"])
+
+    return vectors.withColumn("x", distances("v")).select("*", "x.d", "x.cell").drop("x")
+
+
+class Block:
+    """The rows of a block of candidates, ready to be searched."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, d: np.ndarray):
+        self.ids, self.v, self.d = ids, v, np.ascontiguousarray(d.T, "f4")
+        self.square, self.most = d[:, 0] ** 2, float(np.abs(v).max(initial=0))
+        self.narrow = v.astype("f4")  # exact while all sums stay below 2^24
+
+    def scores(self, q: np.ndarray, some: np.ndarray | None) -> np.ndarray:
+        """Exact inner products with the rows `some`, or with all."""
+        top = float(np.abs(q).max(initial=0)) * self.most * max(len(q), 1)
+        if top < 2.0**53:
+            v = self.narrow if top < 2.0**24 else self.v
+            return ((v if some is None else v[some]) @ q.astype(v.dtype)).astype(float)
+        rows = self.v if some is None else self.v[some]
+        return np.array([sum(int(a) * int(b) for a, b in zip(x, q, strict=True)) for x in rows], object)
+
+    def best(self, own: int, q: np.ndarray, d: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and scores of the k best candidates for a query that reach `least`, best first."""
+        gap = np.abs(self.d - d.astype("f4")[:, None]).max(0).astype(float)
+        slack = 1e-5 * (float(self.d[0].max(initial=0)) + float(d[0]) + 1)  # distances are rounded to 24 bits
+        most = (d[0] ** 2 + self.square - np.maximum(gap - slack, 0) ** 2) / 2
+        most += 1e-9 * np.abs(most) + 0.5
+        open_ = np.flatnonzero((most >= least) & (self.ids != own))
+        ids, scores, step = np.zeros(0, "i8"), np.zeros(0), 8 * k
+        while len(open_):
+            if step < len(open_):
+                parted = np.argpartition(-most[open_], step - 1)
+                now, open_ = open_[parted[:step]], open_[parted[step:]]
+            else:
+                now, open_ = open_, open_[:0]
+            found = self.scores(q, None)[now] if 2 * len(now) > len(self.ids) else self.scores(q, now)
+            ids, scores = np.concatenate((ids, self.ids[now])), np.concatenate((scores, found))
+            reach = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+            at = np.flatnonzero((scores >= reach) & (scores >= least))
+            at = np.array(sorted(at, key=lambda i: (-scores[i], ids[i]))[:k], int)
+            ids, scores = ids[at], scores[at]
+            if len(ids) == k:
+                open_ = open_[most[open_] >= scores[-1]]
+            step *= 8
+        return ids, scores
+
+
+def _arrays(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors and distances of an Arrow table whose rows have one width."""
+    grid = lambda name: table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+    return table["vec_id"].to_numpy(), grid("v"), grid("d")
+
+
+def _search(k: int):
+    """A function that gives the best of a block of candidates for each query of a block."""
 
     def best(asked, offered):
         import pyarrow as pa
 
-        if not len(asked) or not len(offered):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        ids = lambda t: t["vec_id"].to_numpy()
-        grid = lambda t, name: t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), -1)
-        q, c = grid(asked, "v"), grid(offered, "v")
-        q_d, c_d = grid(asked, "d"), grid(offered, "d")
-        if not q_d.shape[1]:  # a width that no pivot has: lengths alone
-            q_d, c_d = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(c, axis=1)[:, None]
-        found = best_of_block(ids(asked), q, q_d, ids(offered), c, c_d, k)
+        found: list[tuple[int, int, int]] = []
+        if len(asked) and len(offered):
+            block = Block(*_arrays(offered))
+            for own, q, d, least in zip(*_arrays(asked), asked["least"].to_pylist(), strict=True):
+                ids, scores = block.best(own, q, d, -np.inf if least is None else least, k)
+                found += [(int(own), int(i), max(min(int(s), 2**63 - 1), -(2**63))) for i, s in zip(ids, scores, strict=True)]
         columns = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
-    keys = ("width", "c", "q")
-    near = asking.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(best, OUT)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return best
+
+
+def _ranges(rows: DataFrame, block: str) -> DataFrame:
+    """width, block, low and high array<double>: the range of each distance in a block."""
+    ends = rows.select("width", block, F.posexplode("d").alias("j", "x")).groupBy("width", block, "j").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return ends.groupBy("width", block).agg(F.array_sort(F.collect_list(F.struct("j", "low", "high"))).alias("r")).select("width", block, F.col("r.low").alias("low"), F.col("r.high").alias("high"))
+
+
+def _open_pairs(asking: DataFrame, candidates: DataFrame, salt: int = 256) -> DataFrame:
+    """width, q, c: the pairs of blocks whose bound reaches the least threshold of the queries."""
+    least = asking.groupBy("width", "q").agg(F.min(F.coalesce("least", F.lit(float("-inf")))).alias("least"))
+    asked = _ranges(asking, "q").join(least, ["width", "q"]).withColumnsRenamed({"low": "low_q", "high": "high_q"})
+    pairs = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).join(_ranges(candidates, "c").withColumn("salt", F.pmod("c", F.lit(salt))), ["width", "salt"])
+    apart = F.zip_with(F.zip_with("low_q", "high", lambda a, b: a - b), F.zip_with("low", "high_q", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    top = lambda name: F.element_at(name, 1)
+    most = (F.pow(top("high_q"), 2) + F.pow(top("high"), 2) - F.pow(F.array_max(apart), 2)) / 2
+    return pairs.where(most + F.abs(most) * 1e-9 + 0.5 >= F.col("least")).select("width", "q", "c")
+
+
+def top_inner_products(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 24, sample: int = 2000, candidate_block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """query_id, rank, vec_id, score. vectors: vec_id, embedding; queries: which rows are queries, too."""
+    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", whole(F.col("embedding")).alias("v"), queries.alias("asks"))
+    with Scratch(vectors.sparkSession, "pivot-search") as scratch:
+        points = scratch.write(indexed(rows, choose_pivots(rows, pivots, sample)).withColumn("width", F.size("v")))
+        # blocks are runs of the rows of a width, cell after cell
+        sizes = points.groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("m"))  # a row for each width and pivot
+        before = Window.partitionBy("width").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = F.broadcast(sizes.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "m")}))
+        own = lambda n, size: F.floor((F.col(f"{n}_before") + F.pmod(F.xxhash64("vec_id", F.lit("block")), F.greatest(F.col(n), F.lit(1)))) / size)
+        points = points.join(sizes, ["width", "cell"])
+        candidates = points.select("vec_id", "v", "d", "width", own("n", candidate_block).alias("c"))
+        asking = points.where("asks").select("vec_id", "v", "d", "width", own("m", query_block).alias("q"), own("n", candidate_block).alias("c"), F.lit(None).cast("double").alias("least"))
+
+        search = lambda a, b, *keys: a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_search(k), OUT)
+        first = search(asking.select(*[F.col(c).alias(c) for c in asking.columns]), candidates, "width", "c").groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("least"))
+        asking = scratch.write(asking.drop("c", "least").join(first.withColumnRenamed("query_id", "vec_id"), "vec_id", "left"))
+        pairs = scratch.write(_open_pairs(asking, candidates))
+        near = search(asking.join(pairs, ["width", "q"]), candidates.join(pairs, ["width", "c"]), "width", "c", "q")
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        return scratch.keep(ranked.select("query_id", "rank", "vec_id", "score"))
