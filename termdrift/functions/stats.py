@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termdrift.functions.scalars import known
+from termdrift.scratch import written
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -22,7 +23,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """bin (from 0), low, high, count: bins of equal width from the least to the largest value, the last one closed.
 
-    All bins are there, empty ones too. If all values are equal the range is half a unit to both sides."""
+    df is read three times, so give one that is written. All bins are there, empty ones too. If all values are equal the range is half a unit to both sides."""
     c = known(F.col(column))
     ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo IS NOT NULL")
     ends = ends.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
@@ -36,11 +37,12 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def average_ranks(df: DataFrame, column: str, rank: str) -> DataFrame:
     """df with the rank of column's value; ties share the mean of their ranks.
 
-    The running count goes over the distinct values, split into ranges, so no task sorts all rows."""
+    The running count goes over the distinct values, split into ranges, so no task sorts all rows. The ranges are written,
+    as they are sampled, and a value must be in the same one wherever it is read."""
     spark = df.sparkSession
     values = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = values.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id())
+    ranged = written(values.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id()), "ranks")
     sums = ranged.groupBy("_p").agg(F.sum("_n").alias("_s"))
     before = sums.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     run = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
@@ -89,6 +91,12 @@ def spearman_p(r: float | None, n: int) -> float | None:
     return 0.0 if abs(r) >= 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
+def spearman_tested(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: r, p, n. The p value is that of one number, so it is worked out in the driver."""
+    r, n = spearman(df, x, y).first()
+    return df.sparkSession.createDataFrame([(r, spearman_p(r, n), n)], "r double, p double, n long")
+
+
 def by_bin(df: DataFrame, group: str, column: str) -> DataFrame:
     """mean, median and count of column in each bin that occurs."""
     c = known(F.col(column))

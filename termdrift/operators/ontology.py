@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termdrift.scratch import written
+from termdrift.scratch import Scratch
 
 PROCESS = "biological_process"
 
@@ -20,25 +22,33 @@ def edges(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
     return live.select(F.col("id").alias("child"), F.explode("parents").alias("parent")).join(live.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
 
 
-def depths(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
+def depths(terms: DataFrame, namespace: str = PROCESS, levels: int = 3) -> DataFrame:
     """go_id, depth: the fewest steps from a root, that is a term without a parent in the set.
 
-    Breadth first: one small job a level, each on the new frontier alone. What hangs on a cycle only has no depth."""
-    links = written(edges(terms, namespace), "edges")
-    ids = live_terms(terms, namespace).select("id").distinct()
-    frontier = written(ids.join(links.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("go_id"), F.lit(0).alias("depth")), "level")
-    seen, level = frontier, 0
-    while not frontier.isEmpty():
-        level += 1
-        below = links.join(frontier, F.col("parent") == F.col("go_id"), "left_semi").select(F.col("child").alias("go_id")).distinct()
-        frontier = written(below.join(seen, "go_id", "left_anti").withColumn("depth", F.lit(level)), "level")
-        seen = seen.union(frontier)
-    return seen
+    Breadth first, some levels a job, each on the frontier alone. Within a job a term may be reached again; its fewest
+    steps count. What hangs on a cycle only has no depth."""
+    with Scratch(terms.sparkSession, "depths") as scratch:
+        links = scratch.write(edges(terms, namespace))
+        ids = live_terms(terms, namespace).select("id").distinct()
+        seen = scratch.write(ids.join(links.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("go_id"), F.lit(0).alias("depth")))
+        frontier, level = seen, 0
+        while True:
+            reached, at = [], frontier
+            for _ in range(levels):
+                level += 1
+                at = links.join(at, F.col("parent") == F.col("go_id"), "left_semi").select(F.col("child").alias("go_id")).distinct().withColumn("depth", F.lit(level))
+                reached.append(at)
+            new = reduce(DataFrame.union, reached).join(seen, "go_id", "left_anti").groupBy("go_id").agg(F.min("depth").alias("depth"))
+            new = scratch.write(new)
+            if new.isEmpty():
+                return scratch.keep(seen)
+            seen = scratch.write(seen.union(new))
+            frontier = new.where(F.col("depth") == level)
 
 
 def normalised_depths(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
     """go_id, depth, max_depth, normalized_depth: depth as a share of the largest, 0 if that is 0."""
-    found = written(depths(terms, namespace), "depths")
+    found = depths(terms, namespace)
     most = found.agg(F.max("depth").alias("max_depth"))
     share = F.when(F.col("max_depth") > 0, F.col("depth") / F.nullif("max_depth", F.lit(0))).otherwise(0.0)
     return found.crossJoin(F.broadcast(most)).select("go_id", "depth", "max_depth", share.cast("double").alias("normalized_depth"))

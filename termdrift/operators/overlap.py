@@ -10,29 +10,50 @@ from pyspark.sql import functions as F
 from termdrift.functions.scalars import known, relative_change
 from termdrift.operators.components import connected_components
 from termdrift.schemas import NEW_COUNT, OLD_COUNT
+from termdrift.scratch import Scratch, written
 
 
-def jaccard_pairs(memberships: DataFrame, at_least: float = 0.0, key: str = "id", item: str = "item") -> DataFrame:
-    """a, b, jaccard of all pairs a < b that share an item and reach at_least.
+def jaccard_links(memberships: DataFrame, at_least: float = 0.0, key: str = "id", item: str = "item") -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, jaccard), a < b, of unlike sets that share an item and reach at_least; and (id, twin): for each id
+    the smallest one with the same set, by which alone the pairs name it.
 
     With a bound above 0 only the rarest items of a set are joined: sets that overlap that far share one of them, so
     none is lost and what most sets hold is not looked at. A key meets its like only where sizes allow the bound."""
-    sets = memberships.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()
-    sized = sets.join(sets.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
-    if at_least > 0:
-        held = sets.groupBy("i").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-        own = Window.partitionBy("k")
-        ranked = sized.join(held, "i", "left").withColumn("place", F.row_number().over(own.orderBy(F.coalesce("f", F.lit(1)), "i")))
-        joined = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1) & F.col("f").isNotNull())
-    else:
+    with Scratch(memberships.sparkSession, "jaccard") as scratch:
+        own_sets = memberships.select(F.col(key).alias("k"), F.col(item).alias("i")).groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("s")).where(F.size("s") > 0)
+        own_sets = scratch.write(own_sets.withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit(1), "s"), "n": F.size("s")}))
+        first = own_sets.groupBy("h", "g", "n").agg(F.min("k").alias("twin"))
+        twins = scratch.keep(own_sets.select("k", "h", "g", "n").join(first, ["h", "g", "n"]).select(F.col("k").alias("id"), "twin"))
+        whole = own_sets.join(twins.where("id = twin").select(F.col("id").alias("k")), "k", "left_semi").select("k", "n", "s")
+        sized = whole.select("k", "n", F.explode("s").alias("i"))
         joined = sized
-    left, right = joined.select(F.col("k").alias("a"), "i", F.col("n").alias("m")), joined.select(F.col("k").alias("b"), "i", "n")
-    fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9)
-    pairs = left.join(right, "i").where(fits).select("a", "b", "m", "n").distinct()
-    whole = sets.groupBy("k").agg(F.collect_set("i").alias("s"))
-    both = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
-    scored = both.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= at_least)
+        if at_least > 0:
+            held = sized.groupBy("i").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+            own = Window.partitionBy("k")
+            ranked = sized.join(held, "i", "left").withColumn("place", F.row_number().over(own.orderBy(F.coalesce("f", F.lit(1)), "i")))
+            joined = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1) & F.col("f").isNotNull())
+        joined = scratch.write(joined.select("k", "n", "i"))
+        left, right = joined.select(F.col("k").alias("a"), "i", F.col("n").alias("m")), joined.select(F.col("k").alias("b"), "i", "n")
+        fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9)
+        pairs = left.join(right, "i").where(fits).select("a", "b", "m", "n").distinct()
+        of = lambda end: whole.select(F.col("k").alias(end), F.col("s").alias(f"s{end}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+        scored = both.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("jaccard"))
+        return scratch.keep(scored.where(F.col("jaccard") >= at_least)), twins
+
+
+def jaccard_pairs(memberships: DataFrame, at_least: float = 0.0, key: str = "id", item: str = "item") -> DataFrame:
+    """a, b, jaccard of all pairs a < b that share an item and reach at_least, like sets among them."""
+    pairs, twins = jaccard_links(memberships, at_least, key, item)
+    of = lambda end: twins.select(F.col("id").alias(f"{end}_id"), F.col("twin").alias(end))
+    unlike = pairs.join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id", "jaccard")
+    like = of("a").join(of("b"), F.col("a") == F.col("b")).where("a_id < b_id").select("a_id", "b_id", F.lit(1.0).alias("jaccard"))
+    return unlike.union(like).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "jaccard")
+
+
+def cluster_links(pairs: DataFrame, twins: DataFrame) -> DataFrame:
+    """a, b, jaccard: pairs, and each id with its twin, which hang together what all pairs would."""
+    return pairs.union(twins.where("id <> twin").select(F.col("twin").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def clusters(nodes: DataFrame, pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -67,9 +88,9 @@ def filter_overlapping_go_terms(nodes: DataFrame, pairs: DataFrame, dataset: Dat
     nodes: all ids, of which those outside the dataset may still link others. pairs: both directions of a similarity
     that differs by direction; the one from the removed to the kept term is reported, the other if it is missing,
     and 0 if both are. Where pairs leaves out what is less similar, memberships (id, item) gives the true value: in a
-    chain of links the removed term may be far from the kept one. Dataset rows whose id is no node go. A cluster without a row in the dataset, or with no known
-    change, has no representative."""
-    placed = clusters(nodes, pairs, threshold)
+    chain of links the removed term may be far from the kept one. Dataset rows whose id is no node go. A cluster without a
+    row in the dataset, or with no known change, has no representative."""
+    placed = written(clusters(nodes, pairs, threshold), "clusters")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
     stats = sizes.groupBy("cluster_size").agg(F.count(F.lit(1)).alias("count"))
     change = F.abs(relative_change(F.col(old), F.col(new)) * 100)

@@ -20,6 +20,12 @@ def edge_list(cells: DataFrame, genes: DataFrame, terms: DataFrame) -> DataFrame
     return joined.select("entrez_gene_id", F.lit("GpBP").alias("metaedge"), "go_id")
 
 
+def matrix_shape(genes: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row: how many nodes each side of the matrix has."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(genes, "n_rows").crossJoin(F.broadcast(n(terms, "n_cols")))  # one row each
+
+
 def exploded(annotations: DataFrame) -> DataFrame:
     """One row per gene of a term. Both lists of a row must be equally long; a missing list is one missing gene.
 

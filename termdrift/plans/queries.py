@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from termdrift.functions import stats
 from termdrift.operators import classify, growth, ontology, overlap, universe
-from termdrift.scratch import shared_folder
 from termdrift.plans import snapshot
 from termdrift.schemas import COMMON_TERMS, GROWTH, NEW_COUNT, OLD_COUNT
+from termdrift.scratch import shared_folder, written
 from termdrift.sources import files
 
 CUT = "1998-03-01"
@@ -30,11 +30,12 @@ def pairs(spark: SparkSession, sf_dir: str, new: bool, term: str = "l_partkey",
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return universe.align(pairs(spark, sf_dir, False), pairs(spark, sf_dir, True))
+    found = compared(spark, sf_dir)
+    return found.old_pairs, found.new_pairs
 
 
 def compared(spark: SparkSession, sf_dir: str) -> snapshot.Comparison:
-    return snapshot.compare(pairs(spark, sf_dir, False), pairs(spark, sf_dir, True), keep=False)
+    return snapshot.compare(pairs(spark, sf_dir, False), pairs(spark, sf_dir, True))
 
 
 def terms(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
@@ -229,23 +230,21 @@ def words(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\t\n\r]+", -1))).alias("item")).where("item <> ''")
 
 
-def similar(spark, sf_dir) -> DataFrame:
-    return overlap.jaccard_pairs(words(spark, sf_dir), 0.85)
-
-
 def overlapped(spark, sf_dir) -> overlap.Overlap:
-    w = words(spark, sf_dir)
+    w = written(words(spark, sf_dir), "words")
     n = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("go_id"), F.col("n_chars").alias(NEW_COUNT))
     dataset = w.groupBy(F.col("id").alias("go_id")).agg(F.count(F.lit(1)).alias(OLD_COUNT)).join(n, "go_id")
-    return overlap.filter_overlapping_go_terms(w.select("id").distinct(), similar(spark, sf_dir), dataset, memberships=w)
+    links = written(overlap.cluster_links(*overlap.jaccard_links(w, 0.85)), "links")
+    return overlap.filter_overlapping_go_terms(w.select("id").distinct(), links, dataset, memberships=w)
 
 
 def jaccard_pairs(spark, sf_dir):
-    return similar(spark, sf_dir).where("jaccard > 0.9").select("a", "b", r6("jaccard"))
+    return overlap.jaccard_pairs(words(spark, sf_dir), 0.85).where("jaccard > 0.9").select("a", "b", r6("jaccard"))
 
 
 def components(spark, sf_dir):
-    return overlap.clusters(words(spark, sf_dir).select("id").distinct(), similar(spark, sf_dir))
+    w = written(words(spark, sf_dir), "words")
+    return overlap.clusters(w.select("id").distinct(), overlap.cluster_links(*overlap.jaccard_links(w, 0.85)))
 
 
 def overlap_filtered(spark, sf_dir):
@@ -277,24 +276,84 @@ def ontology_parse(spark, sf_dir):
 
 
 def csv_roundtrip(spark, sf_dir):
-    path = f"{shared_folder(spark)}/common-terms-csv"
+    path = shared_folder(spark, "common-terms-csv")
     files.write_csv(compared(spark, sf_dir).common_terms, path)
     return files.read_table(spark, path, COMMON_TERMS)
 
 
+def spearman_p_values(spark, sf_dir):
+    found, _ = snapshot.depth_analysis(hierarchy(spark, sf_dir))
+    parts = [df.select(F.lit(name).alias("measure"), r6("r"), r6("p"), "n") for name, df in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def matrix_shape(spark, sf_dir):
+    return universe.matrix_shape(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part"))
+
+
+def pair_metrics(spark, sf_dir):
+    return snapshot.pair_metrics(compared(spark, sf_dir))
+
+
+def class_metrics(spark, sf_dir):
+    m = snapshot.class_metrics(compared(spark, sf_dir))
+    return m.select("n_terms", *[r6(c) for c in m.columns[1:]])
+
+
+def dataset_metrics(spark, sf_dir):
+    m = snapshot.dataset_metrics(compared(spark, sf_dir), terms(spark, sf_dir, True))
+    return m.select("dataset", "n_terms", *[r6(c) for c in m.columns[2:]])
+
+
+def nodes_roundtrip(spark, sf_dir):
+    """The parts as a node file, one file in the order of their keys, read back with their places."""
+    path = shared_folder(spark, "nodes")
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.col("p_partkey").cast("string").alias("identifier"), F.col("p_name").alias("name"))
+    ids.orderBy("position").coalesce(1).write.csv(path, sep="\t", header=True)  # a node file is one file
+    return files.read_nodes(spark, path)
+
+
+def ids_roundtrip(spark, sf_dir):
+    path = shared_folder(spark, "ids")
+    files.write_ids(ontology.identify_leaf_terms(terms(spark, sf_dir, True)), path)
+    return files.read_ids(spark, path)
+
+
+def cached_roundtrip(spark, sf_dir):
+    """Leaves made once and read from the cache the second time."""
+    folder = shared_folder(spark, "cache")
+    files.cached(spark, folder, "leaves", [sf_dir], lambda: ontology.identify_leaf_terms(terms(spark, sf_dir, True)))
+    return files.cached(spark, folder, "leaves", [sf_dir], lambda: terms(spark, sf_dir, True).where("false").select(F.col("id").alias("go_id")))
+
+
+def graph_roundtrip(spark, sf_dir):
+    """Parts, suppliers and the pairs of both as a graph, written by kind and metaedge and read back."""
+    folder = shared_folder(spark, "graph")
+    node = lambda name, kind, key, label: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("identifier"), F.col(label).alias("name"))
+    nodes = node("part", "Term", "p_partkey", "p_name").union(node("supplier", "Gene", "s_suppkey", "s_name"))
+    side = lambda kind, c: F.array(F.lit(kind), F.col(c).cast("string"))
+    old = pairs(spark, sf_dir, False)
+    edges = old.select(F.lit("participates").alias("kind"), side("Gene", "entrez_gene_id").alias("source"), side("Term", "go_id").alias("target"), F.lit("both").alias("direction"))
+    files.write_graph(nodes, edges, folder)
+    back = spark.read.parquet(f"{folder}/edges").where("metaedge = 'participates'")
+    named = spark.read.parquet(f"{folder}/nodes").where("kind = 'Term'").select(F.col("identifier").alias("go_id"), F.col("name").alias("go_name"))
+    return back.select(F.get("source", F.lit(1)).cast("bigint").alias("entrez_gene_id"), F.get("target", F.lit(1)).alias("go_id")).join(named, "go_id")
+
+
 QUERIES = {f.__name__: f for f in (
     edge_list, term_frequency, term_sizes, term_size_band, universe_align, parallel_explode, common_terms, stable_pairs, added_pairs, removed_pairs,
     class_summary, top_added, class_counts_join, pct_change, positive_growth, iqr_thresholds, iqr_filtered, depths, norm_depths, hierarchy_metrics,
     leaf_terms, leaf_parents, dataset_leaves, dataset_parents, spearman_depth_growth, depth_bins, describe_depth, hist_stable_30, growth_scatter,
     null_audit, quality_checks, set_counts, retention, jaccard_pairs, components, overlap_filtered, overlap_removed, overlap_map, cluster_sizes,
-    ontology_parse, csv_roundtrip,
+    ontology_parse, csv_roundtrip, spearman_p_values, matrix_shape, pair_metrics, class_metrics, dataset_metrics, nodes_roundtrip, ids_roundtrip,
+    cached_roundtrip, graph_roundtrip,
 )}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that grew, within the fences, with at least ten old genes; suppliers as terms."""
     old, new = (pairs(spark, sf_dir, side, "l_suppkey", "l_partkey") for side in (False, True))
-    return shown(snapshot.compare(old, new, keep=False).dataset1_all_growth)
+    return shown(snapshot.compare(old, new).dataset1_all_growth)
 
 
 _PAIRS = f"""
@@ -369,7 +428,7 @@ _OVERLAP = f"""{_WORDS},
         SELECT x.go_id AS removed_go_id, k.go_id AS representative_go_id, coalesce(j.jaccard, 0) AS jaccard_similarity, x.{OLD_COUNT} AS removed_genes_2016,
                x.{NEW_COUNT} AS removed_genes_2024, x.pct_change AS removed_pct_change, k.{OLD_COUNT} AS kept_genes_2016, k.{NEW_COUNT} AS kept_genes_2024, k.pct_change AS kept_pct_change
         FROM rows_ x JOIN kept k ON x.component = k.component AND x.go_id <> k.go_id
-        LEFT JOIN j ON least(x.go_id, k.go_id) = j.a AND greatest(x.go_id, k.go_id) = j.b AND j.jaccard >= 0.85)"""
+        LEFT JOIN j ON least(x.go_id, k.go_id) = j.a AND greatest(x.go_id, k.go_id) = j.b)"""
 
 
 def _spearman(column: str) -> str:
@@ -378,6 +437,25 @@ def _spearman(column: str) -> str:
                rank() OVER (ORDER BY {GROWTH}) + (count(*) OVER (PARTITION BY {GROWTH}) - 1) / 2.0 AS ry FROM whole)"""
 
 
+def _spearman_p(column: str) -> str:
+    """The p value by the area under Student's density, put as a sum over 20,000 slices of the angle whose tangent is
+    t / sqrt(freedom)."""
+    return f"""SELECT measure, round(r, 6) AS r, round(greatest(1 - 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * (
+        SELECT sum(power(cos((i + 0.5) * asin(abs(r)) / 20000), n - 3)) * asin(abs(r)) / 20000 FROM range(20000) t(i)), 0), 6) AS p, n
+        FROM (SELECT '{column}' AS measure, corr(rx, ry) AS r, count(*) AS n FROM (
+        SELECT rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0 AS rx,
+               rank() OVER (ORDER BY {GROWTH}) + (count(*) OVER (PARTITION BY {GROWTH}) - 1) / 2.0 AS ry FROM whole))"""
+
+
+def _dataset(name: str, where: str) -> str:
+    return f"""SELECT '{name}' AS dataset, count(*) AS n_terms, round(avg({OLD_COUNT}), 6) AS mean_genes, round(median({OLD_COUNT}), 6) AS median_genes,
+        round(count(*) / CAST((SELECT nullif(count(*), 0) FROM dataset1) AS DOUBLE), 6) AS retention FROM dataset1 WHERE {where}"""
+
+
+def _pair_counts(name: str, source: str) -> str:
+    return f"SELECT '{name}' AS pairs, count(*) AS n_pairs, count(DISTINCT go_id) AS n_terms, count(DISTINCT entrez_gene_id) AS n_genes FROM {source}"
+
+
 ORACLE_SQL = {
     "edge_list": f"WITH {_PAIRS} {_EDGES}",
     "term_frequency": f"WITH {_PAIRS} SELECT go_id, count(*) AS {OLD_COUNT} FROM old0 GROUP BY go_id",
@@ -440,4 +518,17 @@ ORACLE_SQL = {
         FROM (SELECT unnest([p_partkey // 2, p_partkey // 3]) AS p) WHERE p > 0 AND p <> p_partkey), '') AS parents,
         CASE WHEN p_size <= 40 THEN 'biological_process' ELSE 'other' END AS namespace, p_size = 7 AS obsolete FROM part""",
     "csv_roundtrip": f"WITH {_GROWTH} SELECT * FROM common",
+    "spearman_p_values": f"WITH RECURSIVE {_HIERARCHY} {_spearman_p('normalized_depth_2016')} UNION ALL {_spearman_p('normalized_depth_2024')} UNION ALL {_spearman_p('norm_depth_change')}",
+    "matrix_shape": "SELECT (SELECT count(*) FROM supplier) AS n_rows, (SELECT count(*) FROM part) AS n_cols",
+    "pair_metrics": f"""WITH {_GROWTH} {_pair_counts('old', 'old')} UNION ALL {_pair_counts('new', 'new')} UNION ALL
+        {_pair_counts('stable', '(SELECT * FROM marked WHERE o = 1 AND n = 1)')} UNION ALL {_pair_counts('added', '(SELECT * FROM marked WHERE o = 0)')}""",
+    "class_metrics": f"""WITH {_GROWTH} SELECT count(*) AS n_terms, round(avg(n_genes_2016), 6) AS mean_n_genes_2016, round(avg(n_genes_2024), 6) AS mean_n_genes_2024,
+        round(avg(n_stable), 6) AS mean_n_stable, round(avg(n_added), 6) AS mean_n_added, round(median(100.0::DOUBLE * n_stable / greatest(n_genes_2024, 1)), 6) AS median_pct_stable,
+        round(median(100.0::DOUBLE * n_added / greatest(n_genes_2024, 1)), 6) AS median_pct_added FROM summary""",
+    "dataset_metrics": f"""WITH RECURSIVE {_GROWTH}, {_NEW_TERMS} {_dataset('dataset1_all_growth', 'true')} UNION ALL
+        {_dataset('dataset2_leaves', 'go_id IN (SELECT go_id FROM leaf2024)')} UNION ALL {_dataset('dataset2_parents', 'go_id IN (SELECT go_id FROM above2024)')}""",
+    "nodes_roundtrip": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, CAST(p_partkey AS VARCHAR) AS identifier FROM part",
+    "ids_roundtrip": f"WITH RECURSIVE {_NEW_TERMS} SELECT go_id FROM leaf2024",
+    "cached_roundtrip": f"WITH RECURSIVE {_NEW_TERMS} SELECT go_id FROM leaf2024",
+    "graph_roundtrip": f"WITH {_PAIRS} SELECT go_id, entrez_gene_id, p_name AS go_name FROM old0 JOIN part ON go_id = CAST(p_partkey AS VARCHAR)",
 }

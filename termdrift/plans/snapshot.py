@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,38 +10,103 @@ from pyspark.sql import functions as F
 from termdrift.functions import stats
 from termdrift.functions.scalars import bin_order, depth_bin
 from termdrift.operators import classify, growth, ontology, universe
-from termdrift.scratch import written
-from termdrift.schemas import GROWTH
+from termdrift.schemas import GROWTH, OLD_COUNT
+from termdrift.scratch import Scratch, written
+from termdrift.sources import files
+
+
+def growth_terms(common: DataFrame, summary: DataFrame) -> DataFrame:
+    return growth.calculate_percent_change(classify.with_class_counts(common, summary))
 
 
-@dataclass
 class Comparison:
-    old_pairs: DataFrame
-    new_pairs: DataFrame
-    common_terms: DataFrame
-    stable: DataFrame
-    added: DataFrame
-    summary: DataFrame
-    growth: DataFrame
-    thresholds: DataFrame
-    dataset1_all_growth: DataFrame
+    """What two snapshots tell of each other. Pairs are written before and after their alignment, and so are the two
+    tables with a row for each term that all others are made from; each is made when it is first asked for."""
 
+    def __init__(self, old: DataFrame, new: DataFrame, min_genes: int = 10):
+        self.min_genes = min_genes
+        with Scratch(old.sparkSession, "compare") as scratch:
+            old, new = universe.align(scratch.write(old), scratch.write(new))
+            self.old_pairs, self.new_pairs = scratch.keep(old), scratch.keep(new)
 
-def growth_terms(common: DataFrame, summary: DataFrame) -> DataFrame:
-    return growth.calculate_percent_change(classify.with_class_counts(common, summary))
+    @cached_property
+    def common_terms(self) -> DataFrame:
+        return universe.common_terms(self.old_pairs, self.new_pairs)
+
+    @cached_property
+    def stable(self) -> DataFrame:
+        return classify.stable_pairs(self.old_pairs, self.new_pairs)
+
+    @cached_property
+    def added(self) -> DataFrame:
+        return classify.added_pairs(self.old_pairs, self.new_pairs)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return written(classify.class_summary(self.old_pairs, self.new_pairs), "summary")
+
+    @cached_property
+    def growth(self) -> DataFrame:
+        return written(growth_terms(self.common_terms, self.summary), "growth")
+
+    @cached_property
+    def thresholds(self) -> DataFrame:
+        return growth.calculate_iqr_thresholds(growth.positive_growth(self.growth))
+
+    @cached_property
+    def dataset1_all_growth(self) -> DataFrame:
+        return growth.filter_go_terms_iqr(growth.positive_growth(self.growth), self.thresholds, self.min_genes)
+
+
+def compare(old: DataFrame, new: DataFrame, min_genes: int = 10) -> Comparison:
+    return Comparison(old, new, min_genes)
+
+
+def load_pairs(spark, matrix: str, gene_nodes: str, term_nodes: str, annotations: str, metaedge_checks: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both snapshots from their files: the old one's sparse matrix with its two node files, and the new one's table of
+    annotations. metaedge_checks: bounds for universe.quality_checks on the old one; a bound not met is an error."""
+    genes, terms = files.read_nodes(spark, gene_nodes, "bigint"), files.read_nodes(spark, term_nodes)
+    old = written(universe.edge_list(files.read_matrix(spark, matrix), genes, terms), "old-edges")
+    if metaedge_checks is not None:
+        found = universe.quality_checks(old, **metaedge_checks).first().asDict()
+        if wrong := sorted(k for k, v in found.items() if k.endswith("_ok") and not v):
+            raise ValueError(f"{matrix} fails {wrong}: {found}")
+    table = files.read_table(spark, annotations, "go_id string, go_name string, go_domain string, gene_ids string, gene_symbols string", sep="\t")
+    return old, universe.of_domain(universe.exploded(table))
+
+
+def write_datasets(found: Comparison, terms: DataFrame, folder: str) -> None:
+    """The five tables of a comparison as CSV: both snapshots' pairs, the common terms with their growth, the terms
+    within the fences, and of those the leaves and the direct parents of leaves, both in one table by level."""
+    leaves, parents = by_level(found.dataset1_all_growth, terms)
+    levels = leaves.withColumn("level", F.lit("leaf")).unionByName(parents.withColumn("level", F.lit("parent")))
+    tables = {"old_pairs": found.old_pairs, "new_pairs": found.new_pairs, "common_terms": found.growth, "dataset1_all_growth": found.dataset1_all_growth, "dataset2_levels": levels}
+    for name, df in tables.items():
+        files.write_csv(df, f"{folder}/{name}")
+
+
+def pair_metrics(found: Comparison) -> DataFrame:
+    """A row for each table of pairs: rows, distinct terms and distinct genes."""
+    tables = {"old": found.old_pairs, "new": found.new_pairs, "stable": found.stable, "added": found.added}
+    counts = [F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("go_id").alias("n_terms"), F.count_distinct("entrez_gene_id").alias("n_genes")]
+    each = [df.agg(*counts).select(F.lit(name).alias("pairs"), "*") for name, df in tables.items()]
+    return each[0].union(each[1]).union(each[2]).union(each[3])
+
+
+def class_metrics(found: Comparison) -> DataFrame:
+    """One row: the number of terms, mean genes of a term in each class, and the median shares in percent."""
+    mean = lambda c: F.avg(c).alias(f"mean_{c}")
+    return found.summary.agg(F.count(F.lit(1)).alias("n_terms"), *[mean(c) for c in ("n_genes_2016", "n_genes_2024", "n_stable", "n_added")], F.median("pct_stable").alias("median_pct_stable"), F.median("pct_added").alias("median_pct_added"))
 
 
-def compare(old: DataFrame, new: DataFrame, min_genes: int = 10, keep: bool = True) -> Comparison:
-    """keep: write the aligned pairs once, as everything else is made from them."""
-    old, new = universe.align(old, new)
-    if keep:
-        old, new = written(old, "old-pairs"), written(new, "new-pairs")
-    common = universe.common_terms(old, new)
-    stable, added, summary = classify.classify_genes_stable_added(old, new)
-    terms = growth_terms(common, summary)
-    growing = growth.positive_growth(terms)
-    fences = growth.calculate_iqr_thresholds(growing)
-    return Comparison(old, new, common, stable, added, summary, terms, fences, growth.filter_go_terms_iqr(growing, fences, min_genes))
+def dataset_metrics(found: Comparison, terms: DataFrame) -> DataFrame:
+    """A row for each dataset: terms, mean and median size in the old snapshot, and the share of dataset 1 it keeps."""
+    leaves, parents = by_level(found.dataset1_all_growth, terms)
+    tables = {"dataset1_all_growth": found.dataset1_all_growth, "dataset2_leaves": leaves, "dataset2_parents": parents}
+    each = [df.agg(F.count(F.lit(1)).alias("n_terms"), F.avg(OLD_COUNT).alias("mean_genes"), F.median(OLD_COUNT).alias("median_genes")).select(F.lit(name).alias("dataset"), "*") for name, df in tables.items()]
+    rows = each[0].union(each[1]).union(each[2])
+    whole = each[0].select(F.col("n_terms").alias("all_terms"))  # one row
+    return rows.crossJoin(F.broadcast(whole)).withColumn("retention", F.try_divide("n_terms", "all_terms")).drop("all_terms")
 
 
 def by_level(dataset: DataFrame, terms: DataFrame, namespace: str = ontology.PROCESS) -> tuple[DataFrame, DataFrame]:
@@ -52,9 +117,10 @@ def by_level(dataset: DataFrame, terms: DataFrame, namespace: str = ontology.PRO
 
 
 def depth_analysis(hierarchy: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Rank correlations of growth with both depths and with their change, and growth by depth of the old snapshot."""
+    """Rank correlations of growth with both depths and with their change, each with its p value, and growth by depth of
+    the old snapshot."""
     whole = hierarchy.na.drop(subset=["normalized_depth_2016", "normalized_depth_2024", GROWTH])
     whole = written(whole, "hierarchy")  # four statistics read it
     columns = ("normalized_depth_2016", "normalized_depth_2024", "norm_depth_change")
     binned = stats.by_bin(whole.withColumn("depth_bin_2016", depth_bin(F.col("normalized_depth_2016"))), "depth_bin_2016", GROWTH)
-    return {c: stats.spearman(whole, c, GROWTH) for c in columns}, binned.withColumn("bin_order", bin_order(F.col("depth_bin_2016")))
+    return {c: stats.spearman_tested(whole, c, GROWTH) for c in columns}, binned.withColumn("bin_order", bin_order(F.col("depth_bin_2016")))

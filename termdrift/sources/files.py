@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import io
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from termdrift.functions.scalars import na_to_null, strip
 
@@ -14,8 +15,11 @@ from termdrift.functions.scalars import na_to_null, strip
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", na_values: bool = True) -> DataFrame:
     """A text table with a header, by the names in schema; other columns are ignored. A malformed value is an error.
 
-    na_values: texts like NA or nan count as missing, as in the analysis."""
-    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=sep == ",", mode="FAILFAST")
+    na_values: texts like NA or nan count as missing, as in the analysis. A path that cannot be read is a RuntimeError."""
+    try:
+        raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=sep == ",", mode="FAILFAST")
+    except AnalysisException as e:
+        raise RuntimeError(f"{path} cannot be read") from e
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     if missing := set(names) - set(raw.columns):
         raise RuntimeError(f"{path} lacks the columns {sorted(missing)}")
@@ -25,9 +29,11 @@ def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", na_v
 
 def read_nodes(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
     """pos, identifier of a node file: one file, whose lines are numbered in their order, from 0."""
-    lines = spark.read.csv(path, sep="\t", header=True)
-    numbered = lines.select("identifier").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(numbered, "pos long, identifier string").withColumn("identifier", F.col("identifier").cast(kind))
+    names = spark.read.csv(path, sep="\t", header=True).columns
+    schema = ", ".join(f"`{n}` string" for n in names)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("line", "value"))
+    rows = lines.where("line > 0").select((F.col("line") - 1).cast("long").alias("pos"), F.from_csv("value", schema, {"sep": "\t"}).alias("x"))
+    return rows.select("pos", F.col("x.identifier").cast(kind).alias("identifier"))
 
 
 def parse_ontology(documents: DataFrame, stanza_mode: str = "compat") -> DataFrame:
@@ -56,57 +62,35 @@ def read_ontology(spark: SparkSession, path: str, stanza_mode: str = "compat") -
     return parse_ontology(spark.read.text(path, wholetext=True), stanza_mode)
 
 
-class _Rows(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+def _cells(archive: bytes, step: int = 1 << 16):
+    """Record batches of (row, col, value) of a compressed sparse row or column, or coordinate, matrix."""
+    import numpy as np
+    import pyarrow as pa
 
+    with np.load(io.BytesIO(archive)) as f:
+        kind, data = f["format"].item(), f["data"]
+        kind = kind.decode() if isinstance(kind, bytes) else kind
+        if kind == "coo":
+            rows, cols = f["row"], f["col"]
+        else:
+            inner, ends = f["indices"], f["indptr"]
+            outer = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            rows, cols = (outer, inner) if kind == "csr" else (inner, outer)
+    for k in range(0, len(data), step):
+        own = slice(k, k + step)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[own].astype("i8")), pa.array(cols[own].astype("i8")), pa.array(data[own].astype("f8"))], ["row", "col", "value"])
 
-class SparseMatrix(DataSource):
-    """A compressed sparse row or column, or coordinate, matrix in an NPZ archive, as (row, col, value). Option: path."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "sparse_npz"
-
-    def schema(self) -> str:
-        return "row long, col long, value double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return SparseMatrixReader(self.options["path"], int(self.options.get("partitions", "8")))
-
-
-class SparseMatrixReader(DataSourceReader):
-    def __init__(self, path: str, parts: int):
-        self.path, self.parts = path, parts
-
-    def partitions(self):
-        import numpy as np
-
-        with np.load(self.path) as f:
-            n = len(f["data"])
-        step = max(1, -(-n // self.parts))
-        return [_Rows(k, min(k + step, n)) for k in range(0, n, step)] or [_Rows(0, 0)]
-
-    def read(self, partition):
-        import numpy as np
-
-        with np.load(self.path) as f:
-            kind = f["format"].item()
-            kind = kind.decode() if isinstance(kind, bytes) else kind
-            own = slice(partition.start, partition.stop)
-            data = f["data"][own]
-            if kind == "coo":
-                rows, cols = f["row"][own], f["col"][own]
-            else:
-                outer = np.searchsorted(f["indptr"], np.arange(partition.start, partition.stop), side="right") - 1
-                rows, cols = (outer, f["indices"][own]) if kind == "csr" else (f["indices"][own], outer)
-        for r, c, v in zip(rows.tolist(), cols.tolist(), data.tolist(), strict=True):
-            yield r, c, float(v)
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """row, col, value of the stored cells of a sparse matrix in an NPZ archive, or of several by a pattern. An archive is
+    read once, by one task, from whatever file system Spark reads."""
 
+    def cells(batches):
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                yield from _cells(archive)
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(SparseMatrix)
-    return spark.read.format("sparse_npz").option("path", path).load()
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, "row long, col long, value double")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
