@@ -99,7 +99,7 @@ def sketches(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, size: int) -> DataFrame:
-    """id, shingles array<long>."""
+    """id, n, s long, a hash of the set, and shingles array<long>."""
 
     @F.arrow_udf("array<long>")
     def shingles(texts):
@@ -109,7 +109,8 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
         ends = np.cumsum([0] + [len(s) for s in sets]).astype("i4")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, "u8")]).view("i8")))
 
-    return documents.select(F.col("doc_id").alias("id"), shingles("text").alias("shingles"))
+    sets = documents.select(F.col("doc_id").alias("id"), shingles("text").alias("shingles"))
+    return sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), "shingles")
 
 
 def _near(n: str, m: str, percent: int):
@@ -146,7 +147,7 @@ def rare_places(sets: DataFrame, percent: int) -> DataFrame:
     """key long, id, n, rest: each set under its rarest shingles that other sets hold too. rest: how many shingles the
     set has from there on, in the order of how many sets hold them; those that no other holds come first. Two sets of n
     and m shingles have a first common one, and share no more than the lesser rest there; so it is among these places."""
-    each = sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), F.explode("shingles").alias("key"))
+    each = sets.select("id", "n", "s", F.explode("shingles").alias("key"))
     held = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     shared = each.join(held, "key").groupBy("id", "n", "s").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("c"))
     left = F.size("c") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
