@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termdrift.llm import bitmap
 from termdrift.operators.components import connected_components
 from termdrift.scratch import Scratch
 
@@ -161,7 +162,8 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
     if chosen.isEmpty():
         return None
     involved = chosen.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch.write(full_sets(documents.join(involved, "doc_id"), size))
+    maybe, _ = bitmap.split(documents, F.col("doc_id"), involved, "doc_id")  # few texts need to be shuffled
+    sets = scratch.write(full_sets(maybe.join(involved, "doc_id"), size))
     likely = _near("n", "m", percent) & (agreeing("signature", "sign") >= matches)
     own = classes.select(F.col("id").alias("b"), "n", "signature")
     other = classes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("signature").alias("sign"))
