@@ -3,6 +3,12 @@
 Each stage takes the documents that the stage before kept, and its decisions take effect: the documents that the
 quality classifier rejects go, of equal texts one stays, of each group of near duplicates one stays, personal data is
 replaced by its kind in brackets, and what is left is packed into sequences.
+
+Null and empty texts get the mean label of the labelled sample and stay if that is at least 0.7; they are equal to each
+other, so one stays, as a text of the closing id alone. Of rows that repeat an id or a text one stays: of equal texts
+that with the largest id, and of rows that repeat both the one with the least other columns. Rows without id are
+never held to be near copies. An empty table goes through as an empty table. Columns other than those of documents are
+dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termdrift.llm import exact_dedup, near_dedup, packing, pii, quality
+from termdrift.llm.bitmap import split
 from termdrift.llm.tables import read, small_batches
-from termdrift.scratch import shared_folder
+from termdrift.scratch import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,7 +43,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Shingles of five words, similarity 0.8 or more."""
     small_batches(spark)
     gone = near_dedup.cluster_documents(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    maybe, stays = split(docs, F.col("doc_id"), gone, "doc_id")
+    return stays.select(*COLUMNS).unionByName(maybe.join(gone, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents; each result is written to the shared folder and read again for the next."""
+    """The stages on documents; each result is written to the shared folder and read again for the next. What the last
+    one returns stays there, the others go."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = shared_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with Scratch(spark, "pipeline") as scratch:
+        for _, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        return scratch.keep(STAGES[-1][1](spark, docs, sf_dir))
