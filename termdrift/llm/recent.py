@@ -25,3 +25,10 @@ class Recent(dict):
             self.clear()
         self[key] = value
         return value
+
+    def learn(self, keys: list, values: list) -> None:
+        """Adds what was computed elsewhere for keys that are not held."""
+        if len(self) + len(keys) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update(zip(keys, values, strict=True))

@@ -12,9 +12,10 @@ well defined. Characters that no piece covers cost one token per UTF-8 byte, so
 model. The counts are those of this unigram model, and need not be those of the model's merges. count_tokens takes
 the file's ranks as scores and parts words at white space, which it drops.
 
-Pre-tokens go into a trie. A node holds the best score and count of its prefix, worked out once from its ancestors,
-so words that share a beginning share the work; a word's last node holds its count. The trie and the counts of recent
-words are kept from row to row in a worker; the trie starts anew at a bound on its nodes.
+Pre-tokens form a trie. A node has the best score and count of its prefix, worked out once from its ancestors, and a
+word's last node has its count. The new pre-tokens of a batch are taken in sorted order, which walks their trie depth
+first: words that share a beginning share the nodes of it, and only the path to the word at hand is held. The counts of
+recent words are kept from batch to batch in a worker, up to a bound.
 
 Null and empty texts count 0. Repeated rows count as often as they come, in the estimate too. Extra columns stay; one
 named n_tokens is replaced. On an empty table every piece is as likely as any other, and no row comes back.
@@ -26,6 +27,8 @@ import math
 import re
 import uuid
 from collections import Counter
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 from pyspark import Broadcast
@@ -54,55 +57,50 @@ def read_pieces(spark: SparkSession, path: str) -> Broadcast:
 class PrefixCounts:
     """Pre-token -> token count, by a trie whose nodes are shared between pre-tokens."""
 
-    #: A node: its character's children, the best (score, -tokens) of its prefix, and its parent's chain of those.
-    def __init__(self, pieces: dict[str, float], limit: int = 600_000):
-        self.limit = limit
+    def __init__(self, pieces: dict[str, float], limit: int = 1_000_000):
         self.endings: dict[str, dict] = {}  # trie of reversed pieces; under "" the score
         for piece, score in pieces.items():
             node = self.endings
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = score
-        self.floor = min(pieces.values(), default=0.0) - UNKNOWN
-        self.memo = Recent(self.count, 400_000)
-        self._restart()
-
-    def _restart(self) -> None:
-        self.root: dict = {}
-        self.nodes = 0
-
-    def _grow(self, prefix: str, best: list[tuple[float, int]]) -> tuple[float, int]:
-        """The best of prefix, given those of all shorter ones."""
-        start, node = len(prefix), self.endings
-        score, tokens = best[start - 1]
-        top, most = score + self.floor, tokens - len(prefix[-1].encode())
-        while start:
-            start -= 1
-            if (node := node.get(prefix[start])) is None:
-                break
-            if (own := node.get("")) is not None:
-                score, tokens = best[start]
-                score += own
-                if score > top or score == top and tokens - 1 > most:
-                    top, most = score, tokens - 1
-        return top, most
-
-    def count(self, word: str) -> int:
-        return self.count_marked(MARK + word)
-
-    def count_marked(self, text: str) -> int:
-        """Walks the part of the trie that other words have left, and grows the rest. Blanks are marks."""
-        if self.nodes > self.limit:
-            self._restart()
-        text, node, best = text.replace(" ", MARK), self.root, [(0.0, 0)]
-        for i, c in enumerate(text):
-            below = node.get(c)
-            if below is None:
-                below = node[c] = {"": self._grow(text[: i + 1], best)}
-                self.nodes += 1
-            best.append(below[""])
-            node = below
-        return -best[-1][1]
+        self.floor = min(pieces.values(), default=0.0) - UNKNOWN  # below any piece, so only where no piece fits
+        self.memo = Recent(lambda word: self.walk([word])[0], limit)
+
+    def walk(self, words: list[str]) -> list[int]:
+        """The counts of sorted words. scores and tokens are those of the nodes on the path to the word at hand."""
+        endings, floor, out, before = self.endings, self.floor, [], ""
+        scores, tokens = [0.0], [0]
+        for word in words:
+            text = word.replace(" ", MARK)
+            shared = len(commonprefix((before, text)))
+            del scores[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared, len(text)):
+                start, c = end, text[end]
+                node = endings.get(c)
+                if node is None or (own := node.get("")) is None:
+                    top, most = scores[end] + floor, tokens[end] + len(c.encode())
+                else:
+                    top, most = scores[end] + own, tokens[end] + 1
+                while start and node is not None:
+                    start -= 1
+                    node = node.get(text[start])
+                    if node is not None and (own := node.get("")) is not None:
+                        own += scores[start]
+                        if own > top or own == top and tokens[start] + 1 < most:
+                            top, most = own, tokens[start] + 1
+                scores.append(top)
+                tokens.append(most)
+            out.append(tokens[len(text)])
+            before = text
+        return out
+
+    def count(self, texts: list[list[str]]) -> list[int]:
+        """The counts of texts, given as their pre-tokens."""
+        memo = self.memo
+        new = sorted(set(chain.from_iterable(texts)).difference(memo))
+        memo.learn(new, self.walk(new))
+        return [sum(map(memo.__getitem__, t)) for t in texts]
 
 
 _COUNTERS: dict = {}
@@ -116,8 +114,7 @@ def token_count(text: Column, pieces: Broadcast, path: str) -> Column:
         if path not in _COUNTERS:
             _COUNTERS.clear()
             _COUNTERS[path] = PrefixCounts(pieces.value)
-        of = _COUNTERS[path].memo.__getitem__
-        return pa.array([sum(map(of, (t or "").split())) for t in texts.to_pylist()], pa.int64())
+        return pa.array(_COUNTERS[path].count([[MARK + w for w in (t or "").split()] for t in texts.to_pylist()]), pa.int64())
 
     return count(text)
 
@@ -203,6 +200,9 @@ class Expected:
         return np.bincount(piece, np.rint(share * self.UNIT), self.n + 1)[: self.n].astype("i8")
 
 
+_EXPECTED: dict = {}
+
+
 def counted_pre_tokens(documents: DataFrame) -> DataFrame:
     """token, n: each distinct pre-token of all documents, and how often it comes."""
 
@@ -222,14 +222,17 @@ def fit_scores(documents: DataFrame, pieces: list[str], rounds: int = 4, charact
     """piece -> log-probability, from all documents. characters: how many a step takes at once in a worker."""
     spark = documents.sparkSession
     tokens = written(counted_pre_tokens(documents), "unigram-tokens")
-    own, scores = spark.sparkContext.broadcast(pieces), np.full(len(pieces), -math.log(max(len(pieces), 1)))
+    name, own, scores = uuid.uuid4().hex, spark.sparkContext.broadcast(pieces), np.full(len(pieces), -math.log(max(len(pieces), 1)))
     for _ in range(rounds):
         with_unknown = np.append(scores, scores.min(initial=0.0) - UNKNOWN)
 
         def expect(batches, given=with_unknown):
             import pyarrow as pa
 
-            of, total, words, times, held = Expected(own.value), 0, [], [], 0
+            if name not in _EXPECTED:  # one per worker, kept from round to round
+                _EXPECTED.clear()
+                _EXPECTED[name] = Expected(own.value)
+            of, total, words, times, held = _EXPECTED[name], 0, [], [], 0
             for batch in batches:
                 for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words.append(word)
@@ -264,9 +267,7 @@ def count_corpus(documents: DataFrame, path: str, rounds: int = 4) -> DataFrame:
 
         if name not in _COUNTERS:
             _COUNTERS.clear()
-            counter = _COUNTERS[name] = PrefixCounts(fitted.value)
-            counter.memo = Recent(counter.count_marked, 400_000)
-        of = _COUNTERS[name].memo.__getitem__
-        return pa.array([sum(map(of, pre_tokens(t))) for t in texts.to_pylist()], pa.int64())
+            _COUNTERS[name] = PrefixCounts(fitted.value)
+        return pa.array(_COUNTERS[name].count([pre_tokens(t) for t in texts.to_pylist()]), pa.int64())
 
     return documents.withColumn("n_tokens", count(F.col("text")))
