@@ -138,14 +138,14 @@ def test_personal_data(spark, docs, empty):
         d = re.sub("[^0-9]", "", s)
         return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in s.split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
 
-    learn = spark.createDataFrame([(100 + i, f"call +1 ({300 + i}) 555-2{i:03d} now or ({300 + i}) 555-2{i:03d}") for i in range(200)] + [(500, "no 123-456-789-012-3 x")], "doc_id long, text string")
+    learn = spark.createDataFrame([(100 + i, f"call +1 ({300 + i}) 555-2{i:03d} now or ({300 + i}) 555-2{i:03d}") for i in range(200)] + [(500 + i, f"no 123-456-789-{i:03d}-3 x") for i in range(60)], "doc_id long, text string")
     found = pii.find(df.union(learn))
     got = by_id(found.select("doc_id", pii.shown("base_spans").alias("b"), pii.shown("spans").alias("s"), pii.redact(F.col("text"), F.col("spans")).alias("r")), "b", "s", "r")
     for i, s in enumerate(t):
         want = [f"{k}:{m.start()}:{m.end()}" for k, p in plain.items() for m in re.finditer(p, s or "") if ok(k, m[0])]
         assert got[i][0] == ",".join(want)
         assert set(want) <= set(got[i][1].split(",")) | {""}
-    assert got[2][1] == "phone:0:14" and got[2][2] == "[PHONE]" and got[500][1] == ""
+    assert got[2][1] == "phone:0:14" and got[2][2] == "[PHONE]" and not any("phone" in got[500 + i][1] for i in range(60))
     assert got[7][2] == "é😀 [EMAIL] [PHONE] é"
     assert pii.find(empty).count() == 0
 
