@@ -83,9 +83,9 @@ class Neighbours:
             return out
         vectors, nearest = self.project(texts), min(nearest, len(self.labels))
         for k in range(0, len(texts), block):
-            cosine = np.round(vectors[k : k + block] @ self.vectors.T, 6)  # sums taken in another order tie all the same
+            cosine = vectors[k : k + block] @ self.vectors.T
             last = np.partition(cosine, len(self.labels) - nearest, axis=1)[:, len(self.labels) - nearest]
-            of, at = np.nonzero(cosine >= np.maximum(last, 1e-6)[:, None])
+            of, at = np.nonzero(cosine >= np.maximum(last - 1e-6, 1e-6)[:, None])  # sums taken in another order tie all the same
             vote = cosine[of, at].astype(float) ** power
             weight = np.bincount(of, vote, len(cosine))
             mean = np.bincount(of, vote * self.labels[at], len(cosine)) / np.maximum(weight, 1e-12)
