@@ -4,6 +4,7 @@ Two passes over the lines. The first counts documents per key, combined before t
 all rows hold is one row per task; its result is written, so that the join of the second, with the places that hold
 the repeated keys, is one that Spark can split where a key is hot. Only hashes, ids and places are shuffled. The
 lines to drop then meet their document; a bitmap of bounded size keeps the other documents' texts out of that shuffle.
+Both joins are merges at every size, as either side grows with the corpus.
 
 Null and empty texts are one empty line. A document with no id keeps all its lines. Rows with the same id count as
 one document and lose the same keys. Extra columns stay; those named n_lines, n_dropped or kept_text are replaced. An
@@ -62,10 +63,10 @@ def drop_repeated_lines(documents: DataFrame, min_length: int = 10, min_document
     with Scratch(documents.sparkSession, "line-dedup") as scratch:
         repeated = scratch.write(repeated_lines(documents, min_length, min_documents))
         doc, dropped = fresh(documents, "_doc"), fresh(documents, "_dropped")
-        lost = places.join(repeated, "key").where(F.col("doc_id") != F.col("first_doc"))
+        lost = places.join(repeated.hint("merge"), "key").where(F.col("doc_id") != F.col("first_doc"))
         lost = scratch.keep(lost.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("at").alias(dropped)))
     losing, whole = split(documents, F.col("doc_id"), lost, doc)
-    joined = losing.join(lost, F.col("doc_id") == F.col(doc), "left").drop(doc)
+    joined = losing.join(lost.hint("merge"), F.col("doc_id") == F.col(doc), "left").drop(doc)
     every = joined.unionByName(whole.withColumn(dropped, F.lit(None).cast("array<int>")))
     lines = lines_of(F.col("text"))
     n, gone = F.size(lines), F.coalesce(dropped, F.array().cast("array<int>"))
