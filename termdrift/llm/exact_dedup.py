@@ -8,8 +8,8 @@ Every batch writes the digests that it changed; a batch that is run again after
 The locator is the file of a row and its place there. Tables that are not read from Parquet have none; there the id
 alone locates. A digest that came more than once is a hit, and only the bytes decide: the whole text of each hit is
 compared with that of the row that stays, which its locator tells from the others. Only texts whose digest may be a hit
-are shuffled; a bitmap of bounded size tells which. Where bytes differ, the rows of that digest are grouped by their
-whole text instead.
+are shuffled; a bitmap of bounded size tells which. Its joins are merges at every size, as all sides grow. Where bytes
+differ, the rows of that digest are grouped by their whole text instead.
 
 Null text counts as empty, so it equals an empty text. Of equal texts the row with the largest doc_id stays. A row
 without id is never kept when another has one; its bytes are checked like any others, and among rows without id all
@@ -93,15 +93,15 @@ def mark_copies(documents: DataFrame, digest=sha256, batches: int = 2) -> DataFr
         multiple = scratch.keep(groups.where("group_size > 1"))
 
         hit, _ = split(rows.select(own_id.alias("hit_id"), text.alias("bytes"), F.col(at).alias("hit_at"), F.col(key).alias("digest")), F.col("digest"), multiple, "digest")
-        stays = hit.join(multiple.select("digest", "keep_id", "keep_at"), "digest").where(F.col("hit_id").eqNullSafe(F.col("keep_id")) & F.col("hit_at").eqNullSafe(F.col("keep_at")))
+        stays = hit.join(multiple.select("digest", "keep_id", "keep_at").hint("merge"), "digest").where(F.col("hit_id").eqNullSafe(F.col("keep_id")) & F.col("hit_at").eqNullSafe(F.col("keep_at")))
         stays = stays.groupBy("digest").agg(F.min("bytes").alias("kept_bytes"))  # one row; without locators, rows that repeat an id
-        differing = hit.join(scratch.write(stays), "digest").where("bytes <> kept_bytes").select("digest")
+        differing = hit.join(scratch.write(stays).hint("merge"), "digest").where("bytes <> kept_bytes").select("digest")
         shared = scratch.keep(differing.distinct())
 
     maybe, single = split(rows, F.col(key), multiple, "digest")
     outputs = ["keep_id", "group_size"]
     alone = single.select("*", own_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    found = maybe.join(multiple.select(F.col("digest").alias(key), F.col("keep_id").alias("keep_id"), "group_size"), key, "left")
+    found = maybe.join(multiple.select(F.col("digest").alias(key), "keep_id", "group_size").hint("merge"), key, "left")
     many = found.select(*[maybe[c] for c in maybe.columns], F.when(F.col("group_size").isNull(), own_id).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
     if not shared.isEmpty():  # two texts of one digest
         whole, keep, size = (fresh(many, n) for n in ("_bytes", "_keep", "_size"))
