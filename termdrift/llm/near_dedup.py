@@ -163,7 +163,7 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
         return None
     involved = chosen.select(F.col("id").alias("doc_id")).distinct()
     maybe, _ = bitmap.split(documents, F.col("doc_id"), involved, "doc_id")  # few texts need to be shuffled
-    sets = scratch.write(full_sets(maybe.join(involved, "doc_id"), size))
+    sets = scratch.write(full_sets(maybe.join(involved.hint("merge"), "doc_id"), size))
     likely = _near("n", "m", percent) & (agreeing("signature", "sign") >= matches)
     own = classes.select(F.col("id").alias("b"), "n", "signature")
     other = classes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("signature").alias("sign"))
