@@ -44,7 +44,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     small_batches(spark)
     gone = near_dedup.cluster_documents(docs).where("NOT kept").select("doc_id").distinct()
     maybe, stays = split(docs, F.col("doc_id"), gone, "doc_id")
-    return stays.select(*COLUMNS).unionByName(maybe.join(gone, "doc_id", "left_anti").select(*COLUMNS))
+    return stays.select(*COLUMNS).unionByName(maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
