@@ -61,5 +61,9 @@ class Scratch:
         self.last = self._next("rounds")
         return saved(df, self.last)
 
+    def drop(self, path: str) -> None:
+        """Deletes a table of the job before its end, once nothing reads it any more."""
+        remove(self.spark, path)
+
     def keep(self, df: DataFrame) -> DataFrame:
         return saved(df, self._next("kept"))
