@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termdrift.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, pivot_search, quality, toxicity, unigram
+from termdrift.llm import byte_bpe, centroids, exact_dedup, line_dedup, near_dedup, packing, phrases, pii, pivot_search, quality, toxicity, unigram, warc
 from termdrift.llm.labelled import held_out
 from termdrift.llm.tables import read, small_batches
 
@@ -67,13 +67,41 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster_documents(read(spark, sf_dir, "documents"), shingle=4)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster_vectors(read(spark, sf_dir, "embeddings")))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read(spark, sf_dir, "pages"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return phrases.mine_phrases(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_token_counts, op6_pivot_search, op7_pii, op8_exact_dedup, op9_packing, op10_near_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_byte_bpe, op3_line_dedup, op4_toxicity, op5_token_counts, op6_pivot_search, op7_pii, op8_exact_dedup, op9_packing, op10_near_dedup,
+    op11_centroids, op12_warc, op13_phrases, pipeline,
+)}
+
+
+def _rounds(n: int) -> str:
+    """n rounds of assignment and means, each as two tables; then the last assignment, a{n}."""
+    near = lambda r: f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, place, any_value(e) AS e, min(CAST(ee + cc - 2 * list_inner_product(e, c) AS BIGINT) * 64 + j) AS best FROM v, (SELECT *, list_inner_product(c, c) AS cc FROM c{r}) GROUP BY vec_id, place)"""
+    mean = lambda r: f"""c{r + 1} AS MATERIALIZED (
+            SELECT o.j, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (
+                SELECT j, list(floor(s / n) ORDER BY i) AS c FROM (
+                    SELECT best % 64 AS j, i, sum(e[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL) GROUP BY j) n ON o.j = n.j)"""
+    return ", ".join(f"{near(r)}, {mean(r)}" for r in range(n)) + f", {near(n)}"
+
 
 ORACLE_SQL = {
     "op3_line_dedup": """
@@ -106,4 +134,45 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_centroids": f"""
+        WITH v AS MATERIALIZED (
+            SELECT *, list_inner_product(e, e) AS ee, row_number() OVER () AS place FROM (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS j, e AS c FROM v WHERE vec_id IS NOT NULL QUALIFY j < 40),
+        {_rounds(5)},
+        d AS (SELECT vec_id, CAST(best % 64 AS INTEGER) AS cluster, best // 64 AS distance FROM a5)
+        SELECT d.*, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+        FROM d JOIN c5 ON d.cluster = c5.j""",
+    "op12_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        k AS (SELECT *, CASE WHEN octet_length(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS keep FROM p)
+        SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN keep IS NOT NULL AND keep IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN keep IS DISTINCT FROM page_id THEN keep END AS refers_to
+        FROM k""",
+    "op13_phrases": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+            FROM w, range(1, 5) t(m) WHERE len(ws) >= m),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+        inside AS (
+            SELECT lang, a, unnest(list_transform(range(1, m - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM c, range(2, 4) t(k) WHERE k < m),
+        longer AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+        left_over AS (SELECT c.* FROM c LEFT JOIN longer o ON c.lang = o.lang AND c.phrase = o.phrase WHERE most IS NULL OR 100 * most < 80 * c.a),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y FROM left_over, range(1, 4) t(k) WHERE k < m),
+        scores AS (
+            SELECT cuts.*, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (l.a + r.a) AS BIGINT) AS score
+            FROM cuts JOIN f l ON cuts.lang = l.lang AND x = l.phrase JOIN f r ON cuts.lang = r.lang AND y = r.phrase),
+        best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM best JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
