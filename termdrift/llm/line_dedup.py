@@ -3,11 +3,11 @@
 Two passes over the lines. The first counts documents per key, combined before the shuffle, so a line that a third of
 all rows hold is one row per task; its result is written, so that the join of the second, with the places that hold
 the repeated keys, is one that Spark can split where a key is hot. Only hashes, ids and places are shuffled. The
-lines to drop then meet their document; a bitmap of bounded size keeps the other documents' texts out of that shuffle.
-Both joins are merges at every size, as either side grows with the corpus.
+lines to drop then meet their row, which its id and a hash of its whole text name; a bitmap of bounded size keeps the
+other rows' texts out of that shuffle. Both joins are merges at every size, as either side grows with the corpus.
 
-Null and empty texts are one empty line. A document with no id keeps all its lines. Rows with the same id count as
-one document and lose the same keys. Extra columns stay; those named n_lines, n_dropped or kept_text are replaced. An
+Null and empty texts are one empty line. A document with no id keeps all its lines. Rows with the same id count as one
+document, so a line that only they hold stays in each of them, and each loses its own lines that repeat. Extra columns stay; those named n_lines, n_dropped or kept_text are replaced. An
 empty table stays empty.
 """
 
@@ -38,6 +38,11 @@ def _hashed(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
 
 
+def _row() -> Column:
+    """Names a row by its id and text; rows that repeat both lose the same places. Null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("row"), "doc_id", "text").alias("b")))
+
+
 def _keys(documents: DataFrame, min_length: int) -> Column:
     """One hash per line, null for lines too short to count."""
     keys = F.transform(lines_of(F.col("text")), line_key)
@@ -46,7 +51,8 @@ def _keys(documents: DataFrame, min_length: int) -> Column:
 
 def repeated_lines(documents: DataFrame, min_length: int = 10, min_documents: int = 2) -> DataFrame:
     """key struct<a,b>, first_doc: the keys held by at least min_documents documents, and the smallest id among them."""
-    held = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_distinct(_keys(documents, min_length))).alias("key")).where(F.col("key").isNotNull())
+    named = documents.where(F.col("doc_id").isNotNull())
+    held = named.select("doc_id", F.explode(F.array_distinct(_keys(documents, min_length))).alias("key")).where(F.col("key").isNotNull())
     if min_documents <= 2:  # two documents hold a key just when its smallest and its largest id differ
         counted = held.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         enough = F.col("last_doc") > F.col("first_doc") if min_documents == 2 else F.lit(True)
@@ -59,14 +65,15 @@ def repeated_lines(documents: DataFrame, min_length: int = 10, min_documents: in
 def drop_repeated_lines(documents: DataFrame, min_length: int = 10, min_documents: int = 2) -> DataFrame:
     """documents with n_lines, n_dropped long and kept_text: every repeated line is gone but from the first document."""
     documents = without(documents, "n_lines", "n_dropped", "kept_text")
-    places = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(_keys(documents, min_length)).alias("at", "key")).where(F.col("key").isNotNull())
+    held = documents.where(F.col("doc_id").isNotNull())
+    places = held.select("doc_id", _row().alias("row"), F.posexplode(_keys(documents, min_length)).alias("at", "key")).where(F.col("key").isNotNull())
     with Scratch(documents.sparkSession, "line-dedup") as scratch:
         repeated = scratch.write(repeated_lines(documents, min_length, min_documents))
-        doc, dropped = fresh(documents, "_doc"), fresh(documents, "_dropped")
+        row, dropped = fresh(documents, "_row"), fresh(documents, "_dropped")
         lost = places.join(repeated.hint("merge"), "key").where(F.col("doc_id") != F.col("first_doc"))
-        lost = scratch.keep(lost.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("at").alias(dropped)))
-    losing, whole = split(documents, F.col("doc_id"), lost, doc)
-    joined = losing.join(lost.hint("merge"), F.col("doc_id") == F.col(doc), "left").drop(doc)
+        lost = scratch.keep(lost.groupBy(F.col("row").alias(row)).agg(F.collect_set("at").alias(dropped)))
+    losing, whole = split(documents, _row(), lost, row)
+    joined = losing.join(lost.hint("merge"), _row() == F.col(row), "left").drop(row)
     every = joined.unionByName(whole.withColumn(dropped, F.lit(None).cast("array<int>")))
     lines = lines_of(F.col("text"))
     n, gone = F.size(lines), F.coalesce(dropped, F.array().cast("array<int>"))
