@@ -1,7 +1,7 @@
 """Near duplicates by an inverted join of MinHash signatures (operator 10).
 
-A document's set is its distinct shingles of words. Documents with the same set form one class, and classes stand for
-their documents from there on. A signature has one MinHash value per coordinate; the pair (coordinate, value) is a key
+A document's set is its distinct shingles of words. Documents with the same set form one class, whatever their ids, and
+classes, numbered as they are written, stand for their documents from there on. A signature has one MinHash value per coordinate; the pair (coordinate, value) is a key
 and every class is posted under its keys. Two classes at the similarity sought agree in most coordinates; those that
 agree in at least `matches` are compared on their full sets, so no false link remains. With 48 coordinates and 22
 matches a link at exactly 0.8 escapes about once in two million times, a closer one less often.
@@ -21,8 +21,11 @@ similarity are skipped too.
 
 Null and empty texts, and texts of blanks only, have the empty set: they are linked with nothing and kept. Texts
 shorter than a shingle are one shingle. Of each component the document with the smallest doc_id stays. A row without
-id is kept and belongs to no component. Rows that repeat an id each go by their own text; an id that is the smallest
-of several texts links them. Only the columns named below come back, whatever others there are. An empty table stays empty. The tables between the steps are deleted at the end, but for the one that is read.
+id is kept and belongs to no component. Rows that repeat an id each go by their own text, and two unlike texts of one id
+are not linked by it: each has the smallest id of its own component. mark_rows tells one row of each component to stay,
+of several with the smallest id that whose text's hash is the least; cluster_documents tells by the id alone. Only the
+columns named below come back, whatever others there are. An empty table stays empty. The tables between the steps are
+deleted at the end, but for the one that is read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termdrift.llm import bitmap
@@ -82,8 +85,14 @@ def signature(shingles: np.ndarray, by: tuple[np.ndarray, np.ndarray], block: in
     return least
 
 
+def row_of(documents: DataFrame) -> Column:
+    """Names a row by its id and its text: struct<doc_id,a,b>."""
+    text = documents["text"]
+    return F.struct(documents["doc_id"], F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
+
+
 def sketches(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
-    """doc_id, n_shingles long, set_key binary, signature array<long>; the last two null for an empty set."""
+    """row, n_shingles long, set_key binary, signature array<long>; the last two null for an empty set."""
 
     @F.arrow_udf("struct<n_shingles:long,set_key:binary,signature:array<long>>")
     def sketch(texts):
@@ -96,11 +105,11 @@ def sketches(documents: DataFrame, size: int, coordinates: int) -> DataFrame:
         signatures = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="i4") * coordinates), pa.array(flat))
         return pa.StructArray.from_arrays([pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), signatures], ["n_shingles", "set_key", "signature"])
 
-    return documents.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*")
+    return documents.select(row_of(documents).alias("row"), sketch("text").alias("s")).select("row", "s.*")
 
 
-def full_sets(documents: DataFrame, size: int) -> DataFrame:
-    """id, n, s long, a hash of the set, and shingles array<long>."""
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """id, n, s long, a hash of the set, and shingles array<long>. texts: id, text."""
 
     @F.arrow_udf("array<long>")
     def shingles(texts):
@@ -110,7 +119,7 @@ def full_sets(documents: DataFrame, size: int) -> DataFrame:
         ends = np.cumsum([0] + [len(s) for s in sets]).astype("i4")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, "u8")]).view("i8")))
 
-    sets = documents.select(F.col("doc_id").alias("id"), shingles("text").alias("shingles"))
+    sets = texts.select("id", shingles("text").alias("shingles"))
     return sets.select("id", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"), "shingles")
 
 
@@ -161,9 +170,11 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
     chosen = scratch.write(postings(classes, coordinates, matches))
     if chosen.isEmpty():
         return None
-    involved = chosen.select(F.col("id").alias("doc_id")).distinct()
-    maybe, _ = bitmap.split(documents, F.col("doc_id"), involved, "doc_id")  # few texts need to be shuffled
-    sets = scratch.write(full_sets(maybe.join(involved.hint("merge"), "doc_id"), size))
+    involved = classes.join(chosen.select("id").distinct(), "id", "left_semi").select("id", F.xxhash64("row").alias("key"), "row")
+    named = documents.select(row_of(documents).alias("own"), "text")
+    maybe, _ = bitmap.split(named, F.xxhash64("own"), involved, "key")  # few texts need to be shuffled
+    met = maybe.join(involved.hint("merge"), F.col("own") == F.col("row")).groupBy("own", "id").agg(F.min("text").alias("text"))  # a row that repeats, once
+    sets = scratch.write(full_sets(met, size))
     likely = _near("n", "m", percent) & (agreeing("signature", "sign") >= matches)
     own = classes.select(F.col("id").alias("b"), "n", "signature")
     other = classes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("signature").alias("sign"))
@@ -204,22 +215,30 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
     return scratch.write(near.union(confirmed(rest, sets, percent)))
 
 
-def cluster_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 22) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def mark_rows(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 22) -> DataFrame:
+    """row struct<doc_id,a,b>, as row_of names it, n_shingles, component_id, and stays: whether the row is the one of its
+    component that stays. One row per document; rows that repeat both id and text stay or go together."""
     known = documents.select("doc_id", "text")
     with Scratch(documents.sparkSession, "near-dedup") as scratch:
         sketched = scratch.write(sketches(known, shingle, coordinates))
-        full = sketched.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-        by_set = full.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-        classes = by_set.join(full.select("set_key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), ["set_key", "id"]).dropDuplicates(["set_key"])
-        classes = scratch.write(classes)
+        full = sketched.where(F.col("set_key").isNotNull() & F.col("row.doc_id").isNotNull())
+        by_set = full.groupBy("set_key").agg(F.min("row").alias("row"))
+        classes = by_set.join(full.select("set_key", "row", F.col("n_shingles").alias("n"), "signature"), ["set_key", "row"]).dropDuplicates(["set_key"])
+        classes = scratch.write(classes.withColumn("id", F.monotonically_increasing_id()))
         found = links(classes, known, shingle, coordinates, matches, percent, scratch)
-        by_set = classes.select("set_key", "id")
-        if found is None:
-            by_set = by_set.withColumn("component", F.col("id"))
-        else:
-            joined = connected_components(found).withColumnRenamed("node", "id")
-            by_set = by_set.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = sketched.join(by_set.select("set_key", "component"), "set_key", "left")
-        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-        return scratch.keep(placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))
+        by_set = classes.select("set_key", "id", F.col("row").alias("first"))
+        if found is not None:
+            placed = by_set.join(connected_components(found).withColumnRenamed("node", "id"), "id", "left")
+            placed = scratch.write(placed.withColumn("component", F.coalesce("component", "id")))
+            firsts = placed.groupBy("component").agg(F.min("first").alias("first"))
+            by_set = placed.drop("first").join(firsts, "component")
+        placed = sketched.join(by_set.select("set_key", "first"), "set_key", "left")
+        own = F.col("row.doc_id")
+        component = F.when(own.isNotNull(), F.coalesce("first.doc_id", own))
+        return scratch.keep(placed.select("row", "n_shingles", component.alias("component_id"), F.when(own.isNull() | F.col("first").isNull(), True).otherwise(F.col("row") == F.col("first")).alias("stays")))
+
+
+def cluster_documents(documents: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 22) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document."""
+    marked = mark_rows(documents, shingle, percent, coordinates, matches)
+    return marked.select("row.doc_id", "n_shingles", "component_id", F.coalesce(F.col("row.doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
