@@ -4,12 +4,16 @@ Documents are tokenised by a public word-piece vocabulary, closed with one id, a
 sequence. The lengths and checksums of the pieces are written, and the pieces are dealt into blocks of about `block`
 pieces by their place in that table, so a block is no larger however often an id or a text repeats. In a block the
 pieces are placed best fit, longest first. Then a local search works on the bins that are not full: it moves a piece,
-swaps one for one, or two for one, whenever the sum of squared fills grows, which empties the least filled bins. It
-ends when the bins are as few as their tokens allow, or when a whole round finds no exchange.
+swaps one for one, or two for one, whenever the sum of squared fills grows, which empties the least filled bins. What
+a bin can take, and for which of its pieces, is kept in an order by size, so an exchange is looked up and not sought
+among all pairs of bins. The search ends when the bins are as few as their tokens allow, or when a whole round finds no
+exchange.
 
-What is left of each block, the bins filled below `closed` of a sequence, goes to a next level, where the leftovers of
-up to `together` blocks meet in one and are packed anew; and so on until one block is left. So the corpus as a whole,
-and not each block, has its few underfull sequences.
+What is left of all blocks, the bins filled below `closed` of a sequence, is dealt anew into blocks of the same size and
+packed again, level by level, until one block is left. So the corpus as a whole, and not each block, has its few underfull
+sequences. A bin that not even the shortest of the pieces left over fits into is closed whatever its fill, and the levels
+end early when the bins left are as few as their tokens allow or a level empties none. So no task ever holds more than
+about `block` pieces.
 
 Null text is empty: a document of the closing id alone. Repeated rows, and rows without id, are packed as often as they
 come. Pieces of one length are alike, so of ties any order packs as well; the same table is packed the same way. Extra
@@ -39,8 +43,7 @@ PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 class RunIds:
     """Run of non-blank characters -> its ids as little-endian 32-bit bytes. The vocabulary drops blanks and no merge
     crosses them, so a text's ids are those of its runs. New runs of a batch are encoded together, with a mark between
-    them; what goes unused while
-    `limit` others come is forgotten."""
+    them; what goes unused while `limit` others come is forgotten."""
 
     MARK = "~"
 
@@ -141,65 +144,90 @@ def fill(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Bins:
+    """Bins that are not full, with what each could take: for a piece of t tokens in a bin with f tokens free, up to t + f
+    in its place, and for t = 0 up to f besides. order: these (room, t), ascending; at: the bins of each."""
+
+    def __init__(self, lengths: list[int], capacity: int):
+        self.lengths, self.capacity, self.order, self.at, self.free = lengths, capacity, [], {}, {}
+
+    def _offers(self, members: list[int], free: int) -> set[tuple[int, int]]:
+        return {(free, 0), *((self.lengths[i] + free, self.lengths[i]) for i in members)} if free else set()
+
+    def put(self, b: int, members: list[int]) -> None:
+        self.free[b] = self.capacity - sum(self.lengths[i] for i in members)
+        for key in self._offers(members, self.free[b]):
+            if key not in self.at:
+                insort(self.order, key)
+                self.at[key] = {}
+            self.at[key][b] = None
+
+    def take(self, b: int, members: list[int]) -> None:
+        for key in self._offers(members, self.free.pop(b)):
+            del self.at[key][b]
+            if not self.at[key]:
+                del self.at[key]
+                self.order.pop(bisect_left(self.order, key))
+
+    def best(self, size: int) -> tuple[int, int, int] | None:
+        """The tightest room for so many tokens that takes less in return: gain, what it gives back, and the bin."""
+        for k in range(bisect_left(self.order, (size, -1)), len(self.order)):
+            room, back = self.order[k]
+            if back < size:
+                return size - back, back, next(iter(self.at[room, back]))
+        return None
+
+
+def _exchange(giver: list[int], takers: Bins, pairs: int = 48) -> tuple[list[int], int, int] | None:
+    """The exchange that gains most: the giver's pieces, one or two, the length given back, and the bin that takes them.
+    Two for one is tried for givers of at most `pairs` lengths; more have pieces small enough to move one by one."""
+    one = {takers.lengths[i]: i for i in giver}
+    offers = [(n, [i]) for n, i in one.items()]
+    if len(one) <= pairs:
+        held = sorted(giver, key=takers.lengths.__getitem__)
+        two = {takers.lengths[a] + takers.lengths[b]: [a, b] for k, a in enumerate(held) for b in held[k + 1 :]} if len(held) <= pairs else {a + b: [one[a], one[b]] for a in one for b in one if a < b}
+        offers += [(n, both) for n, both in two.items() if n <= takers.capacity]
+    most, found = 0, None
+    for n, ours in offers:
+        if n > most and (got := takers.best(n)) and got[0] > most:
+            most, found = got[0], (ours, got[1], got[2])
+    return found
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search on the bins that are not full, until a round changes nothing. No bin overflows, no piece is lost,
     and the sum of squared fills only grows, so it ends."""
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    rest = [b for b in bins if sum(lengths[i] for i in b) < capacity]
+    fill_of = lambda b: sum(lengths[i] for i in b)
+    full = [b for b in bins if fill_of(b) == capacity]
+    rest = [b for b in bins if fill_of(b) < capacity]
     least = -(-sum(lengths) // capacity)
     while len(full) + len(rest) > least:  # else no bin can be emptied
-        rest.sort(key=lambda b: (-sum(lengths[i] for i in b), b))
-        changed = False
-        for k in range(len(rest) - 1, 0, -1):  # the least filled gives
-            giver = rest[k]
-            for taker in rest[:k]:
-                if not giver:
-                    break
-                free = capacity - sum(lengths[i] for i in taker)
-                while free and (swap := _gain(giver, taker, lengths, free)):
-                    ours, theirs = swap
-                    for i in ours:
-                        giver.remove(i)
-                    for i in theirs:
-                        taker.remove(i)
-                    giver += theirs
-                    taker += ours
-                    free = capacity - sum(lengths[i] for i in taker)
-                    changed = True
-        full += [b for b in rest if b and sum(lengths[i] for i in b) == capacity]
-        rest = [b for b in rest if b and sum(lengths[i] for i in b) < capacity]
+        rest.sort(key=lambda b: (fill_of(b), b))
+        takers, changed = Bins(lengths, capacity), False
+        for k, members in enumerate(rest):
+            takers.put(k, members)
+        for k, giver in enumerate(rest):  # the least filled gives, to those that are as full or fuller
+            takers.take(k, giver)
+            while giver and (found := _exchange(giver, takers)):
+                ours, back, b = found
+                taker = rest[b]
+                takers.take(b, taker)
+                theirs = [next(i for i in taker if lengths[i] == back)] if back else []
+                for i in ours:
+                    giver.remove(i)
+                for i in theirs:
+                    taker.remove(i)
+                giver += theirs
+                taker += ours
+                takers.put(b, taker)
+                changed = True
+        full += [b for b in rest if b and fill_of(b) == capacity]
+        rest = [b for b in rest if b and fill_of(b) < capacity]
         if not changed:
             break
     return full + rest
 
 
-def _gain(giver: list[int], taker: list[int], lengths: list[int], free: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills the taker most, if any does: a move, one for one, or two for one. The taker is at least
-    as full as the giver, so whatever adds to it adds to the sum of squares."""
-    best, found = 0, None
-    held = sorted((lengths[i], i) for i in giver)
-    at = bisect_left(held, (free + 1, -1)) - 1
-    if at >= 0:
-        best, found = held[at][0], ([held[at][1]], [])
-    for theirs in taker:
-        back, room = lengths[theirs], lengths[theirs] + free
-        at = bisect_left(held, (room + 1, -1)) - 1
-        if at >= 0 and held[at][0] - back > best:
-            best, found = held[at][0] - back, ([held[at][1]], [theirs])
-        low, high = 0, len(held) - 1  # the two of the giver that come closest to the room from below
-        while low < high:
-            both = held[low][0] + held[high][0]
-            if both > room:
-                high -= 1
-            else:
-                if both - back > best:
-                    best, found = both - back, ([held[low][1], held[high][1]], [theirs])
-                low += 1
-        if best == free:
-            break
-    return found
-
-
 def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     """For each length its bin and its offset there."""
     bin_of, offset = [0] * len(lengths), [0] * len(lengths)
@@ -212,35 +240,50 @@ def place(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def _packing(level: int, capacity: int, closed: float):
-    """A function that packs a block, and marks the pieces whose sequence is filled below closed."""
+    """A function that packs a block, and tells how much is free in the sequence of each piece if that is open, else -1."""
 
     def packed(pdf):
         lengths = pdf["length"].tolist()
         bins, offsets = place(lengths, capacity)
-        fills = np.bincount(bins, lengths, minlength=1)
+        fills = np.bincount(bins, lengths, minlength=1).astype("i8")[bins]
         pdf["sequence_id"] = (level << 56) + pdf["block"] * (1 << 24) + bins
         pdf["offset"] = offsets
-        pdf["open"] = fills[bins] < closed * capacity
+        pdf["free"] = np.where(fills < closed * capacity, capacity - fills, -1)
         return pdf
 
     return packed
 
 
-def pack_documents(documents: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, block: int = 4096, together: int = 64, closed: float = 0.95) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 
-    Only lengths and checksums are shuffled, and each level but the first holds only what the one before left over."""
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+def pack_pieces(pieces: DataFrame, capacity: int, scratch: Scratch, block: int = 4096, closed: float = 0.95) -> DataFrame:
+    """pieces (PIECE), a written table, with sequence_id and offset. Each level but the first holds only what the one before
+    left over; at each the driver learns four numbers."""
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, block long, free long"
+    settled, level, left, n, bins = [], 0, pieces, pieces.count(), None
+    while True:
+        blocks = max(1, -(-n // block))
+        # the places of the rows of a written table are the same whenever it is read
+        dealt = left.select(*PIECE, F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(blocks)).alias("block"))
+        done = scratch.write(dealt.groupBy("block").applyInPandas(_packing(level, capacity, closed if blocks > 1 else 0), kinds))
+        shortest = done.where("free >= 0").agg(F.min("length")).first()[0]
+        open_ = F.col("free") >= F.lit(capacity if shortest is None else shortest)
+        starts = F.col("offset") == 0
+        now = done.agg(F.count_if(open_).alias("n"), F.sum(F.when(open_, F.col("length"))).alias("tokens"), F.count_if(open_ & starts).alias("bins"), F.count_if(starts).alias("all")).first()
+        if bins is not None and now["all"] >= bins:  # nothing gained; they stay as the level before left them
+            settled.append(left)
+            break
+        if blocks == 1 or not now["n"] or now["bins"] <= -(-now["tokens"] // capacity):
+            settled.append(done)
+            break
+        settled.append(done.where(~open_))
+        level, n, bins, left = level + 1, now["n"], now["bins"], scratch.write(done.where(open_))
+    return scratch.keep(reduce(DataFrame.union, settled).drop("block", "free"))
+
+
+def pack_documents(documents: DataFrame, path: str, capacity: int = 4096, closing_id: int = 1, block: int = 4096, closed: float = 0.95) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only lengths and checksums are shuffled."""
     with Scratch(documents.sparkSession, "packing") as scratch:
         pieces = scratch.write(documents.select("doc_id", F.explode(cut(F.col("text"), path, capacity, closing_id)).alias("p")).select("doc_id", "p.*"))
-        blocks = max(1, -(-pieces.count() // block))
-        # the places of the rows of a written table are the same whenever it is read
-        dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
-        settled, level = [], 0
-        while True:
-            done = scratch.write(dealt.groupBy("block").applyInPandas(_packing(level, capacity, closed if blocks > 1 else 0), f"{kinds}, block long, open boolean"))
-            settled.append(done.where("NOT open").drop("block", "open"))
-            if blocks == 1:
-                return scratch.keep(reduce(DataFrame.union, settled))
-            level, blocks = level + 1, -(-blocks // together)
-            dealt = done.where("open").select("doc_id", "piece", "start", "length", "ids_crc32", F.floor(F.col("block") / together).alias("block"))
+        return pack_pieces(pieces, capacity, scratch, block, closed)
