@@ -9,8 +9,8 @@ First each query is searched in one block of its own pivot. The score of its k-t
 result can only exceed. A block keeps the range of its distances to each pivot, so the same bound holds for blocks: a
 pair of blocks whose bound is below the threshold of all its queries is left out before a row is shuffled. In the
 pairs that are left, candidates whose bound is below the query's threshold are left out, and the others are evaluated
-in the order of the bound, in growing steps, until the next bound is below the lowest score that still counts; so the
-result is exact. The best of each task are merged by a ranking that Spark cuts down before it shuffles.
+in the order of the bound, in growing steps, until the next bound is below the lowest score that still counts. Bounds have
+a margin above all that rounding can take from the distances they are made of, so the result is exact. The best of each task are merged by a ranking that Spark cuts down before it shuffles.
 
 How much is eliminated hangs on the data: much where vectors lie in groups, nothing where they are spread evenly over
 many dimensions, as there all distances are about alike; then every query meets every candidate, in blocks.
@@ -98,9 +98,9 @@ class Block:
     def best(self, own: int, q: np.ndarray, d: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best candidates for a query that reach `least`, best first."""
         gap = np.abs(self.d - d.astype("f4")[:, None]).max(0).astype(float)
-        slack = 1e-5 * (float(self.d[0].max(initial=0)) + float(d[0]) + 1)  # distances are rounded to 24 bits
-        most = (d[0] ** 2 + self.square - np.maximum(gap - slack, 0) ** 2) / 2
-        most += 1e-9 * np.abs(most) + 0.5
+        slack = 2.0**-21 * max(float(self.d.max(initial=0)), float(d.max(initial=0)))  # two distances and their gap are rounded to 24 bits
+        squares = d[0] ** 2 + self.square
+        most = (squares - np.maximum(gap - slack, 0) ** 2) / 2 + 2.0**-40 * squares + 0.5
         open_ = np.flatnonzero((most >= least) & (self.ids != own))
         ids, scores, step = np.zeros(0, "i8"), np.zeros(0), 8 * k
         while len(open_):
@@ -158,20 +158,23 @@ def _open_pairs(asking: DataFrame, candidates: DataFrame, salt: int = 256) -> Da
     pairs = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).join(_ranges(candidates, "c").withColumn("salt", F.pmod("c", F.lit(salt))), ["width", "salt"])
     apart = F.zip_with(F.zip_with("low_q", "high", lambda a, b: a - b), F.zip_with("low", "high_q", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     top = lambda name: F.element_at(name, 1)
-    most = (F.pow(top("high_q"), 2) + F.pow(top("high"), 2) - F.pow(F.array_max(apart), 2)) / 2
-    return pairs.where(most + F.abs(most) * 1e-9 + 0.5 >= F.col("least")).select("width", "q", "c")
+    squares = F.pow(top("high_q"), 2) + F.pow(top("high"), 2)
+    far = F.greatest(F.array_max(apart) - (F.array_max("high_q") + F.array_max("high")) * 2.0**-40, F.lit(0.0))
+    most = (squares - F.pow(far, 2)) / 2 + squares * 2.0**-40 + 0.5
+    return pairs.where(most >= F.col("least")).select("width", "q", "c")
 
 
 def top_inner_products(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = 24, sample: int = 2000, candidate_block: int = 8192, query_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: vec_id, embedding; queries: which rows are queries, too."""
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", whole(F.col("embedding")).alias("v"), queries.alias("asks"))
     with Scratch(vectors.sparkSession, "pivot-search") as scratch:
-        points = scratch.write(indexed(rows, choose_pivots(rows, pivots, sample)).withColumn("width", F.size("v")))
+        points = indexed(rows, choose_pivots(rows, pivots, sample)).withColumns({"width": F.size("v"), "place": F.monotonically_increasing_id()})
+        points = scratch.write(points)  # so that a row's place stays what it is
         # blocks are runs of the rows of a width, cell after cell
         sizes = points.groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("m"))  # a row for each width and pivot
         before = Window.partitionBy("width").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         sizes = F.broadcast(sizes.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "m")}))
-        own = lambda n, size: F.floor((F.col(f"{n}_before") + F.pmod(F.xxhash64("vec_id", F.lit("block")), F.greatest(F.col(n), F.lit(1)))) / size)
+        own = lambda n, size: F.floor((F.col(f"{n}_before") + F.pmod(F.xxhash64("place", F.lit("block")), F.greatest(F.col(n), F.lit(1)))) / size)
         points = points.join(sizes, ["width", "cell"])
         candidates = points.select("vec_id", "v", "d", "width", own("n", candidate_block).alias("c"))
         asking = points.where("asks").select("vec_id", "v", "d", "width", own("m", query_block).alias("q"), own("n", candidate_block).alias("c"), F.lit(None).cast("double").alias("least"))
