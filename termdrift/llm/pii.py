@@ -56,7 +56,7 @@ PROPOSED = {
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?(?:\.|\[\.\]|\(\.\)|\(dot\)|\[dot\])\x20?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"[0-9](?:[\x20._/-]?[0-9])++",
     "phone": r"\+?\(?[0-9](?:[\x20()./-]{0,2}[0-9])++",
-    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])(?=[0-9_+/-]{0,64}[A-Za-z])[A-Za-z0-9_+/-]{12,}+|(?<=[=:][\x20\x22\x27]{0,2})[^\s\x22\x27=:]{6,}+",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+|(?<=[=:][\x20\x22\x27]{0,2})[^\s\x22\x27=:]{6,}+",
 }
 #: What a text must hold for a generator to find anything.
 SIGNS = {"email": r"@|[\[(\x20]at[\])\x20]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]", "secret": "[0-9=:]"}

@@ -9,8 +9,7 @@ A text gets one blank in front, as in the model, unless it is empty; blanks stan
 a run of other characters with the blank before it, or what is left of a run of white space: nothing is thrown away.
 Its segmentation is the one with the highest sum of scores; of equal sums the one with fewer tokens, so the count is
 well defined. Characters that no piece covers cost one token per UTF-8 byte, so a newline is one token as in the
-model. The counts are those of this unigram model, and need not be those of the model's merges. count_tokens takes
-the file's ranks as scores and parts words at white space, which it drops.
+model. The counts are those of this unigram model, and need not be those of the model's merges.
 
 Pre-tokens form a trie. A node has the best score and count of its prefix, worked out once from its ancestors, and a
 word's last node has its count. The new pre-tokens of a batch are taken in sorted order, which walks their trie depth
@@ -32,7 +31,7 @@ from os.path import commonprefix
 
 import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termdrift.llm.recent import Recent
@@ -106,24 +105,6 @@ class PrefixCounts:
 _COUNTERS: dict = {}
 
 
-def token_count(text: Column, pieces: Broadcast, path: str) -> Column:
-    @F.arrow_udf("long")
-    def count(texts):
-        import pyarrow as pa
-
-        if path not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[path] = PrefixCounts(pieces.value)
-        return pa.array(_COUNTERS[path].count([[MARK + w for w in (t or "").split()] for t in texts.to_pylist()]), pa.int64())
-
-    return count(text)
-
-
-def count_tokens(documents: DataFrame, path: str) -> DataFrame:
-    """documents with n_tokens long."""
-    return documents.withColumn("n_tokens", token_count(F.col("text"), read_pieces(documents.sparkSession, path), path))
-
-
 def pre_tokens(text: str | None) -> list[str]:
     return PRE_TOKENS(" " + text) if text else []
 
