@@ -2,13 +2,14 @@
 
 A task takes its texts in shards of bounded size and builds the generalised suffix automaton of a shard's word sequences
 down to the depth sought: level by level, the strings that end at each place, each with its suffix link, the string without
-its first word, and with the number of its end positions. Strings that end at the same places are one state, so a state is
-enumerated once, as its longest string and the length of its shortest. The counts of all shards are then summed.
+its first word, and with the number of its end positions. Strings that end at the same places are one state; all strings
+of a state are enumerated with its count. The counts of all shards are then summed.
 
 Three passes share the work. The first counts words. A phrase that is frequent has only frequent parts, so the second
-counts pairs of frequent words alone, and the third phrases of which every pair is frequent. What is frequent is told to
-the tasks by a bitmap, whose size follows the number of keys up to `most_bits` (64 MB by default); it lets some phrases
-through that are not, and never stops one that is. All counts are exact.
+counts pairs of frequent words, by a hash alone, and the third builds automata of what pairs are frequent. What is frequent
+is told to the tasks by bitmaps, whose size follows the number of keys up to `most_bits` (64 MB by default); they, and
+hashes that collide, let some phrases through that are not, and never stop one that is. All counts are of whole strings and
+exact. What a shard gives is counted already, so it is shuffled without being combined once more.
 
 Subsumption goes by suffix links over the summed counts: a phrase counts as part of the two that are longer by one word,
 by their suffix link and their prefix. Longer ones need no look, as a phrase between them is at least as frequent.
@@ -24,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termdrift.llm.bitmap import BITS
+from termdrift.llm.near_dedup import ODD, _mixed
 from termdrift.scratch import Scratch
 
 #: What ends a piece, and what parts words besides a blank.
 ENDS, PARTS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x09"
 BREAK = b"\n"
 FOLDED = bytes.maketrans(ENDS + PARTS, BREAK * len(ENDS) + b" " * len(PARTS))
-COUNTS = "lang string, phrase string, shortest int, n long"
+COUNTS = "lang string, phrase string, n long"
 
 
 def words_of(texts: list[bytes]) -> list[bytes]:
@@ -42,25 +44,34 @@ def words_of(texts: list[bytes]) -> list[bytes]:
     return BREAK.join(texts).lower().translate(FOLDED).replace(BREAK, b" \n ").split(b" ")
 
 
+def seed_of(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), 42)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of pairs of words, from the hashes of both."""
+    return _mixed(first * ODD + second)
+
+
 class Bitmap:
-    """Tells which phrases of a language may be frequent."""
+    """Tells which hashes may be among the keys."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, len(bits) * 8 - 1
 
-    def __call__(self, seed: int, phrase: bytes) -> bool:
-        at = xxhash.xxh64_intdigest(phrase, seed) & self.mask
-        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+    def __contains__(self, h: int) -> bool:
+        h &= self.mask
+        return bool(self.bits[h >> 3] >> (h & 7) & 1)
 
-
-def seed_of(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode(), 42)
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        h = (hashes & np.uint64(self.mask)).astype("i8")
+        return (self.bits[h >> 3] >> (h & 7)) & 1 > 0
 
 
 def bitmap_of(keys: DataFrame, most_bits: int) -> Bitmap:
-    """keys: lang, phrase. The bitmap has 16 bits a key, within 2^20 and most_bits."""
+    """keys: h long. The bitmap has 16 bits a key, within 2^20 and most_bits."""
     bits = min(max(1 << 20, 1 << (16 * keys.count()).bit_length()), most_bits)
-    slot = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(bits - 1))
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
     rows = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("k")).agg(F.bitmap_construct_agg(F.pmod("s", F.lit(BITS))).alias("b")).toLocalIterator()
     out = np.zeros(bits // 8, "u1")
     for row in rows:  # 4 KB each
@@ -69,18 +80,18 @@ def bitmap_of(keys: DataFrame, most_bits: int) -> Bitmap:
 
 
 class Vocabulary(dict):
-    """Word -> its number in the shard, from 1; 0 for what ends a phrase, and -1 for no word."""
+    """Word -> its number in the shard, from 1; 0 for what ends a phrase, and -1 for no word. words and hashes by number."""
 
-    def __init__(self, words: list[bytes], lang: str, may: Bitmap | None):
+    def __init__(self, lang: str, may: Bitmap | None):
         super().__init__({BREAK: 0, b"": -1})
-        self.words, self.seed, self.may = words, seed_of(lang), may
+        self.words, self.hashes, self.seed, self.may = [b""], [0], seed_of(lang), may
 
     def __missing__(self, word: bytes) -> int:
-        if self.may and not self.may(self.seed, word):
-            n = 0
-        else:
+        n, h = 0, xxhash.xxh64_intdigest(word, self.seed) if self.may else 0
+        if not self.may or h in self.may:
             n = len(self.words)
             self.words.append(word)
+            self.hashes.append(h)
         self[word] = n
         return n
 
@@ -88,17 +99,16 @@ class Vocabulary(dict):
 class SuffixAutomaton:
     """The strings of at most `depth` words in a sequence of numbers, 0 where strings end. at[m][i]: the string of m words
     that ends at i, or 0. Each has count[m], its end positions, link[m], the string without its first word, and place[m], one
-    of its end positions. open_: which strings of a level may go on, by their numbers; others end there."""
+    of its end positions. pair: whether the words of places are a pair that may go on, all by default."""
 
-    def __init__(self, sequence: np.ndarray, depth: int, open_=None):
-        self.sequence, top = sequence, int(sequence.max(initial=0)) + 1
+    def __init__(self, sequence: np.ndarray, depth: int, pair=None):
+        top = int(sequence.max(initial=0)) + 1
         self.at, self.count, self.link, self.place = [None, sequence], [None, np.bincount(sequence, minlength=1)], [None, None], [None, None]
         for m in range(2, depth + 1):
             before, last = self.at[m - 1][:-1], self.at[m - 1][1:]
-            if m > 2 and open_:
-                may = open_(self, m - 1)
-                before, last = np.where(may[before], before, 0), np.where(may[last], last, 0)
             ends = np.flatnonzero((before > 0) & (last > 0)) + 1
+            if m == 2 and pair:
+                ends = ends[pair(sequence[ends - 1], sequence[ends])]
             found, first, number, n = np.unique(before[ends - 1].astype("i8") * top + sequence[ends], return_index=True, return_inverse=True, return_counts=True)
             at = np.zeros(len(sequence), "i4")
             at[ends] = number + 1
@@ -109,115 +119,155 @@ class SuffixAutomaton:
             self.link.append(self.at[m - 1][place])
 
     def states(self, shortest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length, longest first, the strings that are the longest of their state: an end position of each, how
-        short its state's shortest is, from `shortest` on, and its count."""
+        """For each length the strings that are the longest of their state: an end position of each, how short its state's
+        shortest is, from `shortest`, at least 2, on, and its count. A string's state has its suffixes of the same count."""
         depth = len(self.at) - 1
-        absorbed = np.zeros(len(self.count[depth]), bool)
-        least = {m: np.full(len(self.count[m]), m) for m in range(shortest, depth + 1)}
-        heads = {}
-        for m in range(depth, shortest - 1, -1):
-            heads[m] = np.flatnonzero(~absorbed)[1:] if m > 1 else np.flatnonzero(~absorbed & (self.count[1] > 0))
-            if m > shortest:
-                absorbed = np.zeros(len(self.count[m - 1]), bool)
-                same = self.count[m] == self.count[m - 1][self.link[m]]
-                same[0] = False
-                absorbed[self.link[m][same]] = True
+        absorbed, least = {depth: np.zeros(len(self.count[depth]), bool)}, {shortest: np.full(len(self.count[shortest]), shortest)}
         for m in range(shortest + 1, depth + 1):
             same = self.count[m] == self.count[m - 1][self.link[m]]
+            same[0] = False
+            absorbed[m - 1] = np.zeros(len(self.count[m - 1]), bool)
+            absorbed[m - 1][self.link[m][same]] = True
             least[m] = np.where(same, least[m - 1][self.link[m]], m)
-        for m, own in heads.items():
+        for m in range(shortest, depth + 1):
+            own = np.flatnonzero(~absorbed[m])[1:]
             yield m, self.place[m][own], least[m][own], self.count[m][own]
 
+    def strings(self, shortest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """length, an end position and the count of every string of every state."""
+        for m, ends, least, n in self.states(shortest):
+            for size in range(shortest, m + 1):
+                yield size, ends[least <= size], n[least <= size]
+
 
 class Shard:
-    """Texts of a task, of at most so many words, and the counts of their phrases."""
+    """Texts of a task, and the counts of their words, pairs or phrases."""
 
-    def __init__(self, may_words: Bitmap | None, may_pairs: Bitmap | None):
-        self.may_words, self.may_pairs = may_words, may_pairs
-        self.words, self.langs, self.starts, self.vocabularies, self.parts, self.size, self.n = [b""], [], [], {}, {}, 0, {}
+    def __init__(self, may_words: Bitmap | None = None, may_pairs: Bitmap | None = None):
+        self.may_words, self.may_pairs, self.size = may_words, may_pairs, 0
+        self.vocabularies: dict[str, Vocabulary] = {}
+        self.parts: dict[str, list[np.ndarray]] = {}
 
     def add(self, lang: str, texts: list[bytes]) -> None:
         if lang not in self.vocabularies:
-            self.vocabularies[lang], self.parts[lang], self.n[lang] = Vocabulary([b""], lang, self.may_words), [], 0
+            self.vocabularies[lang], self.parts[lang] = Vocabulary(lang, self.may_words), []
         found = words_of(texts)
         numbers = np.fromiter(map(self.vocabularies[lang].__getitem__, found), "i4", len(found))
         self.parts[lang] += [numbers[numbers >= 0], np.zeros(1, "i4")]
         self.size += len(found)
 
-    def counts(self, shortest: int, depth: int) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-        """lang, the longest string of each state, the length of its shortest, its count."""
+    def words(self) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """lang, words and their counts."""
+        for lang, parts in self.parts.items():
+            own = self.vocabularies[lang].words
+            n = np.zeros(len(own), "i8")
+            for part in parts:
+                n += np.bincount(part, minlength=len(own))
+            yield lang, own[1:], n[1:]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of pairs, and how often each comes."""
+        found = []
+        for lang, parts in self.parts.items():
+            sequence, hashes = np.concatenate(parts), np.array(self.vocabularies[lang].hashes, "u8")
+            ends = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0)) + 1
+            found.append(pair_hashes(hashes[sequence[ends - 1]], hashes[sequence[ends]]))
+        every = np.sort(np.concatenate([*found, np.zeros(0, "u8")]))
+        heads = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, "i8")
+        return every[heads], np.diff(np.append(heads, len(every)))
+
+    def phrases(self, depth: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """lang, phrases of 2 to depth words, and their counts."""
         for lang, parts in self.parts.items():
             vocabulary, sequence = self.vocabularies[lang], np.concatenate(parts)
-            words = vocabulary.words
-            if depth == 1:
-                n = np.bincount(sequence, minlength=len(words))[1:]
-                yield lang, words[1:], np.ones(len(n), "i4"), n
-                continue
-
-            def open_(automaton, m, words=words, seed=vocabulary.seed):
-                if m != 2:
-                    return np.ones(len(automaton.count[m]), bool)
-                ends = automaton.place[2][1:]
-                pairs = zip(sequence[ends - 1].tolist(), sequence[ends].tolist(), strict=True)  # noqa: B023
-                return np.array([False, *[self.may_pairs(seed, words[a] + b" " + words[b]) for a, b in pairs]])
-
-            for m, ends, least, n in SuffixAutomaton(sequence, depth, open_ if self.may_pairs else None).states(shortest):
+            hashes, words = np.array(vocabulary.hashes, "u8"), vocabulary.words
+            automaton = SuffixAutomaton(sequence, depth, lambda a, b, h=hashes: self.may_pairs.among(pair_hashes(h[a], h[b])))
+            for m, ends, n in automaton.strings(2):
                 columns = [[words[i] for i in sequence[ends - m + 1 + k].tolist()] for k in range(m)]
-                yield lang, [b" ".join(p) for p in zip(*columns, strict=True)], least, n
+                yield lang, [b" ".join(p) for p in zip(*columns, strict=True)], n
+
+
+def _shards(batches, shard_words: int, *bitmaps) -> Iterator[Shard]:
+    """The texts (lang, text) of a task, in shards of about so many words."""
+    import pyarrow as pa
+
+    may = [b.value for b in bitmaps]
+    shard = Shard(*may)
+    for batch in batches:
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+            texts.setdefault(lang, []).append(text)
+        for lang, some in texts.items():
+            shard.add(lang, some)
+        if shard.size >= shard_words:
+            yield shard
+            shard = Shard(*may)
+    yield shard
+
 
+def _told(found: Iterator[tuple[str, list[bytes], np.ndarray]], step: int = 20_000) -> Iterator:
+    import pyarrow as pa
 
-def _counting(shortest: int, depth: int, shared_words, shared_pairs, shard_words: int):
-    """A pass over texts that gives the counts of each shard's phrases; with depth 1 also the number of its words."""
+    for lang, phrases, n in found:
+        for k in range(0, len(phrases), step):
+            some = pa.array(phrases[k : k + step], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(n[k : k + step].astype("i8"))], ["lang", "phrase", "n"])
+
+
+def word_counts(texts: DataFrame, shard_words: int) -> DataFrame:
+    """COUNTS of each shard's words; under the null word the number of all."""
+
+    def step(batches) -> Iterator:
+        import pyarrow as pa
+
+        for shard in _shards(batches, shard_words):
+            for lang, _, n in shard.words():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(n.sum())])], ["lang", "phrase", "n"])
+            yield from _told(shard.words())
+
+    return texts.mapInArrow(step, COUNTS)
+
+
+def frequent_pairs(texts: DataFrame, shard_words: int, least: int, may_words) -> DataFrame:
+    """h long: the hashes of pairs that may be frequent."""
 
     def step(batches) -> Iterator:
         import pyarrow as pa
 
-        def told(shard: Shard) -> Iterator:
-            for lang, phrases, least, n in shard.counts(shortest, depth):
-                if depth == 1:
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "phrase": pa.array([None], pa.string()), "shortest": pa.array([0], pa.int32()), "n": pa.array([int(n.sum())], pa.int64())})
-                for k in range(0, len(phrases), 20_000):
-                    some = pa.array(phrases[k : k + 20_000], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(least[k : k + 20_000].astype("i4")), pa.array(n[k : k + 20_000].astype("i8"))], ["lang", "phrase", "shortest", "n"])
-
-        of = lambda b: b.value if b else None
-        shard = Shard(of(shared_words), of(shared_pairs))
-        for batch in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, some in texts.items():
-                shard.add(lang, some)
-            if shard.size >= shard_words:
-                yield from told(shard)
-                shard = Shard(of(shared_words), of(shared_pairs))
-        yield from told(shard)
-
-    return step
+        for shard in _shards(batches, shard_words, may_words):
+            h, n = shard.pairs()
+            for k in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000].view("i8")), pa.array(n[k : k + 100_000])], ["h", "n"])
+
+    parts = texts.mapInArrow(step, "h long, n long")
+    return parts.repartition("h").groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("h")
+
+
+def long_counts(texts: DataFrame, shard_words: int, longest: int, may_words, may_pairs) -> DataFrame:
+    """COUNTS of each shard's phrases of at least two words, of what pairs may be frequent."""
+
+    def step(batches) -> Iterator:
+        for shard in _shards(batches, shard_words, may_words, may_pairs):
+            yield from _told(shard.phrases(longest))
+
+    return texts.mapInArrow(step, COUNTS)
 
 
 def _summed(parts: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, f: the strings of all states, their counts summed, where that is enough; the null phrase stays."""
-    words = F.split("phrase", " ")
-    each = F.when(F.col("shortest") >= F.size(words), F.array("phrase")).otherwise(F.transform(F.sequence("shortest", F.size(words)), lambda m: F.array_join(F.slice(words, F.size(words) - m + 1, m), " ")))
-    strings = parts.select("lang", F.explode(F.when(F.col("phrase").isNull(), F.array(F.lit(None).cast("string"))).otherwise(each)).alias("phrase"), "n")
-    return strings.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+    """lang, phrase, f: the counts of all shards, summed, where that is enough; the null phrase stays."""
+    summed = parts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return summed.where((F.col("f") >= least) | F.col("phrase").isNull())
 
 
 def phrase_counts(documents: DataFrame, scratch: Scratch, least: int, longest: int, most_bits: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, f of all frequent words and phrases of up to `longest` words; and lang, n, the number of words."""
-    spark = documents.sparkSession
+    share = lambda keys: documents.sparkSession.sparkContext.broadcast(bitmap_of(keys, most_bits))
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    run = lambda shortest, depth, words=None, pairs=None: scratch.write(_summed(texts.mapInArrow(_counting(shortest, depth, words, pairs, shard_words), COUNTS), least))
-    share = lambda found: spark.sparkContext.broadcast(bitmap_of(found, most_bits))
-    every = run(1, 1)
+    every = scratch.write(_summed(word_counts(texts, shard_words), least))
     words = every.where("phrase IS NOT NULL")
-    found, may_words = words, share(words)
-    if longest >= 2:
-        pairs = run(2, 2, may_words)
-        found = found.union(pairs)
-        if longest >= 3:
-            found = found.union(run(3, longest, may_words, share(pairs)))
+    may_words = share(words.select(F.xxhash64("lang", "phrase").alias("h")))
+    may_pairs = share(scratch.write(frequent_pairs(texts, shard_words, least, may_words)))
+    found = words.union(scratch.write(_summed(long_counts(texts, shard_words, longest, may_words, may_pairs), least)))
     return found, every.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
 
 
@@ -252,7 +302,7 @@ def ranked(phrases: DataFrame, top: int, salt: int = 16) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def mine_phrases(documents: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000, most_bits: int = 1 << 29, shard_words: int = 4_000_000) -> DataFrame:
+def mine_phrases(documents: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000, most_bits: int = 1 << 29, shard_words: int = 3_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best collocations of each language."""
     with Scratch(documents.sparkSession, "phrases") as scratch:
         counts, totals = phrase_counts(documents, scratch, least, longest, most_bits, shard_words)
