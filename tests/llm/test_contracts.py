@@ -50,7 +50,8 @@ def sf(spark, rows, tmp_path_factory):
 @pytest.fixture(scope="module")
 def none(spark, sf, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("none"))
-    for name in ("documents", "labels", "embeddings"):
+    spark.createDataFrame([(1, "http://a/", "x" * 2000), (2, None, "x" * 2000)], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    for name in ("documents", "labels", "embeddings", "pages"):
         spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{at}/{name}.parquet")
     return at
 
@@ -277,7 +278,7 @@ def test_op9_leftovers_of_blocks_meet(spark):
     rows = [(i if i % 3 else 7, " ".join(WORDS[: 3 + i % 9])) for i in range(900)]  # a third has one id
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     path = public_tokenizers.path("word_bpe_49k.json")
-    got = packing.pack_documents(df, path, capacity=128, block=30, together=4).collect()
+    got = packing.pack_documents(df, path, capacity=128, block=30).collect()
     fill = Counter()
     for r in got:
         fill[r["sequence_id"]] += r["length"]

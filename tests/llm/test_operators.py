@@ -1,17 +1,18 @@
 """Each operator against a brute-force version or a round trip, with nulls, empty and repeated rows, extra columns."""
 
 import base64
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from termdrift.llm import byte_bpe, exact_dedup, labelled, line_dedup, near_dedup, packing, pii, pivot_search, quality, toxicity, unigram
+from termdrift.llm import byte_bpe, exact_dedup, labelled, line_dedup, near_dedup, packing, pii, pivot_search, quality, queries, toxicity, unigram
 
 KIND = "doc_id long, text string, lang string, n_lines int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau".split()
@@ -184,25 +185,49 @@ def test_local_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 10 for b in got)
 
 
-def test_unigram_counts(spark, docs, empty):
+def test_op5_against_brute_force(spark, docs, empty, tmp_path):
+    """The query, with its fitted scores, against the best segmentation by scores that plain expectation-maximisation gives."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    pieces = unigram.read_pieces(spark, path).value
-    floor = min(pieces.values()) - unigram.UNKNOWN
+    pieces = sorted(unigram.read_pieces(spark, path).value)
+    short = docs.where("coalesce(length(text), 0) < 3000")
+    short.write.parquet(f"{tmp_path}/documents.parquet")
+    all_texts = texts(short)
+    tokens = Counter(w for t in all_texts.values() for w in unigram.pre_tokens(t))
+
+    longest = max(map(len, pieces))
+
+    def ways(word, scores, floor):
+        """place -> (start, piece or None, score) of every step that ends there."""
+        steps = {end: [(k, word[k:end], scores[word[k:end]]) for k in range(max(0, end - longest), end) if word[k:end] in scores] for end in range(1, len(word) + 1)}
+        return {end: some if any(k == end - 1 for k, _, _ in some) else [*some, (end - 1, None, floor)] for end, some in steps.items()}
+
+    scores = dict.fromkeys(pieces, -math.log(len(pieces)))
+    for _ in range(4):
+        floor, expected = min(scores.values()) - unigram.UNKNOWN, dict.fromkeys(pieces, 0.5)
+        for word, times in tokens.items():
+            text = word.replace(" ", unigram.MARK)
+            steps, forward, back = ways(text, scores, floor), {0: 0.0}, Counter({len(text): 1.0})
+            for end, some in steps.items():
+                forward[end] = np.logaddexp.reduce([forward[k] + s for k, _, s in some])
+            for end in reversed(steps):
+                for k, piece, s in steps[end]:
+                    share = back[end] * math.exp(forward[k] + s - forward[end])
+                    back[k] += share
+                    if piece is not None:
+                        expected[piece] += share * times
+        total = math.log(sum(expected.values()))
+        scores = {p: math.log(n) - total for p, n in expected.items()}
 
     def count(word):
-        best = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            s, n = best[end - 1]
-            some = [(s + floor, n - len(word[end - 1].encode()))]
-            some += [(best[k][0] + pieces[word[k:end]], best[k][1] - 1) for k in range(max(0, end - 24), end) if word[k:end] in pieces]
-            best.append(max(some))
-        return -best[-1][1]
-
-    got = by_id(unigram.count_tokens(docs, path), "n_tokens")
-    for i, t in texts(docs).items():
-        if len(t) < 5000:
-            assert got[i][0] == sum(count(unigram.MARK + w) for w in t.split())
-    assert unigram.count_tokens(empty, path).count() == 0
+        text, best, floor = word.replace(" ", unigram.MARK), {0: (0.0, 0)}, min(scores.values()) - unigram.UNKNOWN
+        for end, some in ways(text, scores, floor).items():
+            best[end] = max((best[k][0] + s, best[k][1] - (1 if p is not None else len(text[k:end].encode()))) for k, p, s in some)
+        return -best[len(text)][1]
+
+    want = {w: count(w) for w in tokens}
+    got = by_id(queries.op5_token_counts(spark, str(tmp_path)), "n_tokens")
+    assert got == {i: (sum(want[w] for w in unigram.pre_tokens(t)),) for i, t in all_texts.items()}
+    assert queries.op5_token_counts.__name__ in queries.QUERIES and unigram.count_corpus(empty, path).count() == 0
 
 
 def test_models_on_what_they_must_not_see(spark):
