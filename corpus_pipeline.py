@@ -5,9 +5,10 @@ quality classifier rejects go, of equal texts one stays, of each group of near d
 replaced by its kind in brackets, and what is left is packed into sequences.
 
 Null and empty texts get the mean label of the labelled sample and stay if that is at least 0.7; they are equal to each
-other, so one stays, as a text of the closing id alone. Of rows that repeat an id or a text one stays: of equal texts
-that with the largest id, and of rows that repeat both the one with the least other columns. Rows without id are
-never held to be near copies. An empty table goes through as an empty table. Columns other than those of documents are
+other, so one stays, as a text of the closing id alone. Of rows that repeat a text one stays, that with the largest id,
+and of rows that repeat both id and text the one with the least other columns. Rows that repeat an id with other texts are
+documents of their own: of near copies one row stays, that with the smallest id, of several the one whose text's hash is the
+least, and unlike texts of one id all stay. Rows without id are never held to be near copies. An empty table goes through as an empty table. Columns other than those of documents are
 dropped by the first stage, whatever their names.
 """
 
@@ -42,9 +43,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingles of five words, similarity 0.8 or more."""
     small_batches(spark)
-    gone = near_dedup.cluster_documents(docs).where("NOT kept").select("doc_id").distinct()
-    maybe, stays = split(docs, F.col("doc_id"), gone, "doc_id")
-    return stays.select(*COLUMNS).unionByName(maybe.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS))
+    gone = near_dedup.mark_rows(docs).where("NOT stays").select(F.col("row").alias("gone"), F.xxhash64("row").alias("key")).distinct()
+    maybe, stays = split(docs, F.xxhash64(near_dedup.row_of(docs)), gone, "key")
+    maybe = maybe.join(gone.hint("merge"), near_dedup.row_of(maybe) == F.col("gone"), "left_anti")
+    return stays.select(*COLUMNS).unionByName(maybe.select(*COLUMNS))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
