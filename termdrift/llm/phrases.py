@@ -5,11 +5,11 @@ down to the depth sought: level by level, the strings that end at each place, ea
 its first word, and with the number of its end positions. Strings that end at the same places are one state; all strings
 of a state are enumerated with its count. The counts of all shards are then summed.
 
-Three passes share the work. The first counts words. A phrase that is frequent has only frequent parts, so the second
-counts pairs of frequent words, by a hash alone, and the third builds automata of what pairs are frequent. What is frequent
-is told to the tasks by bitmaps, whose size follows the number of keys up to `most_bits` (64 MB by default); they, and
-hashes that collide, let some phrases through that are not, and never stop one that is. All counts are of whole strings and
-exact. What a shard gives is counted already, so it is shuffled without being combined once more.
+As many passes share the work as a phrase may have words. The first counts words. A phrase that is frequent has only
+frequent parts, so the next count pairs of frequent words, then triples of frequent pairs, by hashes alone, and the last
+builds automata of what has only frequent parts. What is frequent is told to the tasks by a bitmap for each length, whose
+size follows the number of keys up to `most_bits` (64 MB by default); they, and hashes that collide, let some phrases
+through that are not, and never stop one that is. All counts are of whole strings and exact. What a shard gives is counted already, so it is shuffled without being combined once more.
 
 Subsumption goes by suffix links over the summed counts: a phrase counts as part of the two that are longer by one word,
 by their suffix link and their prefix. Longer ones need no look, as a phrase between them is at least as frequent.
@@ -48,9 +48,9 @@ def seed_of(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Of pairs of words, from the hashes of both."""
-    return _mixed(first * ODD + second)
+def longer_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """By end position, the hashes of strings longer by a word, from those of strings and of words."""
+    return np.append(np.zeros(1, "u8"), _mixed(before[:-1] * ODD + words[1:]))[: len(words)]
 
 
 class Bitmap:
@@ -99,16 +99,16 @@ class Vocabulary(dict):
 class SuffixAutomaton:
     """The strings of at most `depth` words in a sequence of numbers, 0 where strings end. at[m][i]: the string of m words
     that ends at i, or 0. Each has count[m], its end positions, link[m], the string without its first word, and place[m], one
-    of its end positions. pair: whether the words of places are a pair that may go on, all by default."""
+    of its end positions. allowed[m]: at which places a string of m words may end, at all by default."""
 
-    def __init__(self, sequence: np.ndarray, depth: int, pair=None):
+    def __init__(self, sequence: np.ndarray, depth: int, allowed: dict[int, np.ndarray] | None = None):
         top = int(sequence.max(initial=0)) + 1
         self.at, self.count, self.link, self.place = [None, sequence], [None, np.bincount(sequence, minlength=1)], [None, None], [None, None]
         for m in range(2, depth + 1):
             before, last = self.at[m - 1][:-1], self.at[m - 1][1:]
             ends = np.flatnonzero((before > 0) & (last > 0)) + 1
-            if m == 2 and pair:
-                ends = ends[pair(sequence[ends - 1], sequence[ends])]
+            if allowed and m in allowed:
+                ends = ends[allowed[m][ends]]
             found, first, number, n = np.unique(before[ends - 1].astype("i8") * top + sequence[ends], return_index=True, return_inverse=True, return_counts=True)
             at = np.zeros(len(sequence), "i4")
             at[ends] = number + 1
@@ -141,16 +141,16 @@ class SuffixAutomaton:
 
 
 class Shard:
-    """Texts of a task, and the counts of their words, pairs or phrases."""
+    """Texts of a task, and the counts of their words, hashes or phrases. may: the bitmaps of frequent words, pairs and so on."""
 
-    def __init__(self, may_words: Bitmap | None = None, may_pairs: Bitmap | None = None):
-        self.may_words, self.may_pairs, self.size = may_words, may_pairs, 0
+    def __init__(self, may: list[Bitmap]):
+        self.may, self.size = may, 0
         self.vocabularies: dict[str, Vocabulary] = {}
         self.parts: dict[str, list[np.ndarray]] = {}
 
     def add(self, lang: str, texts: list[bytes]) -> None:
         if lang not in self.vocabularies:
-            self.vocabularies[lang], self.parts[lang] = Vocabulary(lang, self.may_words), []
+            self.vocabularies[lang], self.parts[lang] = Vocabulary(lang, self.may[0] if self.may else None), []
         found = words_of(texts)
         numbers = np.fromiter(map(self.vocabularies[lang].__getitem__, found), "i4", len(found))
         self.parts[lang] += [numbers[numbers >= 0], np.zeros(1, "i4")]
@@ -165,14 +165,23 @@ class Shard:
                 n += np.bincount(part, minlength=len(own))
             yield lang, own[1:], n[1:]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of pairs, and how often each comes."""
-        found = []
+    def _levels(self, sequence: np.ndarray, vocabulary: Vocabulary, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length from 2 on, by end position, the hash of the string and whether it may be frequent."""
+        words = np.array(vocabulary.hashes, "u8")[sequence]
+        hashes, open_ = words, sequence > 0
+        for m in range(2, depth + 1):
+            hashes, open_ = longer_hashes(hashes, words), open_ & np.append(False, open_[:-1])
+            if m <= len(self.may):
+                open_[open_] = self.may[m - 1].among(hashes[open_])
+            yield m, hashes, open_
+
+    def hashes(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of strings of m words, all parts of which may be frequent, and how often each comes."""
+        found = [np.zeros(0, "u8")]
         for lang, parts in self.parts.items():
-            sequence, hashes = np.concatenate(parts), np.array(self.vocabularies[lang].hashes, "u8")
-            ends = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0)) + 1
-            found.append(pair_hashes(hashes[sequence[ends - 1]], hashes[sequence[ends]]))
-        every = np.sort(np.concatenate([*found, np.zeros(0, "u8")]))
+            *_, (_, hashes, open_) = self._levels(np.concatenate(parts), self.vocabularies[lang], m)
+            found.append(hashes[open_])
+        every = np.sort(np.concatenate(found))
         heads = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, "i8")
         return every[heads], np.diff(np.append(heads, len(every)))
 
@@ -180,19 +189,19 @@ class Shard:
         """lang, phrases of 2 to depth words, and their counts."""
         for lang, parts in self.parts.items():
             vocabulary, sequence = self.vocabularies[lang], np.concatenate(parts)
-            hashes, words = np.array(vocabulary.hashes, "u8"), vocabulary.words
-            automaton = SuffixAutomaton(sequence, depth, lambda a, b, h=hashes: self.may_pairs.among(pair_hashes(h[a], h[b])))
+            words = vocabulary.words
+            automaton = SuffixAutomaton(sequence, depth, {m: open_ for m, _, open_ in self._levels(sequence, vocabulary, depth)})
             for m, ends, n in automaton.strings(2):
                 columns = [[words[i] for i in sequence[ends - m + 1 + k].tolist()] for k in range(m)]
                 yield lang, [b" ".join(p) for p in zip(*columns, strict=True)], n
 
 
-def _shards(batches, shard_words: int, *bitmaps) -> Iterator[Shard]:
+def _shards(batches, shard_words: int, bitmaps) -> Iterator[Shard]:
     """The texts (lang, text) of a task, in shards of about so many words."""
     import pyarrow as pa
 
     may = [b.value for b in bitmaps]
-    shard = Shard(*may)
+    shard = Shard(may)
     for batch in batches:
         texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
@@ -201,7 +210,7 @@ def _shards(batches, shard_words: int, *bitmaps) -> Iterator[Shard]:
             shard.add(lang, some)
         if shard.size >= shard_words:
             yield shard
-            shard = Shard(*may)
+            shard = Shard(may)
     yield shard
 
 
@@ -220,7 +229,7 @@ def word_counts(texts: DataFrame, shard_words: int) -> DataFrame:
     def step(batches) -> Iterator:
         import pyarrow as pa
 
-        for shard in _shards(batches, shard_words):
+        for shard in _shards(batches, shard_words, []):
             for lang, _, n in shard.words():
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([int(n.sum())])], ["lang", "phrase", "n"])
             yield from _told(shard.words())
@@ -228,14 +237,14 @@ def word_counts(texts: DataFrame, shard_words: int) -> DataFrame:
     return texts.mapInArrow(step, COUNTS)
 
 
-def frequent_pairs(texts: DataFrame, shard_words: int, least: int, may_words) -> DataFrame:
-    """h long: the hashes of pairs that may be frequent."""
+def frequent_hashes(texts: DataFrame, shard_words: int, least: int, m: int, bitmaps: list) -> DataFrame:
+    """h long: the hashes of strings of m words that may be frequent."""
 
     def step(batches) -> Iterator:
         import pyarrow as pa
 
-        for shard in _shards(batches, shard_words, may_words):
-            h, n = shard.pairs()
+        for shard in _shards(batches, shard_words, bitmaps):
+            h, n = shard.hashes(m)
             for k in range(0, len(h), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000].view("i8")), pa.array(n[k : k + 100_000])], ["h", "n"])
 
@@ -243,11 +252,11 @@ def frequent_pairs(texts: DataFrame, shard_words: int, least: int, may_words) ->
     return parts.repartition("h").groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select("h")
 
 
-def long_counts(texts: DataFrame, shard_words: int, longest: int, may_words, may_pairs) -> DataFrame:
-    """COUNTS of each shard's phrases of at least two words, of what pairs may be frequent."""
+def long_counts(texts: DataFrame, shard_words: int, longest: int, bitmaps: list) -> DataFrame:
+    """COUNTS of each shard's phrases of at least two words, of what parts may be frequent."""
 
     def step(batches) -> Iterator:
-        for shard in _shards(batches, shard_words, may_words, may_pairs):
+        for shard in _shards(batches, shard_words, bitmaps):
             yield from _told(shard.phrases(longest))
 
     return texts.mapInArrow(step, COUNTS)
@@ -265,9 +274,10 @@ def phrase_counts(documents: DataFrame, scratch: Scratch, least: int, longest: i
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     every = scratch.write(_summed(word_counts(texts, shard_words), least))
     words = every.where("phrase IS NOT NULL")
-    may_words = share(words.select(F.xxhash64("lang", "phrase").alias("h")))
-    may_pairs = share(scratch.write(frequent_pairs(texts, shard_words, least, may_words)))
-    found = words.union(scratch.write(_summed(long_counts(texts, shard_words, longest, may_words, may_pairs), least)))
+    bitmaps = [share(words.select(F.xxhash64("lang", "phrase").alias("h")))]
+    for m in range(2, longest):
+        bitmaps.append(share(scratch.write(frequent_hashes(texts, shard_words, least, m, bitmaps))))
+    found = words.union(scratch.write(_summed(long_counts(texts, shard_words, longest, bitmaps), least)))
     return found, every.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
 
 
@@ -302,7 +312,7 @@ def ranked(phrases: DataFrame, top: int, salt: int = 16) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
 
 
-def mine_phrases(documents: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000, most_bits: int = 1 << 29, shard_words: int = 3_000_000) -> DataFrame:
+def mine_phrases(documents: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000, most_bits: int = 1 << 29, shard_words: int = 8_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best collocations of each language."""
     with Scratch(documents.sparkSession, "phrases") as scratch:
         counts, totals = phrase_counts(documents, scratch, least, longest, most_bits, shard_words)
