@@ -1,12 +1,11 @@
-"""Statistics of a column, each one aggregation."""
+"""Statistics of columns, each an aggregation or a few; quantiles and ranks by ranges of values."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termdrift.functions.quantiles import average_ranks, of_series, quantiles, stacked
 from termdrift.functions.scalars import known
 from termdrift.scratch import written
 
@@ -14,10 +13,9 @@ from termdrift.scratch import written
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, std, min, p25, p50, p75, max; quantiles exact, by linear interpolation."""
     c = known(F.col(column))
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max")).select(
-        "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), "max"
-    )
+    moments = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = quantiles(stacked(df, [column])).agg(*[of_series(column, i).alias(f"p{p}") for i, p in enumerate((25, 50, 75))])
+    return moments.crossJoin(F.broadcast(q)).select("count", "mean", "std", "min", "p25", "p50", "p75", "max")  # one row each
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -34,73 +32,69 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return frame.join(counted, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def average_ranks(df: DataFrame, column: str, rank: str) -> DataFrame:
-    """df with the rank of column's value; ties share the mean of their ranks.
-
-    The running count goes over the distinct values, split into ranges, so no task sorts all rows. The ranges are written,
-    as they are sampled, and a value must be in the same one wherever it is read."""
-    spark = df.sparkSession
-    values = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = written(values.repartitionByRange(parts, "_v").withColumn("_p", F.spark_partition_id()), "ranks")
-    sums = ranged.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    before = sums.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    run = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
-    ranks = ranged.join(F.broadcast(before), "_p").select("_v", (F.col("_b") + run - (F.col("_n") - 1) / 2).alias(rank))
-    return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
-
-
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: r, n. Rows where either is missing are left out; a constant column has no correlation."""
-    pairs = df.select(known(F.col(x)).alias("x"), known(F.col(y)).alias("y")).na.drop()
-    ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-    r = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))
-    return ranked.agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
-    tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    h = d
-    for m in range(1, 300):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            c = 1 + top / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h
-
-
-def student_p(t: float, freedom: int) -> float:
-    """Two-sided probability of a t value at least this far from 0."""
+def rank_correlations(df: DataFrame, columns: list[str], against: str) -> DataFrame:
+    """measure, r, p, n: a row for each of the columns, with its rank correlation with `against` and the p value of that.
+
+    Rows where any of them is missing are left out; a constant column has no correlation, and without rows n is 0. All
+    columns are ranked together, and all correlations are one aggregation. df is read twice, so it is written first."""
+    every = [*columns, against]
+    rows = df.select(*[known(F.col(c)).alias(f"_{k}") for k, c in enumerate(every)]).na.drop().withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, "correlations")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("series"), F.col(f"_{k}").alias("value")) for k in range(len(every))]))
+    series = rows.select("_row", each.alias("x")).select("_row", "x.*")
+    ranked = series.join(average_ranks(series.select("series", "value")), ["series", "value"])
+    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("series") == k, F.col("rank"))).alias(f"_{k}") for k in range(len(every))])
+    y = F.col(f"_{len(columns)}")
+    r = lambda x: F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    one = wide.agg(F.count(F.lit(1)).alias("n"), *[r(F.col(f"_{k}")).alias(f"r{k}") for k in range(len(columns))])
+    told = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"r{k}").alias("r")) for k, c in enumerate(columns)])).alias("x"))
+    return told.select("x.measure", "x.r", correlation_p(F.col("x.r"), F.col("n")).alias("p"), "n")
+
+
+def _ln_gamma_step(a: Column) -> Column:
+    """ln of gamma(a + 1/2) / gamma(a): the asymptotic series at a + 10, and ten steps down from there."""
+    b = a + 10
+    far = F.log(b) / 2 - 1 / (8 * b) + 1 / (192 * b**3) - 1 / (640 * b**5) + 17 / (14336 * b**7)
+    return far + sum(F.log((a + k) / (a + k + 0.5)) for k in range(10))
+
+
+def student_p(t: Column, freedom: Column, terms: int = 300) -> Column:
+    """Two-sided probability of a t value at least this far from 0: the incomplete beta function of x = freedom / (freedom +
+    t^2) at freedom / 2 and 1/2, by its continued fraction, which is folded term by term."""
     x = freedom / (freedom + t * t)
-    a, b = freedom / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x >= 1:
-        return 1.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+    a, half = (freedom / 2).cast("double"), F.lit(0.5)
+    front = F.exp(_ln_gamma_step(a) - 0.5723649429247001 + a * F.log(x) + half * F.log1p(-x))  # ln of gamma(1/2)
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) > tiny, v).otherwise(tiny)
 
+    def fraction(a: Column, b: Column, x: Column) -> Column:
+        def step(state: Column, m: Column) -> Column:
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / safe(1 + top * state["d"]), safe(1 + top / state["c"])
+                state = F.struct(c.alias("c"), d.alias("d"), (state["h"] * d * c).alias("h"))
+            return state
 
-def spearman_p(r: float | None, n: int) -> float | None:
-    """Two-sided p value of a rank correlation, by Student's t with n - 2 degrees of freedom."""
-    if r is None or n < 3:
-        return None
-    return 0.0 if abs(r) >= 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+        first = 1 / safe(1 - (a + b) * x / (a + 1))
+        whole = F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda m: m.cast("double"))
+        return F.aggregate(whole, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step, lambda s: s["h"])
 
+    near = front * fraction(a, half, x) / a
+    far = 1 - front * fraction(half, a, 1 - x) / half
+    return F.when(x >= 1, 1.0).when(x <= 0, 0.0).when(x < (a + 1) / (a + half + 2), near).otherwise(far)
 
-def spearman_tested(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: r, p, n. The p value is that of one number, so it is worked out in the driver."""
-    r, n = spearman(df, x, y).first()
-    return df.sparkSession.createDataFrame([(r, spearman_p(r, n), n)], "r double, p double, n long")
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p value of a rank correlation, by Student's t with n - 2 degrees of freedom; null below three rows."""
+    freedom = (n - 2).cast("double")
+    return F.when(r.isNotNull() & (n >= 3), F.when(F.abs(r) >= 1, 0.0).otherwise(student_p(r * F.sqrt(freedom / (1 - r * r)), freedom)))
 
 
 def by_bin(df: DataFrame, group: str, column: str) -> DataFrame:
     """mean, median and count of column in each bin that occurs."""
-    c = known(F.col(column))
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(c).alias("mean"), F.median(c).alias("median"), F.count(c).alias("count"))
+    c, inside = known(F.col(column)), df.where(F.col(group).isNotNull())
+    counts = inside.groupBy(group).agg(F.avg(c).alias("mean"), F.count(c).alias("count"))
+    middle = quantiles(stacked(inside, [column], by=group), [0.5]).select(F.col("series.group").alias(group), F.get("q", F.lit(0)).alias("median"))
+    return counts.join(middle, group, "left").select(group, "mean", "median", "count")
 
 
 def null_cells(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termdrift.functions.quantiles import of_series, quantiles, stacked
 from termdrift.functions.scalars import known, relative_change
 from termdrift.schemas import GROWTH, NEW_COUNT, OLD_COUNT
 
@@ -20,8 +21,10 @@ def positive_growth(terms: DataFrame, pct_col: str = GROWTH) -> DataFrame:
 
 def calculate_iqr_thresholds(df: DataFrame, gene_col: str = OLD_COUNT, pct_col: str = GROWTH) -> DataFrame:
     """One row: both columns' fences 1.5 quartile ranges beyond the quartiles, their medians, and the number of terms."""
-    q = lambda c: F.percentile(known(F.col(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.agg(q(gene_col).alias("g"), q(pct_col).alias("p"), F.count(F.lit(1)).alias("total_terms"))
+    found = quantiles(stacked(df, [gene_col, pct_col]))
+    q = lambda c: F.array(*[of_series(c, i) for i in range(3)])
+    one = found.agg(q(gene_col).alias("g"), q(pct_col).alias("p"))
+    one = df.agg(F.count(F.lit(1)).alias("total_terms")).crossJoin(F.broadcast(one))  # one row each
     at = lambda c, i: F.get(c, F.lit(i))
     low = lambda c: at(c, 0) - 1.5 * (at(c, 2) - at(c, 0))
     high = lambda c: at(c, 2) + 1.5 * (at(c, 2) - at(c, 0))
@@ -41,6 +44,7 @@ def filter_go_terms_iqr(df: DataFrame, thresholds: DataFrame, min_genes: int = 1
 
 def retention(before: DataFrame, after: DataFrame, gene_col: str = OLD_COUNT) -> DataFrame:
     """One row: terms before and after, the share kept, and mean and median size of what was kept."""
-    kept = after.agg(F.count(F.lit(1)).alias("n_after"), F.avg(gene_col).alias("mean_genes"), F.median(gene_col).alias("median_genes"))
-    both = before.agg(F.count(F.lit(1)).alias("n_before")).crossJoin(F.broadcast(kept))
+    kept = after.agg(F.count(F.lit(1)).alias("n_after"), F.avg(gene_col).alias("mean_genes"))
+    middle = quantiles(stacked(after, [gene_col]), [0.5]).agg(of_series(gene_col, 0).alias("median_genes"))
+    both = before.agg(F.count(F.lit(1)).alias("n_before")).crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(middle))  # one row each
     return both.select("n_before", "n_after", F.try_divide("n_after", "n_before").alias("share_kept"), "mean_genes", "median_genes")

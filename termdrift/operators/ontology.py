@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from termdrift.scratch import Scratch
@@ -22,36 +22,60 @@ def edges(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
     return live.select(F.col("id").alias("child"), F.explode("parents").alias("parent")).join(live.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
 
 
-def depths(terms: DataFrame, namespace: str = PROCESS, levels: int = 3) -> DataFrame:
-    """go_id, depth: the fewest steps from a root, that is a term without a parent in the set.
-
-    Breadth first, some levels a job, each on the frontier alone. Within a job a term may be reached again; its fewest
-    steps count. What hangs on a cycle only has no depth."""
-    with Scratch(terms.sparkSession, "depths") as scratch:
-        links = scratch.write(edges(terms, namespace))
-        ids = live_terms(terms, namespace).select("id").distinct()
-        seen = scratch.write(ids.join(links.select(F.col("child").alias("id")), "id", "left_anti").select(F.col("id").alias("go_id"), F.lit(0).alias("depth")))
-        frontier, level = seen, 0
+def all_depths(snapshots: dict[str, DataFrame], namespace: str = PROCESS, levels: int = 8, most: int = 16) -> tuple[DataFrame, dict[str, int]]:
+    """snapshot, go_id, depth: in each snapshot the fewest steps from a root, a term without a parent in the set; and the
+    largest depth of each snapshot that has a term with one.
+
+    One traversal for all snapshots, breadth first, some levels a job and twice as many in the next, up to `most`. The
+    edges are written bucketed by snapshot and parent, so no level shuffles them again: only its own terms are, by which
+    it then meets the edges. Within a job a term may be reached again; its fewest steps count. What hangs on a cycle only
+    has no depth."""
+    named = [live_terms(t, namespace).select(F.lit(name).alias("snapshot"), "id", "parents") for name, t in snapshots.items()]
+    live = reduce(DataFrame.union, named)
+    with Scratch(live.sparkSession, "depths") as scratch:
+        above = live.select("snapshot", F.col("id").alias("child"), F.explode_outer("parents").alias("parent"))
+        known = above.join(live.select("snapshot", F.col("id").alias("parent"), F.lit(True).alias("known")).distinct(), ["snapshot", "parent"], "left")
+        dealt = known.repartition("snapshot", "parent").distinct()  # one shuffle for both
+        every = scratch.bucketed(dealt, "snapshot", "parent", grouped=True)
+        links = every.where("known").select("snapshot", "parent", "child")
+        roots = every.groupBy("snapshot", F.col("child").alias("go_id")).agg(F.count("known").alias("parents")).where("parents = 0")
+        deepest, at_last, level = dict.fromkeys(snapshots, None), Observation(), 0
+        largest = [F.max(F.when(F.col("snapshot") == name, F.col("depth"))).alias(f"_{k}") for k, name in enumerate(snapshots)]
+        seen = scratch.write(roots.select("snapshot", "go_id", F.lit(0).alias("depth")).observe(at_last, F.count(F.lit(1)).alias("open"), *largest))
+        frontier = seen
         while True:
-            reached, at = [], frontier
+            told = at_last.get
+            deepest = {name: old if told[f"_{k}"] is None else told[f"_{k}"] for k, (name, old) in enumerate(deepest.items())}
+            if not told["open"]:
+                return scratch.keep(seen), {name: d for name, d in deepest.items() if d is not None}
+            at, reached = frontier.select("snapshot", F.col("go_id").alias("parent")), []
             for _ in range(levels):
                 level += 1
-                at = links.join(at, F.col("parent") == F.col("go_id"), "left_semi").select(F.col("child").alias("go_id")).distinct().withColumn("depth", F.lit(level))
-                reached.append(at)
-            new = reduce(DataFrame.union, reached).join(seen, "go_id", "left_anti").groupBy("go_id").agg(F.min("depth").alias("depth"))
+                at = links.hint("merge").join(at, ["snapshot", "parent"], "left_semi").select("snapshot", F.col("child").alias("parent")).distinct()
+                reached.append(at.withColumn("depth", F.lit(level)))
+            fewest = reduce(DataFrame.union, reached).withColumnRenamed("parent", "go_id").groupBy("snapshot", "go_id").agg(F.min("depth").alias("depth"))
+            at_last = Observation()
+            new = fewest.join(seen.hint("merge"), ["snapshot", "go_id"], "left_anti").observe(at_last, F.count_if(F.col("depth") == level).alias("open"), *largest)
             new = scratch.write(new)
-            if new.isEmpty():
-                return scratch.keep(seen)
-            seen = scratch.write(seen.union(new))
-            frontier = new.where(F.col("depth") == level)
+            seen, frontier, levels = seen.union(new), new.where(F.col("depth") == level), min(2 * levels, most)
 
 
-def normalised_depths(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
-    """go_id, depth, max_depth, normalized_depth: depth as a share of the largest, 0 if that is 0."""
-    found = depths(terms, namespace)
-    most = found.agg(F.max("depth").alias("max_depth"))
+def depths(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
+    """go_id, depth of one ontology."""
+    return all_depths({"": terms}, namespace)[0].select("go_id", "depth")
+
+
+def all_normalised(snapshots: dict[str, DataFrame], namespace: str = PROCESS) -> DataFrame:
+    """snapshot, go_id, depth, max_depth, normalized_depth: depth as a share of the snapshot's largest, 0 if that is 0."""
+    found, deepest = all_depths(snapshots, namespace)
+    most = F.element_at(F.map_from_arrays(F.array(*map(F.lit, deepest)), F.array(*map(F.lit, deepest.values()))), F.col("snapshot")) if deepest else F.lit(None).cast("int")
     share = F.when(F.col("max_depth") > 0, F.col("depth") / F.nullif("max_depth", F.lit(0))).otherwise(0.0)
-    return found.crossJoin(F.broadcast(most)).select("go_id", "depth", "max_depth", share.cast("double").alias("normalized_depth"))
+    return found.select("snapshot", "go_id", "depth", most.alias("max_depth")).withColumn("normalized_depth", share.cast("double"))
+
+
+def normalised_depths(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
+    """go_id, depth, max_depth, normalized_depth of one ontology."""
+    return all_normalised({"": terms}, namespace).drop("snapshot")
 
 
 def identify_leaf_terms(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
@@ -68,8 +92,8 @@ def identify_parent_terms(leaves: DataFrame, terms: DataFrame, namespace: str =
 
 def add_hierarchy_metrics(counts: DataFrame, terms_2016: DataFrame, terms_2024: DataFrame, go_id_column: str = "go_id", namespace: str = PROCESS) -> DataFrame:
     """counts with depth and normalized_depth of both snapshots, and their changes; null where a term is missing."""
-    out = counts
-    for year, terms in (("2016", terms_2016), ("2024", terms_2024)):
-        table = normalised_depths(terms, namespace).select(F.col("go_id").alias(go_id_column), F.col("depth").alias(f"depth_{year}"), F.col("normalized_depth").alias(f"normalized_depth_{year}"))
-        out = out.join(table, go_id_column, "left")
+    found = all_normalised({"2016": terms_2016, "2024": terms_2024}, namespace)
+    of = lambda c, year: F.max(F.when(F.col("snapshot") == year, F.col(c))).alias(f"{c}_{year}")
+    wide = found.groupBy(F.col("go_id").alias(go_id_column)).agg(*[of(c, year) for year in ("2016", "2024") for c in ("depth", "normalized_depth")])
+    out = counts.join(wide, go_id_column, "left")
     return out.withColumns({"depth_change": F.col("depth_2024") - F.col("depth_2016"), "norm_depth_change": F.col("normalized_depth_2024") - F.col("normalized_depth_2016")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termdrift.functions.scalars import split_list, strip
@@ -57,22 +57,39 @@ def size_band(pairs: DataFrame, low: int = SMALLEST, high: int = LARGEST) -> Dat
     return within(pairs, term_sizes(pairs, "n").where(F.col("n").between(low, high)), "go_id")
 
 
+def align_new(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The new snapshot cut to the old one's genes, then to usable sizes, then to the old one's terms."""
+    return within(size_band(within(new, old, "entrez_gene_id")), old, "go_id")
+
+
+def align_old(old: DataFrame, aligned: DataFrame) -> DataFrame:
+    """The old snapshot cut to the genes that are left in the new one."""
+    return within(old, aligned, "entrez_gene_id")
+
+
 def align(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both snapshots over common genes. The new one is cut to the old one's genes, then to usable sizes, then to the
-    old one's terms; the old one to the genes that are left. More filters on the new one would change nothing, as its
-    genes are among the old one's by then."""
-    new = within(size_band(within(new, old, "entrez_gene_id")), old, "go_id")
-    return within(old, new, "entrez_gene_id"), new
+    """Both snapshots over common genes. More filters on the new one would change nothing, as its genes are among the old
+    one's by then."""
+    new = align_new(old, new)
+    return align_old(old, new), new
 
 
 def common_terms(old: DataFrame, new: DataFrame) -> DataFrame:
     return term_sizes(old, OLD_COUNT).join(term_sizes(new, NEW_COUNT), "go_id")
 
 
-def quality_checks(pairs: DataFrame, edges: tuple[int, int] = (500_000, 1_500_000), genes: int = 14_000, terms: int = 5_000) -> DataFrame:
-    """One row: edge, null, gene and term counts, and whether each is as expected, in one aggregation."""
-    nulls = sum((F.sum(F.col(c).isNull().cast("long")) for c in pairs.columns[1:]), F.sum(F.col(pairs.columns[0]).isNull().cast("long")))
-    counts = pairs.agg(F.count(F.lit(1)).alias("n_edges"), F.coalesce(nulls, F.lit(0)).cast("long").alias("n_nulls"), F.count_distinct("entrez_gene_id").alias("n_genes"), F.count_distinct("go_id").alias("n_terms"))
+def edge_counts(columns: tuple[str, ...] = ("entrez_gene_id", "metaedge", "go_id")) -> list[Column]:
+    """The aggregates n_edges and n_nulls, for a table of pairs or for an observation of its writing."""
+    nulls = sum((F.sum(F.col(c).isNull().cast("long")) for c in columns[1:]), F.sum(F.col(columns[0]).isNull().cast("long")))
+    return [F.count(F.lit(1)).alias("n_edges"), F.coalesce(nulls, F.lit(0)).cast("long").alias("n_nulls")]
+
+
+def quality_checks(pairs: DataFrame, edges: tuple[int, int] = (500_000, 1_500_000), genes: int = 14_000, terms: int = 5_000, counted: dict | None = None) -> DataFrame:
+    """One row: edge, null, gene and term counts, and whether each is as expected, in one aggregation. counted: n_edges and
+    n_nulls where the writing of pairs has told them; then only genes and terms are read."""
+    known = [F.lit(counted[c]).cast("long").alias(c) for c in ("n_edges", "n_nulls")] if counted else edge_counts(tuple(pairs.columns))
+    counts = pairs.agg(*([] if counted else known), F.count_distinct("entrez_gene_id").alias("n_genes"), F.count_distinct("go_id").alias("n_terms"))
+    counts = counts.select(*(known if counted else ("n_edges", "n_nulls")), "n_genes", "n_terms")
     return counts.withColumns({
         "edges_ok": F.col("n_edges").between(*edges), "nulls_ok": F.col("n_nulls") == 0,
         "columns_ok": F.lit(set(pairs.columns) == {"entrez_gene_id", "metaedge", "go_id"}),

@@ -116,7 +116,7 @@ def added_pairs(spark, sf_dir):
 
 
 def removed_pairs(spark, sf_dir):
-    return classify.removed_pairs(*both(spark, sf_dir))
+    return compared(spark, sf_dir).removed
 
 
 def class_summary(spark, sf_dir):
@@ -183,14 +183,11 @@ def dataset_parents(spark, sf_dir):
 
 
 def spearman_depth_growth(spark, sf_dir):
-    found, _ = snapshot.depth_analysis(hierarchy(spark, sf_dir))
-    parts = [df.select(F.lit(name).alias("measure"), r6("r"), "n") for name, df in found.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    return snapshot.depth_correlations(hierarchy(spark, sf_dir)).select("measure", r6("r"), "n")
 
 
 def depth_bins(spark, sf_dir):
-    _, binned = snapshot.depth_analysis(hierarchy(spark, sf_dir))
-    return binned.select("depth_bin_2016", "bin_order", r6("mean"), r6("median"), "count")
+    return snapshot.growth_by_depth(hierarchy(spark, sf_dir)).select("depth_bin_2016", "bin_order", r6("mean"), r6("median"), "count")
 
 
 def describe_depth(spark, sf_dir):
@@ -282,9 +279,7 @@ def csv_roundtrip(spark, sf_dir):
 
 
 def spearman_p_values(spark, sf_dir):
-    found, _ = snapshot.depth_analysis(hierarchy(spark, sf_dir))
-    parts = [df.select(F.lit(name).alias("measure"), r6("r"), r6("p"), "n") for name, df in found.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    return snapshot.depth_correlations(hierarchy(spark, sf_dir)).select("measure", r6("r"), r6("p"), "n")
 
 
 def matrix_shape(spark, sf_dir):
@@ -306,10 +301,10 @@ def dataset_metrics(spark, sf_dir):
 
 
 def nodes_roundtrip(spark, sf_dir):
-    """The parts as a node file, one file in the order of their keys, read back with their places."""
+    """The parts as node files in the order of their keys, read back with their places."""
     path = shared_folder(spark, "nodes")
     ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.col("p_partkey").cast("string").alias("identifier"), F.col("p_name").alias("name"))
-    ids.orderBy("position").coalesce(1).write.csv(path, sep="\t", header=True)  # a node file is one file
+    ids.orderBy("position").write.csv(path, sep="\t", header=True)
     return files.read_nodes(spark, path)
 
 

@@ -34,6 +34,19 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return saved(df, shared_folder(df.sparkSession, purpose))
 
 
+def bucketed(df: DataFrame, path: str, *keys: str, grouped: bool = False) -> DataFrame:
+    """df as a table at path in as many buckets by keys as a shuffle has partitions, each of one file, so that joins and
+    groups by keys read it without a shuffle. grouped: df comes out of a grouping by keys, so its rows lie by them already.
+    The session's catalog names the table only until it is resolved."""
+    spark, name = df.sparkSession, f"termdrift_{uuid.uuid4().hex}"
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df if grouped else df.repartition(parts, *keys)
+    dealt.write.option("path", path).bucketBy(parts, *keys).sortBy(*keys).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever file system it is, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,6 +74,9 @@ class Scratch:
         self.last = self._next("rounds")
         return saved(df, self.last)
 
+    def bucketed(self, df: DataFrame, *keys: str, keep: bool = False, grouped: bool = False) -> DataFrame:
+        return bucketed(df, self._next("kept" if keep else "rounds"), *keys, grouped=grouped)
+
     def drop(self, path: str) -> None:
         """Deletes a table of the job before its end, once nothing reads it any more."""
         remove(self.spark, path)

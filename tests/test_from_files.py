@@ -89,17 +89,17 @@ def test_datasets_levels_and_their_files(spark, found, terms, tmp_path):
 def test_depth_analysis_gives_p_values(spark):
     rows = [(f"t{i}", 0.1 + i % 7 / 10, 0.1 + i % 5 / 10, (i % 5 - i % 7) / 10, math.sin(i)) for i in range(40)]
     h = spark.createDataFrame([*rows, ("gap", None, 0.5, None, 1.0)], "go_id string, normalized_depth_2016 double, normalized_depth_2024 double, norm_depth_change double, pct_change_genes double")
-    tests, bins = snapshot.depth_analysis(h)
-    for k, name in enumerate(("normalized_depth_2016", "normalized_depth_2024", "norm_depth_change"), 1):
+    tests = {r["measure"]: r for r in snapshot.depth_correlations(h).collect()}
+    for k, name in enumerate(snapshot.DEPTHS, 1):
         rank = lambda v: np.array([sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v])
         r = np.corrcoef(rank([x[k] for x in rows]), rank([x[4] for x in rows]))[0, 1]
-        got = tests[name].first()
         angle = math.asin(abs(r))
         u = (np.arange(20000) + 0.5) * angle / 20000
         p = 1 - 2 * math.exp(math.lgamma(39 / 2) - math.lgamma(38 / 2)) / math.sqrt(math.pi) * (np.cos(u) ** 37).sum() * angle / 20000
-        assert got["r"] == pytest.approx(r) and got["n"] == 40 and got["p"] == pytest.approx(p, abs=1e-6)
-    assert sum(b["count"] for b in bins.collect()) == 40
-    assert stats.spearman_tested(h.where("false"), "normalized_depth_2016", "pct_change_genes").first()["p"] is None
+        assert tests[name]["r"] == pytest.approx(r) and tests[name]["n"] == 40 and tests[name]["p"] == pytest.approx(p, abs=1e-6)
+    assert sum(b["count"] for b in snapshot.growth_by_depth(h).collect()) == 40
+    assert [(r["r"], r["p"], r["n"]) for r in snapshot.depth_correlations(h.where("false")).collect()] == [(None, None, 0)] * 3
+    assert snapshot.growth_by_depth(h.where("false")).count() == 0
 
 
 def test_what_is_wrong_is_an_error(spark, found):
