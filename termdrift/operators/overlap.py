@@ -13,32 +13,57 @@ from termdrift.schemas import NEW_COUNT, OLD_COUNT
 from termdrift.scratch import Scratch, written
 
 
+def ordered_sets(memberships: DataFrame, key: str = "id", item: str = "item") -> DataFrame:
+    """k, n, h, g, items: each set with its size, two hashes of it, and its items as struct<f,i>, f being how many sets hold
+    the item i; the rarest first, in one order for all sets."""
+    each = memberships.select(F.col(key).alias("k"), F.col(item).alias("i")).where("k IS NOT NULL AND i IS NOT NULL").distinct()
+    held = each.groupBy("i").agg(F.count(F.lit(1)).alias("f"))
+    sets = each.join(held, "i").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("items"))
+    return sets.select("k", F.size("items").alias("n"), F.xxhash64("items.i").alias("h"), F.xxhash64(F.lit(1), "items.i").alias("g"), "items")
+
+
+def candidate_pairs(sets: DataFrame, at_least: float) -> DataFrame:
+    """a, b, m, n, c, i, j: pairs a < b of sets that may reach at_least, above 0; c items are common among their first ones,
+    the last of which is at the places i and j, so what else they share comes behind these.
+
+    Sets that reach the similarity share one of their rarest items, so only those are joined (prefix), and what most sets
+    hold is not looked at. Pairs whose sizes do not allow the similarity do not meet (size). Of those that met, most have too
+    few items left behind the last one that they share (position)."""
+    prefix = F.col("n") - F.ceil(F.col("n") * at_least - 1e-9).cast("int") + 1
+    posted = sets.select("k", "n", F.posexplode(F.slice("items", F.lit(1), prefix)).alias("p", "x")).where("x.f > 1").select("k", "n", (F.col("p") + 1).alias("p"), "x.i")
+    left = posted.select(F.col("k").alias("a"), F.col("n").alias("m"), F.col("p").alias("i"), F.col("i").alias("item"))
+    right = posted.select(F.col("k").alias("b"), "n", F.col("p").alias("j"), F.col("i").alias("item"))
+    fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9)
+    met = left.join(right, "item").where(fits).groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    needed = F.ceil((F.col("m") + F.col("n")) * (at_least / (1 + at_least)) - 1e-6)
+    return met.where(F.col("c") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed)
+
+
+def compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, jaccard of candidate pairs. Only what comes behind the last item that is known to be common is compared."""
+    of = lambda end: sets.select(F.col("k").alias(end), F.col("items.i").alias(f"s{end}"))
+    behind = lambda s, at: F.slice(s, F.col(at) + 1, F.greatest(F.size(s) - F.col(at), F.lit(0)))
+    halved = pairs.join(of("a"), "a").withColumn("sa", behind("sa", "i")).join(of("b"), "b")
+    both = F.col("c") + F.size(F.array_intersect("sa", behind("sb", "j")))
+    return halved.withColumn("both", both).select("a", "b", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("jaccard"))
+
+
 def jaccard_links(memberships: DataFrame, at_least: float = 0.0, key: str = "id", item: str = "item") -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, jaccard), a < b, of unlike sets that share an item and reach at_least; and (id, twin): for each id
-    the smallest one with the same set, by which alone the pairs name it.
-
-    With a bound above 0 only the rarest items of a set are joined: sets that overlap that far share one of them, so
-    none is lost and what most sets hold is not looked at. A key meets its like only where sizes allow the bound."""
+    the smallest one with the same set, by which alone the pairs name it. Without a bound all pairs that share an item are
+    counted item by item."""
     with Scratch(memberships.sparkSession, "jaccard") as scratch:
-        own_sets = memberships.select(F.col(key).alias("k"), F.col(item).alias("i")).groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("s")).where(F.size("s") > 0)
-        own_sets = scratch.write(own_sets.withColumns({"h": F.xxhash64("s"), "g": F.xxhash64(F.lit(1), "s"), "n": F.size("s")}))
+        own_sets = scratch.write(ordered_sets(memberships, key, item))
         first = own_sets.groupBy("h", "g", "n").agg(F.min("k").alias("twin"))
         twins = scratch.keep(own_sets.select("k", "h", "g", "n").join(first, ["h", "g", "n"]).select(F.col("k").alias("id"), "twin"))
-        whole = own_sets.join(twins.where("id = twin").select(F.col("id").alias("k")), "k", "left_semi").select("k", "n", "s")
-        sized = whole.select("k", "n", F.explode("s").alias("i"))
-        joined = sized
+        whole = own_sets.join(twins.where("id = twin").select(F.col("id").alias("k")), "k", "left_semi").select("k", "n", "items")
         if at_least > 0:
-            held = sized.groupBy("i").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-            own = Window.partitionBy("k")
-            ranked = sized.join(held, "i", "left").withColumn("place", F.row_number().over(own.orderBy(F.coalesce("f", F.lit(1)), "i")))
-            joined = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1) & F.col("f").isNotNull())
-        joined = scratch.write(joined.select("k", "n", "i"))
-        left, right = joined.select(F.col("k").alias("a"), "i", F.col("n").alias("m")), joined.select(F.col("k").alias("b"), "i", "n")
-        fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9)
-        pairs = left.join(right, "i").where(fits).select("a", "b", "m", "n").distinct()
-        of = lambda end: whole.select(F.col("k").alias(end), F.col("s").alias(f"s{end}"))
-        both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
-        scored = both.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("jaccard"))
+            scored = compared_pairs(candidate_pairs(whole, at_least), whole)
+        else:
+            posted = whole.select("k", "n", F.explode("items.i").alias("item"))
+            left, right = posted.toDF("a", "m", "item"), posted.toDF("b", "n", "item")
+            counted = left.join(right, "item").where("a < b").groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("c"))
+            scored = counted.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("jaccard"))
         return scratch.keep(scored.where(F.col("jaccard") >= at_least)), twins
 
 
