@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import io
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termdrift.functions.scalars import na_to_null, strip
+from termdrift.scratch import remove
+from termdrift.sources import streams
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", na_values: bool = True) -> DataFrame:
@@ -27,12 +29,32 @@ def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", na_v
     return raw.select(*[(na_to_null(F.col(n)) if na_values else F.col(n)).cast(kinds[n]).alias(n) for n in names])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line long, first boolean, value: the lines of text files that are not empty, numbered from 0 in the order of the
+    files' names and their places in them; first: whether a line is the first of its file.
+
+    Files are read in splits. A split's lines are in order, so their number within it is told in the task that reads it;
+    the numbers of lines of the splits before, a row for each split, make up the rest."""
+    lines = spark.read.text(path).where("value <> ''").select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    lines = lines.toDF("value", "file", "block", "at")
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("from"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("file", "block")  # of splits, not of lines
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    opens = F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1
+    told = splits.select("file", "block", "from", before.alias("before"), opens.alias("opens"))
+    return lines.join(F.broadcast(told), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("from")).alias("line"), (F.col("opens") & (F.col("at") == F.col("from"))).alias("first"), "value")
+
+
 def read_nodes(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
-    """pos, identifier of a node file: one file, whose lines are numbered in their order, from 0."""
+    """pos, identifier of node files with a header: the nodes are numbered in their order from 0, through all files of a
+    folder. Empty lines do not count. A field that goes on in the next line is an error, since lines are read apart."""
     names = spark.read.csv(path, sep="\t", header=True).columns
     schema = ", ".join(f"`{n}` string" for n in names)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("line", "value"))
-    rows = lines.where("line > 0").select((F.col("line") - 1).cast("long").alias("pos"), F.from_csv("value", schema, {"sep": "\t"}).alias("x"))
+    lines = numbered_lines(spark, path)
+    whole = F.when(F.regexp_count("value", F.lit('"')) % 2 == 0, F.col("value")).otherwise(F.raise_error(F.lit("a field of a node file goes on in the next line")).cast("string"))
+    headers = lines.where("first").select((F.col("line") + 1).alias("after"))  # a row for each file
+    starts = headers.agg(F.array_sort(F.collect_list("after")).alias("starts"))
+    rows = lines.where("NOT first").crossJoin(F.broadcast(starts)).select((F.col("line") - F.size(F.filter("starts", lambda s: s <= F.col("line")))).alias("pos"), F.from_csv(whole, schema, {"sep": "\t"}).alias("x"))
     return rows.select("pos", F.col("x.identifier").cast(kind).alias("identifier"))
 
 
@@ -62,43 +84,28 @@ def read_ontology(spark: SparkSession, path: str, stanza_mode: str = "compat") -
     return parse_ontology(spark.read.text(path, wholetext=True), stanza_mode)
 
 
-def _cells(archive: bytes, step: int = 1 << 16):
-    """Record batches of (row, col, value) of a compressed sparse row or column, or coordinate, matrix."""
-    import numpy as np
-    import pyarrow as pa
-
-    with np.load(io.BytesIO(archive)) as f:
-        kind, data = f["format"].item(), f["data"]
-        kind = kind.decode() if isinstance(kind, bytes) else kind
-        if kind == "coo":
-            rows, cols = f["row"], f["col"]
-        else:
-            inner, ends = f["indices"], f["indptr"]
-            outer = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            rows, cols = (outer, inner) if kind == "csr" else (inner, outer)
-    for k in range(0, len(data), step):
-        own = slice(k, k + step)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[own].astype("i8")), pa.array(cols[own].astype("i8")), pa.array(data[own].astype("f8"))], ["row", "col", "value"])
+def read_matrix(spark: SparkSession, path: str, parts: int = 1) -> DataFrame:
+    """row, col, value of the stored cells of a sparse matrix in an NPZ archive, or of several by a pattern; parts: in how
+    many tasks an archive is read. It is read as a stream."""
+    streams.register(spark)
+    return spark.read.format("sparse_npz").option("parts", parts).load(path)
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """row, col, value of the stored cells of a sparse matrix in an NPZ archive, or of several by a pattern. An archive is
-    read once, by one task, from whatever file system Spark reads."""
+def read_square(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """a, b, jaccard of a labelled square table of similarities: a row's label and a column's, and their cell. Missing cells
+    have no row. A row is turned into pairs in the task that reads it."""
+    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', mode="FAILFAST")
+    label, *names = raw.columns
+    cells = F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[na_to_null(F.col(f"`{n}`")).cast("double") for n in names])))
+    return raw.select(F.col(f"`{label}`").alias("a"), cells.alias("b", "jaccard")).where("jaccard IS NOT NULL")
 
-    def cells(batches):
-        for batch in batches:
-            for archive in batch.column(0).to_pylist():
-                yield from _cells(archive)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(cells, "row long, col long, value double")
-
-
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """nodes (kind, identifier, name), edges (kind, source, target, direction) of a graph document, compressed or not."""
-    schema = "nodes array<struct<kind:string,identifier:string,name:string>>, edges array<struct<source_id:array<string>,target_id:array<string>,kind:string,direction:string>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    edge = doc.select(F.explode("edges").alias("e")).select("e.kind", F.col("e.source_id").alias("source"), F.col("e.target_id").alias("target"), "e.direction")
-    return doc.select(F.explode("nodes").alias("n")).select("n.*"), edge
+def read_graph(spark: SparkSession, path: str, step: int = streams.STEP) -> tuple[DataFrame, DataFrame]:
+    """nodes (kind, identifier, name), edges (kind, source, target, direction) of graph documents, compressed or not, each
+    read as a stream, `step` characters at a time."""
+    streams.register(spark)
+    of = lambda part: spark.read.format("graph_json").options(part=part, step=step).load(path)
+    return of("nodes"), of("edges")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
@@ -112,20 +119,44 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
-def write_ids(ids: DataFrame, path: str) -> None:
-    """One id a line, sorted."""
-    ids.select(F.col(ids.columns[0]).cast("string").alias("value")).distinct().orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+def write_ids(ids: DataFrame, path: str, single: bool = False) -> None:
+    """One id a line, sorted, in files in the order of their names; single: in one file, for hand-over of short lists."""
+    lines = ids.select(F.col(ids.columns[0]).cast("string").alias("value")).distinct().orderBy("value")
+    (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
 def read_ids(spark: SparkSession, path: str, name: str = "go_id") -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias(name)).distinct()
 
 
+def fingerprint(spark: SparkSession, inputs: list[str]) -> str:
+    """Changes whenever a file of the inputs is written anew: from the path, length, time of change and checksum, where the
+    file system keeps one, of every file in them. An input that is no path, like a version, counts by its text."""
+    marks = []
+    for name in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            marks.append((name,))
+            continue
+        found = system.listFiles(path, True)
+        while found.hasNext():
+            status = found.next()
+            checksum = system.getFileChecksum(status.getPath())
+            marks.append((name, status.getPath().toString(), status.getLen(), status.getModificationTime(), str(checksum)))
+    return hashlib.sha256(repr(sorted(marks)).encode()).hexdigest()[:24]
+
+
 def cached(spark: SparkSession, folder: str, name: str, inputs: list[str], make) -> DataFrame:
-    """The table that make() returns, kept as Parquet under a fingerprint of its inputs, and made anew if they change."""
-    key = hashlib.sha256("\n".join([name, *inputs]).encode()).hexdigest()[:16]
-    path = f"{folder.rstrip('/')}/{name}-{key}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        make().write.mode("overwrite").parquet(path)
+    """The table that make() returns, kept as Parquet under a fingerprint of its inputs, and made anew if they change. It is
+    written under another name and then renamed, so what is half written is never read."""
+    path = f"{folder.rstrip('/')}/{name}-{fingerprint(spark, inputs)}"
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place(path)):
+        making = f"{path}-{uuid.uuid4().hex}"
+        make().write.parquet(making)
+        if not system.rename(place(making), place(path)) or system.exists(place(f"{path}/{making.rpartition('/')[2]}")):
+            remove(spark, making)  # another job was first
+            remove(spark, f"{path}/{making.rpartition('/')[2]}")
     return spark.read.parquet(path)
