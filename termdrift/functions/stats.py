@@ -24,12 +24,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     df is read three times, so give one that is written. All bins are there, empty ones too. If all values are equal the range is half a unit to both sides."""
     c = known(F.col(column))
     ends = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo IS NOT NULL")
-    ends = ends.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
+    ends = ends.select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
     placed = df.select(c.alias("x")).where("x IS NOT NULL").crossJoin(F.broadcast(ends))
     counted = placed.select((F.least(F.width_bucket("x", "lo", "hi", F.lit(bins)), F.lit(bins)) - 1).cast("int").alias("bin")).groupBy("bin").count()
     width = (F.col("hi") - F.col("lo")) / bins
     frame = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return frame.join(counted, "bin", "left").select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
+    edge = lambda bin: F.col("lo") + bin * width
+    held = frame.join(counted, "bin", "left")
+    return held.select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def rank_correlations(df: DataFrame, columns: list[str], against: str) -> DataFrame:

@@ -107,7 +107,9 @@ class Overlap:
     removal: DataFrame  # removed_terms with the similarity and both sides' counts and changes
 
 
-def filter_overlapping_go_terms(nodes: DataFrame, pairs: DataFrame, dataset: DataFrame, threshold: float = 0.9, old: str = OLD_COUNT, new: str = NEW_COUNT, memberships: DataFrame | None = None) -> Overlap:
+def filter_overlapping_go_terms(
+    nodes: DataFrame, pairs: DataFrame, dataset: DataFrame, threshold: float = 0.9, old: str = OLD_COUNT, new: str = NEW_COUNT, memberships: DataFrame | None = None
+) -> Overlap:
     """Of each cluster the term with the largest change in percent stays, up or down; of equals the smallest id.
 
     nodes: all ids, of which those outside the dataset may still link others. pairs: both directions of a similarity
@@ -122,7 +124,8 @@ def filter_overlapping_go_terms(nodes: DataFrame, pairs: DataFrame, dataset: Dat
     rows = dataset.select("go_id", old, new).join(placed.withColumnRenamed("id", "go_id"), "go_id").join(sizes, "component").withColumn("pct_change", known(change))
     usable = rows.where("cluster_size = 1 OR pct_change IS NOT NULL")
     first = Window.partitionBy("component").orderBy(F.desc_nulls_last("pct_change"), "go_id", old, new)
-    kept = usable.withColumn("r", F.row_number().over(first)).where("r = 1").select("component", F.col("go_id").alias("representative_go_id"), F.col(old).alias("kept_genes_2016"), F.col(new).alias("kept_genes_2024"), F.col("pct_change").alias("kept_pct_change"))
+    named = {"go_id": "representative_go_id", old: "kept_genes_2016", new: "kept_genes_2024", "pct_change": "kept_pct_change"}
+    kept = usable.withColumn("r", F.row_number().over(first)).where("r = 1").select("component", *[F.col(c).alias(name) for c, name in named.items()])
     gone = rows.where("cluster_size > 1").join(kept, "component").where("go_id <> representative_go_id")
     directed = pairs.select("a", "b", "jaccard", F.lit(0).alias("back")).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", F.lit(1).alias("back")))
     cell = directed.groupBy("a", "b").agg(F.min_by("jaccard", "back").alias("jaccard"))

@@ -32,7 +32,9 @@ def exploded(annotations: DataFrame) -> DataFrame:
     A gene id that is missing or no number is an error, as it must not be lost silently; elided genes go."""
     lists = annotations.withColumns({"_i": split_list(F.col("gene_ids")), "_s": split_list(F.col("gene_symbols"))})
     n = lambda c: F.coalesce(F.size(F.nullif(c, F.array().cast("array<string>"))), F.lit(-1))
-    same = F.when(F.col("_i").isNull() & F.col("_s").isNull() | (n(F.col("_i")) == n(F.col("_s"))), F.arrays_zip("_i", "_s")).otherwise(F.raise_error(F.lit("gene_ids and gene_symbols differ in length")).cast("array<struct<_i:string,_s:string>>"))
+    wrong = F.raise_error(F.lit("gene_ids and gene_symbols differ in length")).cast("array<struct<_i:string,_s:string>>")
+    alike = F.col("_i").isNull() & F.col("_s").isNull() | (n(F.col("_i")) == n(F.col("_s")))
+    same = F.when(alike, F.arrays_zip("_i", "_s")).otherwise(wrong)
     rows = lists.withColumn("_g", F.explode_outer(same)).withColumns({"gene_id": strip(F.col("_g._i")), "gene_symbol": strip(F.col("_g._s"))}).drop("_i", "_s", "_g")
     rows = rows.where(~F.col("gene_id").eqNullSafe(F.lit(ELIDED)))
     number = F.when(F.col("gene_id").isNull(), F.raise_error(F.lit("a gene id is missing")).cast("bigint")).otherwise(F.col("gene_id").cast("bigint"))

@@ -268,7 +268,9 @@ def ontology_parse(spark, sf_dir):
         "\n", F.lit("[Term]"), F.concat(F.lit("id: "), "id"), F.concat(F.lit("namespace: "), "namespace"),
         F.array_join(F.transform("parents", lambda p: F.concat(F.lit("is_a: "), p, F.lit(" ! name"))), "\n"), F.when(F.col("obsolete"), "is_obsolete: true"), F.lit(""),
     )
-    text = t.select(stanza.alias("s"), "id").groupBy(key_range(F.col("id").cast("long"))).agg(F.concat(F.lit("format-version: 1.2\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"]), "\n")).alias("value"))
+    stanzas = F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"])
+    whole = F.concat(F.lit("format-version: 1.2\n"), F.array_join(stanzas, "\n")).alias("value")
+    text = t.select(stanza.alias("s"), "id").groupBy(key_range(F.col("id").cast("long"))).agg(whole)
     return files.parse_ontology(text).select("id", F.array_join(F.array_sort("parents"), ",").alias("parents"), "namespace", "obsolete")
 
 
@@ -335,13 +337,29 @@ def graph_roundtrip(spark, sf_dir):
     return back.select(F.get("source", F.lit(1)).cast("bigint").alias("entrez_gene_id"), F.get("target", F.lit(1)).alias("go_id")).join(named, "go_id")
 
 
+def graph_documents(spark, sf_dir):
+    """The same graph as documents, one for each range of parts, written compressed and read back as streams."""
+    path = shared_folder(spark, "graph-documents")
+    end = lambda kind, c: F.array(F.lit(kind), F.col(c).cast("string"))
+    edge = F.struct(end("Gene", "entrez_gene_id").alias("source_id"), end("Term", "go_id").alias("target_id"), F.lit("participates").alias("kind"), F.lit("both").alias("direction"))
+    edges = pairs(spark, sf_dir, False).groupBy(key_range(F.col("go_id").cast("long"))).agg(F.collect_list(edge).alias("edges"))
+    node = F.struct(F.lit("Term").alias("kind"), F.col("p_partkey").alias("identifier"), F.col("p_name").alias("name"))
+    nodes = table(spark, sf_dir, "part").groupBy(key_range(F.col("p_partkey"))).agg(F.collect_list(node).alias("nodes"))
+    document = F.to_json(F.struct(F.array(F.lit("Gene"), F.lit("Term")).alias("metanode_kinds"), "nodes", "edges"))
+    nodes.join(edges, "key_range", "left").select(document).write.text(path, compression="gzip")
+    nodes, edges = files.read_graph(spark, path)
+    named = nodes.select(F.col("identifier").alias("go_id"), F.col("name").alias("go_name"))
+    ends = edges.select(F.get("source", F.lit(1)).cast("bigint").alias("entrez_gene_id"), F.get("target", F.lit(1)).alias("go_id"))
+    return ends.join(named, "go_id")
+
+
 QUERIES = {f.__name__: f for f in (
     edge_list, term_frequency, term_sizes, term_size_band, universe_align, parallel_explode, common_terms, stable_pairs, added_pairs, removed_pairs,
     class_summary, top_added, class_counts_join, pct_change, positive_growth, iqr_thresholds, iqr_filtered, depths, norm_depths, hierarchy_metrics,
     leaf_terms, leaf_parents, dataset_leaves, dataset_parents, spearman_depth_growth, depth_bins, describe_depth, hist_stable_30, growth_scatter,
     null_audit, quality_checks, set_counts, retention, jaccard_pairs, components, overlap_filtered, overlap_removed, overlap_map, cluster_sizes,
     ontology_parse, csv_roundtrip, spearman_p_values, matrix_shape, pair_metrics, class_metrics, dataset_metrics, nodes_roundtrip, ids_roundtrip,
-    cached_roundtrip, graph_roundtrip,
+    cached_roundtrip, graph_roundtrip, graph_documents,
 )}
 
 
@@ -462,7 +480,8 @@ ORACLE_SQL = {
     "stable_pairs": f"WITH {_GROWTH} SELECT go_id, entrez_gene_id FROM marked WHERE o = 1 AND n = 1",
     "added_pairs": f"WITH {_GROWTH} SELECT go_id, entrez_gene_id FROM marked WHERE o = 0",
     "removed_pairs": f"WITH {_GROWTH} SELECT go_id, entrez_gene_id FROM marked WHERE n = 0",
-    "class_summary": f"WITH {_GROWTH} SELECT *, round(100.0::DOUBLE * n_stable / greatest(n_genes_2024, 1), 6) AS pct_stable, round(100.0::DOUBLE * n_added / greatest(n_genes_2024, 1), 6) AS pct_added FROM summary",
+    "class_summary": f"""WITH {_GROWTH} SELECT *,
+        round(100.0::DOUBLE * n_stable / greatest(n_genes_2024, 1), 6) AS pct_stable, round(100.0::DOUBLE * n_added / greatest(n_genes_2024, 1), 6) AS pct_added FROM summary""",
     "top_added": f"""WITH {_GROWTH}, top AS (SELECT * FROM summary ORDER BY n_added DESC, go_id LIMIT 10)
         SELECT go_id, p_name AS go_name, n_genes_2024, n_stable, n_added, round(100.0::DOUBLE * n_added / greatest(n_genes_2024, 1), 6) AS pct_added
         FROM top LEFT JOIN part ON go_id = CAST(p_partkey AS VARCHAR)""",
@@ -480,7 +499,7 @@ ORACLE_SQL = {
     "leaf_parents": f"WITH RECURSIVE {_NEW_TERMS} SELECT go_id FROM above2024",
     "dataset_leaves": f"WITH RECURSIVE {_GROWTH}, {_NEW_TERMS} SELECT {_SHOWN} FROM dataset1 WHERE go_id IN (SELECT go_id FROM leaf2024)",
     "dataset_parents": f"WITH RECURSIVE {_GROWTH}, {_NEW_TERMS} SELECT {_SHOWN} FROM dataset1 WHERE go_id IN (SELECT go_id FROM above2024)",
-    "spearman_depth_growth": f"WITH RECURSIVE {_HIERARCHY} {_spearman('normalized_depth_2016')} UNION ALL {_spearman('normalized_depth_2024')} UNION ALL {_spearman('norm_depth_change')}",
+    "spearman_depth_growth": f"WITH RECURSIVE {_HIERARCHY} " + " UNION ALL ".join(map(_spearman, snapshot.DEPTHS)),
     "depth_bins": f"""WITH RECURSIVE {_HIERARCHY}, b AS (
         SELECT CASE WHEN normalized_depth_2016 > 0 AND normalized_depth_2016 <= 0.33 THEN 'Shallow' WHEN normalized_depth_2016 > 0.33 AND normalized_depth_2016 <= 0.67 THEN 'Medium'
                WHEN normalized_depth_2016 > 0.67 AND normalized_depth_2016 <= 1 THEN 'Deep' END AS depth_bin_2016, {GROWTH} AS x FROM whole)
@@ -513,7 +532,7 @@ ORACLE_SQL = {
         FROM (SELECT unnest([p_partkey // 2, p_partkey // 3]) AS p) WHERE p > 0 AND p <> p_partkey), '') AS parents,
         CASE WHEN p_size <= 40 THEN 'biological_process' ELSE 'other' END AS namespace, p_size = 7 AS obsolete FROM part""",
     "csv_roundtrip": f"WITH {_GROWTH} SELECT * FROM common",
-    "spearman_p_values": f"WITH RECURSIVE {_HIERARCHY} {_spearman_p('normalized_depth_2016')} UNION ALL {_spearman_p('normalized_depth_2024')} UNION ALL {_spearman_p('norm_depth_change')}",
+    "spearman_p_values": f"WITH RECURSIVE {_HIERARCHY} " + " UNION ALL ".join(map(_spearman_p, snapshot.DEPTHS)),
     "matrix_shape": "SELECT (SELECT count(*) FROM supplier) AS n_rows, (SELECT count(*) FROM part) AS n_cols",
     "pair_metrics": f"""WITH {_GROWTH} {_pair_counts('old', 'old')} UNION ALL {_pair_counts('new', 'new')} UNION ALL
         {_pair_counts('stable', '(SELECT * FROM marked WHERE o = 1 AND n = 1)')} UNION ALL {_pair_counts('added', '(SELECT * FROM marked WHERE o = 0)')}""",
@@ -526,4 +545,5 @@ ORACLE_SQL = {
     "ids_roundtrip": f"WITH RECURSIVE {_NEW_TERMS} SELECT go_id FROM leaf2024",
     "cached_roundtrip": f"WITH RECURSIVE {_NEW_TERMS} SELECT go_id FROM leaf2024",
     "graph_roundtrip": f"WITH {_PAIRS} SELECT go_id, entrez_gene_id, p_name AS go_name FROM old0 JOIN part ON go_id = CAST(p_partkey AS VARCHAR)",
+    "graph_documents": f"WITH {_PAIRS} SELECT go_id, entrez_gene_id, p_name AS go_name FROM old0 JOIN part ON go_id = CAST(p_partkey AS VARCHAR)",
 }

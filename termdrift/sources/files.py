@@ -42,7 +42,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     opens = F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1
     told = splits.select("file", "block", "from", before.alias("before"), opens.alias("opens"))
-    return lines.join(F.broadcast(told), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("from")).alias("line"), (F.col("opens") & (F.col("at") == F.col("from"))).alias("first"), "value")
+    inside = F.col("at") - F.col("from")
+    placed = lines.join(F.broadcast(told), ["file", "block"])
+    return placed.select((F.col("before") + inside).alias("line"), (F.col("opens") & (inside == 0)).alias("first"), "value")
 
 
 def read_nodes(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
@@ -54,7 +56,8 @@ def read_nodes(spark: SparkSession, path: str, kind: str = "string") -> DataFram
     whole = F.when(F.regexp_count("value", F.lit('"')) % 2 == 0, F.col("value")).otherwise(F.raise_error(F.lit("a field of a node file goes on in the next line")).cast("string"))
     headers = lines.where("first").select((F.col("line") + 1).alias("after"))  # a row for each file
     starts = headers.agg(F.array_sort(F.collect_list("after")).alias("starts"))
-    rows = lines.where("NOT first").crossJoin(F.broadcast(starts)).select((F.col("line") - F.size(F.filter("starts", lambda s: s <= F.col("line")))).alias("pos"), F.from_csv(whole, schema, {"sep": "\t"}).alias("x"))
+    pos = F.col("line") - F.size(F.filter("starts", lambda s: s <= F.col("line")))  # without the headers before it
+    rows = lines.where("NOT first").crossJoin(F.broadcast(starts)).select(pos.alias("pos"), F.from_csv(whole, schema, {"sep": "\t"}).alias("x"))
     return rows.select("pos", F.col("x.identifier").cast(kind).alias("identifier"))
 
 

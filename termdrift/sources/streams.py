@@ -203,7 +203,11 @@ class _Document:
         self.take("]")
 
     def of(self, name: str) -> Iterator:
-        """The elements of the list of that name."""
+        """The elements of the list of that name, of one document after another."""
+        while self.peek():
+            yield from self._of(name)
+
+    def _of(self, name: str) -> Iterator:
         self.take("{")
         while self.peek() != "}":
             key = self.value()
@@ -216,6 +220,7 @@ class _Document:
                 self.value()
             if self.peek() == ",":
                 self.at += 1
+        self.take("}")
 
 
 class GraphReader(DataSourceReader):
@@ -238,8 +243,8 @@ class GraphReader(DataSourceReader):
 
 
 class GraphSource(DataSource):
-    """Format graph_json: the nodes or edges of graph documents, plain or compressed by gzip or bzip2. Options: path, a file,
-    folder or pattern; part, nodes or edges; step, how many characters are read at once."""
+    """Format graph_json: the nodes or edges of graph documents, of which a file may have several, plain or compressed by
+    gzip or bzip2. Options: path, a file, folder or pattern; part, nodes or edges; step, how many characters are read at once."""
 
     @classmethod
     def name(cls) -> str:
