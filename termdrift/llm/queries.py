@@ -95,7 +95,8 @@ QUERIES = {f.__name__: f for f in (
 def _rounds(n: int) -> str:
     """n rounds of assignment and means, each as two tables; then the last assignment, a{n}."""
     near = lambda r: f"""a{r} AS MATERIALIZED (
-            SELECT vec_id, place, any_value(e) AS e, min(CAST(ee + cc - 2 * list_inner_product(e, c) AS BIGINT) * 64 + j) AS best FROM v, (SELECT *, list_inner_product(c, c) AS cc FROM c{r}) GROUP BY vec_id, place)"""
+            SELECT vec_id, place, any_value(e) AS e, min(CAST(ee + cc - 2 * list_inner_product(e, c) AS BIGINT) * 64 + j) AS best
+            FROM v, (SELECT *, list_inner_product(c, c) AS cc FROM c{r}) GROUP BY vec_id, place)"""
     mean = lambda r: f"""c{r + 1} AS MATERIALIZED (
             SELECT o.j, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (
                 SELECT j, list(floor(s / n) ORDER BY i) AS c FROM (

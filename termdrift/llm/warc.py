@@ -79,7 +79,8 @@ def capture_records(pages: DataFrame, keep_id: str, digest: str, date: str = DAT
         ("WARC-Refers-To", when(record_id("response", F.col(keep_id), F.col(digest)))), ("Content-Type", "application/http;msgtype=response"),
     )
     asked = F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{BLANK_LINE}"))
-    kind = lambda name: (("WARC-Type", name), ("WARC-Record-ID", record_id(name, F.col("page_id"), F.col(digest))), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", own))
+    named = lambda name: ("WARC-Record-ID", record_id(name, F.col("page_id"), F.col(digest)))
+    kind = lambda name: (("WARC-Type", name), named(name), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", own))
     request = _record(asked, *kind("request"), ("Content-Type", "application/http;msgtype=request"))
     fields = F.concat(F.coalesce(F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit(LINE)), F.lit("")), F.lit(f"languages-cld2: none{LINE}"))
     metadata = _record(fields, *kind("metadata"), ("Content-Type", "application/warc-fields"))
@@ -143,7 +144,8 @@ def _mended(lines: DataFrame) -> DataFrame:
     """Lines of archives in which a payload holds the mark, as one line a record."""
     sizes = lines.select("file", "block", "at", F.octet_length("raw").cast("double").alias("size"), F.col("ends").cast("double").alias("ends"), F.col("says").cast("double").alias("says"))
     part_of = sizes.groupBy("file").applyInPandas(_numbered, "file string, block long, at long, record long")  # numbers of one archive
-    parts = lines.select("file", "block", "at", "raw").join(part_of, ["file", "block", "at"]).where("record >= 0").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "at", "raw"))).alias("parts"))
+    told = lines.select("file", "block", "at", "raw").join(part_of, ["file", "block", "at"]).where("record >= 0")
+    parts = told.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "at", "raw"))).alias("parts"))
     return parts.select(F.array_join(F.transform("parts", lambda p: p["raw"]), MARK).alias("raw"))
 
 
@@ -212,7 +214,8 @@ def with_originals(captures: DataFrame) -> DataFrame:
     """captures with original struct<record_id,metadata,payload_bytes,payload_digest>: the response that a revisit refers
     to, null for others and where it is not among them. captures: written, as they are read twice."""
     again = F.coalesce(F.col("type") == "revisit", F.lit(False))
-    firsts = captures.where(~again & F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("_of")).agg(F.min(F.struct("record_id", "metadata", "payload_bytes", "payload_digest")).alias("original"))
+    told = F.struct("record_id", "metadata", "payload_bytes", "payload_digest")
+    firsts = captures.where(~again & F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("_of")).agg(F.min(told).alias("original"))
     found = captures.where(again).join(firsts.hint("merge"), F.col("refers_to") == F.col("_of"), "left").drop("_of")
     return found.unionByName(captures.where(~again).withColumn("original", F.lit(None).cast(dict(found.dtypes)["original"])))
 

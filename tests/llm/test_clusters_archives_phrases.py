@@ -82,8 +82,9 @@ def pages_rows():
     big, odd = "x" * 1500, "WARC/1.WARC/1.WARC/1." + "y" * 1200
     inner = big + "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n tail"
     return [
-        (1, "http://a/ b", big), (2, "http://a/c\r\nX: y", big), (3, None, None), (4, "", "short"), (5, "u", "short"), (None, "n", big), (None, "n", "q"), (None, "n", "z" * 999), (None, "n", "w" * 1000),
-        (None, "m", "w" * 1000), (7, "m", inner), (8, "m", odd), (9, "m", odd), (2, "again", big), (2, "again", "other"), (10, "z", "\r\n\r\n\r\n\r\n"), (11, "é", " é中" * 400), (12, "é", " é中" * 400),
+        (1, "http://a/ b", big), (2, "http://a/c\r\nX: y", big), (3, None, None), (4, "", "short"), (5, "u", "short"), (None, "n", big),
+        (None, "n", "q"), (None, "n", "z" * 999), (None, "n", "w" * 1000), (None, "m", "w" * 1000), (7, "m", inner), (8, "m", odd), (9, "m", odd),
+        (2, "again", big), (2, "again", "other"), (10, "z", "\r\n\r\n\r\n\r\n"), (11, "é", " é中" * 400), (12, "é", " é中" * 400),
         (1, "http://a/ b", big), (13, "v", "v" * 3_000_000), (-4, "w", "v" * 3_000_000), *[(20 + i, f"u{i}", "hot " * 300) for i in range(40)],
     ]
 
