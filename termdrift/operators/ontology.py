@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termdrift.scratch import Scratch
@@ -22,6 +24,19 @@ def edges(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
     return live.select(F.col("id").alias("child"), F.explode("parents").alias("parent")).join(live.select(F.col("id").alias("parent")), "parent", "left_semi").select("child", "parent").distinct()
 
 
+@contextmanager
+def planned_ahead(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark plans an action before it runs and runs it as one job. For chains of joins whose sides lie as they
+    must already there is nothing to plan anew in between, and each stage would be a job of its own."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def all_depths(snapshots: dict[str, DataFrame], namespace: str = PROCESS, levels: int = 8, most: int = 16) -> tuple[DataFrame, dict[str, int]]:
     """snapshot, go_id, depth: in each snapshot the fewest steps from a root, a term without a parent in the set; and the
     largest depth of each snapshot that has a term with one.
@@ -56,7 +71,8 @@ def all_depths(snapshots: dict[str, DataFrame], namespace: str = PROCESS, levels
             fewest = reduce(DataFrame.union, reached).withColumnRenamed("parent", "go_id").groupBy("snapshot", "go_id").agg(F.min("depth").alias("depth"))
             at_last = Observation()
             new = fewest.join(seen.hint("merge"), ["snapshot", "go_id"], "left_anti").observe(at_last, F.count_if(F.col("depth") == level).alias("open"), *largest)
-            new = scratch.write(new)
+            with planned_ahead(live.sparkSession):
+                new = scratch.write(new)
             seen, frontier, levels = seen.union(new), new.where(F.col("depth") == level), min(2 * levels, most)
 
 
