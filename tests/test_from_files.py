@@ -8,8 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termdrift.functions import stats
-from termdrift.operators import universe
+from termdrift.operators import classify, universe
 from termdrift.plans import snapshot
 from termdrift.sources import files
 
@@ -86,6 +85,47 @@ def test_datasets_levels_and_their_files(spark, found, terms, tmp_path):
     assert m["dataset1_all_growth"]["n_terms"] == len(want) and m["dataset2_leaves"]["retention"] == pytest.approx(len(want & leaves) / len(want))
 
 
+def test_pairs_meet_without_a_shuffle_by_pair(found):
+    c = found[1]
+    for df in (c.stable, c.added, c.removed, classify.pair_classes(c.old_pairs, c.new_pairs)):
+        assert "hashpartitioning(go_id" not in df._jdf.queryExecution().executedPlan().toString()
+    terms = classify.by_term(classify.pair_classes(c.old_pairs, c.new_pairs))._jdf.queryExecution().executedPlan().toString()
+    assert terms.count("Exchange hashpartitioning(go_id#") == 1
+
+
+def test_rows_that_repeat_and_missing_ends(spark):
+    kind = "go_id string, entrez_gene_id long"
+    old = spark.createDataFrame([("A", 1), ("A", 2), ("A", 2), ("A", 3), ("B", None), (None, 1), ("C", 9)], kind)
+    new = spark.createDataFrame([("A", 2), ("A", 3), ("A", 4), ("A", 4), ("B", None), (None, 1), ("D", 7)], kind)
+    got = {(r["go_id"], r["entrez_gene_id"], r["n_old"], r["n_new"]) for r in classify.pair_classes(old, new).collect()}
+    apart = {("B", None, 1, 0), ("B", None, 0, 1), (None, 1, 1, 0), (None, 1, 0, 1)}
+    assert got == {("A", 1, 1, 0), ("A", 2, 2, 1), ("A", 3, 1, 1), ("A", 4, 0, 2), ("C", 9, 1, 0), ("D", 7, 0, 1)} | apart
+    by = {r["go_id"]: r for r in classify.by_term(classify.pair_classes(old, new)).collect()}
+    assert (by["A"]["rows_stable"], by["A"]["rows_added"], by["A"]["n_stable"], by["A"]["n_added"]) == (3, 2, 2, 1)
+    assert (by["B"]["n_genes_2016"], by["B"]["rows_added"]) == (0, 1)
+
+
+def test_the_whole_analysis(spark, found, tmp_path):
+    at, compared = found
+    stanza = lambda k, t: f"[Term]\nid: {t}\nnamespace: biological_process\n" + (f"is_a: T{(k - 1) // 2} ! up\n" if k else "")
+    text = "format-version: 1.2\n\n" + "\n".join(stanza(k, t) for k, t in enumerate(TERMS))
+    for name in ("old.obo", "new.obo"):
+        (tmp_path / name).write_text(text)
+    paths = [str(at / f) for f in ("edges.npz", "genes.tsv", "terms.tsv", "annotations.tsv")]
+    folder = str(tmp_path / "out")
+    snapshot.analyse(spark, *paths, (str(tmp_path / "old.obo"), str(tmp_path / "new.obo")), folder, {"edges": (1, 1000), "genes": 10, "terms": 12})
+    rows = files.read_table(spark, f"{folder}/common_terms", "go_id string, pct_change_genes double, depth_2016 int, normalized_depth_2024 double, norm_depth_change double").collect()
+    assert {r["go_id"]: r["depth_2016"] for r in rows} == {t: int(math.log2(k + 1)) for k, t in enumerate(TERMS)}
+    assert all(r["normalized_depth_2024"] == r["depth_2016"] / 3 and r["norm_depth_change"] == 0 for r in rows)
+    assert {r["go_id"] for r in files.read_table(spark, f"{folder}/dataset1_all_growth", "go_id string, depth_2024 int").collect()} == {r["go_id"] for r in compared.dataset1_all_growth.collect()}
+    report = lambda name, schema: files.read_table(spark, f"{folder}/report/{name}", schema).collect()
+    assert {r["pairs"] for r in report("pair_metrics", "pairs string, n_pairs long")} == {"old", "new", "stable", "added"}
+    assert [r["measure"] for r in report("depth_correlations", "measure string, r double, p double, n long")] == list(snapshot.DEPTHS)
+    assert len(report("top_added", "go_id string, go_name string")) == 10 and len(report("stable_histogram", "bin int, count long")) == 30
+    with pytest.raises(ValueError, match="edges_ok"):
+        snapshot.load_pairs(spark, *paths, {"edges": (1, 2), "genes": 10, "terms": 12})
+
+
 def test_depth_analysis_gives_p_values(spark):
     rows = [(f"t{i}", 0.1 + i % 7 / 10, 0.1 + i % 5 / 10, (i % 5 - i % 7) / 10, math.sin(i)) for i in range(40)]
     h = spark.createDataFrame([*rows, ("gap", None, 0.5, None, 1.0)], "go_id string, normalized_depth_2016 double, normalized_depth_2024 double, norm_depth_change double, pct_change_genes double")
