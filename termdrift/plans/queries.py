@@ -505,7 +505,8 @@ ORACLE_SQL = {
                WHEN normalized_depth_2016 > 0.67 AND normalized_depth_2016 <= 1 THEN 'Deep' END AS depth_bin_2016, {GROWTH} AS x FROM whole)
         SELECT depth_bin_2016, CASE depth_bin_2016 WHEN 'Shallow' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS bin_order, round(avg(x), 6) AS mean, round(median(x), 6) AS median, count(x) AS count
         FROM b WHERE depth_bin_2016 IS NOT NULL GROUP BY depth_bin_2016""",
-    "describe_depth": f"""WITH RECURSIVE {_HIERARCHY} SELECT count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25,
+    "describe_depth": f"""WITH RECURSIVE {_HIERARCHY}
+        SELECT count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25,
         round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS max FROM (SELECT normalized_depth_2016 AS x FROM h)""",
     "hist_stable_30": f"""WITH {_GROWTH}, m AS (SELECT min(n_stable)::DOUBLE AS lo, max(n_stable)::DOUBLE AS hi FROM summary),
         p AS (SELECT least(CAST(floor((n_stable - lo) * 30 / (hi - lo)) AS INTEGER), 29) AS bin FROM summary, m)

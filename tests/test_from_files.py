@@ -71,7 +71,11 @@ def test_datasets_levels_and_their_files(spark, found, terms, tmp_path):
     n = lambda side, t: sum(x == t for x, _ in side)
     change = {t: (n(new, t) - n(old, t)) / n(old, t) for t in TERMS}
     growing = [t for t in TERMS if change[t] > 0]
-    fence = lambda values: (np.quantile(values, 0.25) - 1.5 * np.subtract(*np.quantile(values, [0.75, 0.25])), np.quantile(values, 0.75) + 1.5 * np.subtract(*np.quantile(values, [0.75, 0.25])))
+
+    def fence(values):
+        low, high = np.quantile(values, [0.25, 0.75])
+        return low - 1.5 * (high - low), high + 1.5 * (high - low)
+
     size, pct = fence([n(old, t) for t in growing]), fence([change[t] for t in growing])
     want = {t for t in growing if n(old, t) >= 10 and size[0] <= n(old, t) <= size[1] and pct[0] <= change[t] <= pct[1]}
     assert {r["go_id"] for r in found[1].dataset1_all_growth.collect()} == want and want

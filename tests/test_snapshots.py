@@ -11,7 +11,10 @@ from termdrift.operators.components import connected_components
 from termdrift.schemas import NEW_COUNT, OLD_COUNT
 from termdrift.sources import files
 
-TERMS = [("T:1", "bp", "", ""), ("T:2", "bp", "T:1", ""), ("T:3", "bp", "T:1", ""), ("T:4", "bp", "T:2 T:1", ""), ("T:5", "bp", "T:4", ""), ("T:6", "bp", "T:1", "is_obsolete: false"), ("T:7", "cc", "", ""), ("T:8", "bp", "T:7", "alt_id: T:88"), ("T:9", "bp", "T:6", ""), ("T:10", "bp", "T:5", "")]
+TERMS = [
+    ("T:1", "bp", "", ""), ("T:2", "bp", "T:1", ""), ("T:3", "bp", "T:1", ""), ("T:4", "bp", "T:2 T:1", ""),
+    ("T:5", "bp", "T:4", ""), ("T:6", "bp", "T:1", "is_obsolete: false"), ("T:7", "cc", "", ""), ("T:8", "bp", "T:7", "alt_id: T:88"), ("T:9", "bp", "T:6", ""), ("T:10", "bp", "T:5", ""),
+]
 
 
 def obo() -> str:
@@ -59,7 +62,8 @@ def test_classification(spark):
 
 
 def test_fences(spark):
-    counts = spark.createDataFrame([("A", 5, 10), ("B", 10, 15), ("C", 12, 18), ("D", 14, 15), ("E", 20, 30), ("F", 22, 25), ("G", 24, 26), ("H", 200, 420)], f"go_id string, {OLD_COUNT} long, {NEW_COUNT} long")
+    some = [("A", 5, 10), ("B", 10, 15), ("C", 12, 18), ("D", 14, 15), ("E", 20, 30), ("F", 22, 25), ("G", 24, 26), ("H", 200, 420)]
+    counts = spark.createDataFrame(some, f"go_id string, {OLD_COUNT} long, {NEW_COUNT} long")
     grown = growth.positive_growth(growth.calculate_percent_change(counts))
     fences = growth.calculate_iqr_thresholds(grown)
     t = fences.first()
@@ -130,7 +134,8 @@ def test_files(spark, tmp_path):
 
     df = spark.createDataFrame([("GO:1", 'a, "q" b', 3, None), ("GO:2", "NA", 4, "s")], "go_id string, go_name string, entrez_gene_id long, gene_symbol string")
     files.write_csv(df, str(tmp_path / "c"))
-    assert rows(files.read_table(spark, str(tmp_path / "c"), "go_id string, go_name string, entrez_gene_id long").select("go_id", "entrez_gene_id", F.coalesce("go_name", F.lit("-")))) == [("GO:1", 3, 'a, "q" b'), ("GO:2", 4, "-")]
+    back = files.read_table(spark, str(tmp_path / "c"), "go_id string, go_name string, entrez_gene_id long")
+    assert rows(back.select("go_id", "entrez_gene_id", F.coalesce("go_name", F.lit("-")))) == [("GO:1", 3, 'a, "q" b'), ("GO:2", 4, "-")]
     files.write_ids(df.select("go_id"), str(tmp_path / "i"))
     assert rows(files.read_ids(spark, str(tmp_path / "i"))) == [("GO:1",), ("GO:2",)]
     np.savez(tmp_path / "m.npz", indices=np.array([1, 0, 2]), indptr=np.array([0, 1, 3]), format=np.array(b"csr"), shape=np.array([2, 3]), data=np.array([1, 0, 2]))
