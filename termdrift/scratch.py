@@ -41,7 +41,7 @@ def bucketed(df: DataFrame, path: str, *keys: str, grouped: bool = False) -> Dat
     spark, name = df.sparkSession, f"termdrift_{uuid.uuid4().hex}"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = df if grouped else df.repartition(parts, *keys)
-    dealt.write.option("path", path).bucketBy(parts, *keys).sortBy(*keys).saveAsTable(name)
+    dealt.write.format("parquet").option("path", path).bucketBy(parts, *keys).sortBy(*keys).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
     return table
