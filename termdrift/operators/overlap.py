@@ -1,75 +1,270 @@
-"""Near-equal terms by clusters of similarity; one of each cluster stays."""
+"""Near-equal terms by clusters of similarity; one of each cluster stays.
+
+Pairs of sets at a similarity are found by parts of their items, which is exact. By their sizes sets fall into classes, so
+wide that sets at the similarity are of the same or of neighbouring ones. For such a pair of classes there is a most by
+which two sets at the similarity may differ, and the items are dealt, by their hashes, into half as many parts again. Each
+item in which two sets differ makes at most one part differ, so what a set has in each part is a signature of which two
+sets at the similarity share all but that most; put in one order, they share one among their first most + 1, and only
+these are posted. The order is by how rare the items of a part are. A part has several items, so unlike sets hardly
+ever meet, while those that meet by one frequent item grow with the square of the table.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termdrift.functions.scalars import known, relative_change
 from termdrift.operators.components import connected_components
 from termdrift.schemas import NEW_COUNT, OLD_COUNT
-from termdrift.scratch import Scratch, written
+from termdrift.scratch import Scratch, bucketed, shared_folder, written
+
+#: How many counters tell rare items from frequent ones, parts for each that may differ, and sets of a block.
+COUNTERS, PARTS, BLOCK = 1 << 16, 1.5, 1024
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def item_sets(memberships: DataFrame, key: str = "id", item: str = "item") -> DataFrame:
+    """id, items: the distinct known items of each known key."""
+    each = memberships.select(F.col(key).alias("id"), F.col(item).alias("i")).where("id IS NOT NULL AND i IS NOT NULL")
+    return each.groupBy("id").agg(F.collect_set("i").alias("items"))
+
+
+def stored_sets(sets: DataFrame) -> DataFrame:
+    """Sets (id, items), out of a grouping by id, written bucketed by id, so that no join by id shuffles them again."""
+    return bucketed(sets, shared_folder(sets.sparkSession, "sets"), "id", grouped=True)
+
+
+def sized(sets: DataFrame) -> DataFrame:
+    """k, n, items: each set of (id, items) that has an item, with its size."""
+    return sets.where("id IS NOT NULL AND size(items) > 0").select(F.col("id").alias("k"), F.size("items").alias("n"), "items")
 
 
 def ordered_sets(memberships: DataFrame, key: str = "id", item: str = "item") -> DataFrame:
-    """k, n, h, g, items: each set with its size, two hashes of it, and its items as struct<f,i>, f being how many sets hold
-    the item i; the rarest first, in one order for all sets."""
-    each = memberships.select(F.col(key).alias("k"), F.col(item).alias("i")).where("k IS NOT NULL AND i IS NOT NULL").distinct()
-    held = each.groupBy("i").agg(F.count(F.lit(1)).alias("f"))
-    sets = each.join(held, "i").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "i"))).alias("items"))
-    return sets.select("k", F.size("items").alias("n"), F.xxhash64("items.i").alias("h"), F.xxhash64(F.lit(1), "items.i").alias("g"), "items")
+    """The sized sets of memberships."""
+    return sized(item_sets(memberships, key, item))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _counter(items: np.ndarray) -> np.ndarray:
+    return (items & np.uint64(COUNTERS - 1)).astype("i8")
+
+
+def rarities(sets: DataFrame) -> np.ndarray:
+    """How rare the items of each counter are, in eighths of a binary digit. Items share COUNTERS counters by their hashes, so
+    the table is as large whatever the corpus. It sets an order only: any would find the same pairs."""
+    slot = F.explode(F.transform("items", lambda x: F.xxhash64(x).bitwiseAND(COUNTERS - 1))).alias("slot")
+    counts = np.zeros(COUNTERS)
+    for at, n in sets.select(slot).groupBy("slot").count().collect():
+        counts[at] = n
+    return np.floor(8 * np.log2(max(counts.sum(), 1) / np.maximum(counts, 1)))
+
+
+def signatures(sizes: np.ndarray, items: np.ndarray, at_least: float, rare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(set, signature, lower) of what is posted of sets, given by their sizes and the hashes of their items: as the lower
+    and as the upper class of a pair of classes."""
+    width = -math.log(at_least) + 1e-6  # a little wide, so that rounding parts no pair by two classes
+    mixed, of_item, weight = _mixed(items), np.repeat(np.arange(len(sizes)), sizes), rare[_counter(items)]
+    own = _mixed(mixed + ODD)
+    high, low = (own >> np.uint64(38)).astype("f8"), (own & np.uint64((1 << 26) - 1)).astype("f8")  # sums of halves are exact
+    for lower in (True, False):
+        pair = np.floor(np.log(sizes) / width) - (not lower)
+        most = np.floor((1 - at_least) / (1 + at_least) * (np.exp((pair + 1) * width) + np.exp((pair + 2) * width)) + 1e-6).astype("i8")
+        parts = np.ceil(PARTS * (most + 1)).astype("i8")
+        base = np.cumsum(parts) - parts
+        cell = base[of_item] + ((mixed >> np.uint64(33)).astype("i8") % parts[of_item])
+        total = int(parts.sum())
+        sums = [np.bincount(cell, x, total).astype("u8") for x in (high, low)]
+        of = np.repeat(np.arange(len(sizes)), parts)
+        place = np.arange(total) - base[of]
+        made = _mixed(_mixed(sums[0] * ODD + sums[1]) + place.astype("u8") * ODD + pair[of].astype("i8").astype("u8"))
+        order = np.lexsort((made, -np.bincount(cell, weight, total), of))
+        first = order[place <= most[of]]
+        yield of[first], made[first], lower
+
+
+def postings(sets: DataFrame, at_least: float) -> DataFrame:
+    """s, k, n, lower: each set under its signatures. sets: k, n, items."""
+    rare = sets.sparkSession.sparkContext.broadcast(rarities(sets))
+
+    def post(batches, largest=1 << 19):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists, sizes, at = batch.column("hashes"), batch.column("n").to_numpy(), 0
+            ends = np.cumsum(sizes)
+            while at < len(sizes):  # so many sets at once, one at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + largest, "right")))
+                some = lists.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).view("u8")
+                for of, made, lower in signatures(sizes[at:to], some, at_least, rare.value):
+                    take = pa.array(of + at)
+                    whose = [batch.column(c).take(take) for c in ("k", "n")]
+                    yield pa.RecordBatch.from_arrays([pa.array(made.view("i8")), *whose, pa.array(np.full(len(of), lower))], ["s", "k", "n", "lower"])
+                at = to
+
+    hashed = sets.select("k", "n", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    return hashed.mapInArrow(post, f"s long, k {sets.schema['k'].dataType.simpleString()}, n int, lower boolean")
+
+
+def shared_postings(sets: DataFrame, at_least: float) -> DataFrame:
+    """The postings under signatures that another set has too."""
+    held = F.count(F.lit(1)).over(Window.partitionBy("s"))
+    return postings(sets, at_least).withColumn("held", held).where("held > 1").drop("held")
+
+
+def _fits(at_least: float) -> Column:
+    return F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9
+
+
+def met_pairs(posted: DataFrame, at_least: float, *more: str) -> DataFrame:
+    """a, b, m, n: pairs a < b that share a signature and whose sizes allow the similarity; more: columns of posted that
+    must differ."""
+    left = posted.select("s", F.col("k").alias("a"), F.col("n").alias("m"), F.col("lower").alias("lower_a"), *[F.col(c).alias(f"{c}_a") for c in more])
+    right = posted.select("s", F.col("k").alias("b"), "n", "lower", *more)
+    new = (F.col("a") < F.col("b")) & (F.col("lower") | F.col("lower_a")) & _fits(at_least)
+    for c in more:
+        new &= F.col(c) != F.col(f"{c}_a")
+    return left.join(right, "s").where(new).select("a", "b", "m", "n").distinct()
+
+
+def parities(hashes):
+    """256 bits of each set, each telling whether the set has an odd number of the items that hash to it. Two sets differ in
+    at least as many items as these differ in bits."""
+    import pyarrow as pa
+
+    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False)
+    bit = (_mixed(hashes.flatten().to_numpy(zero_copy_only=False).view("u8")) >> np.uint64(56)).astype("i8")
+    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 256 + bit, minlength=256 * len(sizes)) & 1
+    flat = np.packbits(odd.astype("u1"), bitorder="little").view("i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype="i4") * 4), pa.array(flat))
+
+
+def likely(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """The pairs that may reach at_least by 256 bits of each set, so that few whole sets are shuffled for nothing."""
+    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
+    bits = F.arrow_udf(parities, "array<long>")
+    told = sets.join(ends, "k", "left_semi").select("k", bits(F.transform("items", lambda x: F.xxhash64(x))).alias("bits"))
+    held = pairs.join(told.toDF("a", "bits_a"), "a").join(told.toDF("b", "bits_b"), "b")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return held.where(apart <= (F.col("m") + F.col("n")) * ((1 - at_least) / (1 + at_least)) + 1e-6).select("a", "b", "m", "n")
 
 
 def candidate_pairs(sets: DataFrame, at_least: float) -> DataFrame:
-    """a, b, m, n, c, i, j: pairs a < b of sets that may reach at_least, above 0; c items are common among their first ones,
-    the last of which is at the places i and j, so what else they share comes behind these.
-
-    Sets that reach the similarity share one of their rarest items, so only those are joined (prefix), and what most sets
-    hold is not looked at. Pairs whose sizes do not allow the similarity do not meet (size). Of those that met, most have too
-    few items left behind the last one that they share (position)."""
-    prefix = F.col("n") - F.ceil(F.col("n") * at_least - 1e-9).cast("int") + 1
-    posted = sets.select("k", "n", F.posexplode(F.slice("items", F.lit(1), prefix)).alias("p", "x")).where("x.f > 1").select("k", "n", (F.col("p") + 1).alias("p"), "x.i")
-    left = posted.select(F.col("k").alias("a"), F.col("n").alias("m"), F.col("p").alias("i"), F.col("i").alias("item"))
-    right = posted.select(F.col("k").alias("b"), "n", F.col("p").alias("j"), F.col("i").alias("item"))
-    fits = (F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * at_least - 1e-9)
-    met = left.join(right, "item").where(fits).groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-    needed = F.ceil((F.col("m") + F.col("n")) * (at_least / (1 + at_least)) - 1e-6)
-    return met.where(F.col("c") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= needed)
+    """a, b, m, n: pairs a < b of sets that may reach at_least, above 0. No pair that reaches it is missing."""
+    return likely(met_pairs(shared_postings(sets, at_least), at_least), sets, at_least)
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """a, b, jaccard of pairs with both sets and their sizes."""
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.withColumn("both", both).select("a", "b", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("jaccard"))
 
 
 def compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, jaccard of candidate pairs. Only what comes behind the last item that is known to be common is compared."""
-    of = lambda end: sets.select(F.col("k").alias(end), F.col("items.i").alias(f"s{end}"))
-    behind = lambda s, at: F.slice(s, F.col(at) + 1, F.greatest(F.size(s) - F.col(at), F.lit(0)))
-    halved = pairs.join(of("a"), "a").withColumn("sa", behind("sa", "i")).join(of("b"), "b")
-    both = F.col("c") + F.size(F.array_intersect("sa", behind("sb", "j")))
-    return halved.withColumn("both", both).select("a", "b", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("jaccard"))
+    """a, b, jaccard of candidate pairs."""
+    of = lambda end: sets.select(F.col("k").alias(end), F.col("items").alias(f"s{end}"))
+    return scored(pairs.join(of("a"), "a").join(of("b"), "b"))
+
+
+def distinct_sets(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """k, n, items of one set of all that are alike, and (id, twin): for each id the smallest one with the same set. Sets
+    are told by their sizes and two hashes, whatever the order of their items."""
+    own, start = sized(sets), F.lit(0).cast("long")
+    h = F.aggregate("items", start, lambda sum, x: sum.bitwiseXOR(F.xxhash64(x)))
+    g = F.aggregate("items", start, lambda sum, x: sum.bitwiseXOR(F.xxhash64(F.lit(1), x)))
+    named = scratch.write(own.select("k", "n", h.alias("h"), g.alias("g")))
+    first = named.groupBy("h", "g", "n").agg(F.min("k").alias("twin"))
+    twins = scratch.keep(named.join(first, ["h", "g", "n"]).select(F.col("k").alias("id"), "twin"))
+    return own.join(twins.where("id <> twin").select(F.col("id").alias("k")), "k", "left_anti"), twins
+
+
+def placed_by(links: DataFrame, table: DataFrame) -> DataFrame:
+    """table with the component of its k by links."""
+    placed = connected_components(links).withColumnRenamed("node", "k")
+    return table.join(placed, "k", "left").withColumn("component", F.coalesce("component", "k"))
+
+
+def spanning(whole: DataFrame, own: DataFrame, at_least: float, wanted: Column, scratch: Scratch) -> DataFrame:
+    """a, b, jaccard: wanted pairs of the sets in whole, enough to hang together what all would. wanted: what makes a pair
+    of at_least one. own: where sets are looked up by k, those of whole at least.
+
+    All sets under a signature first meet one of them, in rows that grow with the postings. Then only pairs that do not yet
+    hang together can change anything, and all of those that share a signature are compared."""
+    posted = scratch.write(shared_postings(whole, at_least))
+    hub = F.min(F.struct("k", "n")).over(Window.partitionBy("s"))
+    star = posted.withColumn("hub", hub).select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.col("hub.n").alias("m"), "n")
+    near = scratch.write(compared_pairs(star.where((F.col("a") < F.col("b")) & _fits(at_least)).distinct(), own).where(wanted))
+    placed = scratch.write(placed_by(near, posted))
+    split = placed.groupBy("s").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("s")
+    apart = scratch.write(placed.join(split, "s", "left_semi"))
+    met = scratch.write(met_pairs(apart, at_least, "component"))
+    return scratch.write(near.union(compared_pairs(likely(met, own, at_least), own).where(wanted)))
+
+
+def within(own: DataFrame, links: DataFrame, at_least: float, scratch: Scratch) -> DataFrame:
+    """a, b, jaccard of all pairs that reach at_least, given links that hang together whatever reaches it.
+
+    A component is dealt into blocks of BLOCK sets, and each two blocks meet in a group of their own, so a set is shuffled
+    once for each block and not for each pair."""
+    placed = scratch.write(connected_components(links).withColumnRenamed("node", "k"))
+    in_order = Window.partitionBy("component").orderBy("k")
+    blocks = placed.withColumn("own", F.floor((F.row_number().over(in_order) - 1) / BLOCK).cast("int"))
+    last = placed.groupBy("component").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last"))
+    sets = scratch.write(blocks.join(last, "component").join(own, "k"))
+    left = sets.select("component", F.col("own").alias("x"), F.explode(F.sequence("own", "last")).alias("y"), F.col("k").alias("a"), F.col("n").alias("m"), F.col("items").alias("sa"))
+    right = sets.select("component", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("k").alias("b"), "n", F.col("items").alias("sb"))
+    met = left.hint("merge").join(right, ["component", "x", "y"]).where((F.col("a") < F.col("b")) & _fits(at_least))
+    return scored(met).where(F.col("jaccard") >= at_least)
+
+
+def set_links(sets: DataFrame, at_least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, jaccard), a < b, of unlike sets that reach at_least, above 0; and (id, twin): for each id the
+    smallest one with the same set, by which alone the pairs name it. sets: id, items, one row an id, best stored_sets."""
+    with Scratch(sets.sparkSession, "jaccard") as scratch:
+        whole, twins = distinct_sets(sets, scratch)
+        links = spanning(whole, sized(sets), at_least, F.col("jaccard") >= at_least, scratch)
+        return scratch.keep(within(sized(sets), links, at_least, scratch)), twins
+
+
+def set_cluster_links(sets: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """a, b, jaccard: pairs above the threshold, enough to hang together what all would. sets: id, items, one row an id, best
+    stored_sets."""
+    with Scratch(sets.sparkSession, "cluster-links") as scratch:
+        whole, twins = distinct_sets(sets, scratch)
+        return scratch.keep(cluster_links(spanning(whole, sized(sets), threshold, F.col("jaccard") > threshold, scratch), twins))
 
 
 def jaccard_links(memberships: DataFrame, at_least: float = 0.0, key: str = "id", item: str = "item") -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, jaccard), a < b, of unlike sets that share an item and reach at_least; and (id, twin): for each id
-    the smallest one with the same set, by which alone the pairs name it. Without a bound all pairs that share an item are
-    counted item by item."""
+    """set_links of memberships. Without a bound all pairs that share an item are counted item by item."""
+    sets = stored_sets(item_sets(memberships, key, item))
+    if at_least > 0:
+        return set_links(sets, at_least)
     with Scratch(memberships.sparkSession, "jaccard") as scratch:
-        own_sets = scratch.write(ordered_sets(memberships, key, item))
-        first = own_sets.groupBy("h", "g", "n").agg(F.min("k").alias("twin"))
-        twins = scratch.keep(own_sets.select("k", "h", "g", "n").join(first, ["h", "g", "n"]).select(F.col("k").alias("id"), "twin"))
-        whole = own_sets.join(twins.where("id = twin").select(F.col("id").alias("k")), "k", "left_semi").select("k", "n", "items")
-        if at_least > 0:
-            scored = compared_pairs(candidate_pairs(whole, at_least), whole)
-        else:
-            posted = whole.select("k", "n", F.explode("items.i").alias("item"))
-            left, right = posted.toDF("a", "m", "item"), posted.toDF("b", "n", "item")
-            counted = left.join(right, "item").where("a < b").groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("c"))
-            scored = counted.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("jaccard"))
-        return scratch.keep(scored.where(F.col("jaccard") >= at_least)), twins
+        whole, twins = distinct_sets(sets, scratch)
+        posted = whole.select("k", "n", F.explode("items").alias("item"))
+        left, right = posted.toDF("a", "m", "item"), posted.toDF("b", "n", "item")
+        counted = left.join(right, "item").where("a < b").groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("c"))
+        return scratch.keep(counted.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("jaccard"))), twins
 
 
 def jaccard_pairs(memberships: DataFrame, at_least: float = 0.0, key: str = "id", item: str = "item") -> DataFrame:
     """a, b, jaccard of all pairs a < b that share an item and reach at_least, like sets among them."""
-    pairs, twins = jaccard_links(memberships, at_least, key, item)
+    return expanded(*jaccard_links(memberships, at_least, key, item))
+
+
+def expanded(pairs: DataFrame, twins: DataFrame) -> DataFrame:
+    """a, b, jaccard of all pairs a < b of ids, given those of unlike sets and each id's twin."""
     of = lambda end: twins.select(F.col("id").alias(f"{end}_id"), F.col("twin").alias(end))
     unlike = pairs.join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id", "jaccard")
     like = of("a").join(of("b"), F.col("a") == F.col("b")).where("a_id < b_id").select("a_id", "b_id", F.lit(1.0).alias("jaccard"))
@@ -90,13 +285,13 @@ def clusters(nodes: DataFrame, pairs: DataFrame, threshold: float = 0.9) -> Data
     return nodes.select("id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def similarity_of(wanted: DataFrame, memberships: DataFrame, key: str = "id", item: str = "item") -> DataFrame:
-    """a, b, jaccard of the given pairs (a, b) from their whole sets, however small; 0 for an unknown or empty set."""
-    sets = memberships.select(F.col(key).alias("a"), F.col(item).alias("i")).where("i IS NOT NULL").distinct()
-    sizes = sets.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    common = wanted.join(sets, "a").join(sets.withColumnRenamed("a", "b"), ["b", "i"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    held = wanted.join(sizes, "a", "left").join(sizes.toDF("b", "n"), "b", "left").join(common, ["a", "b"], "left")
-    return held.select("a", "b", F.coalesce(F.col("c") / (F.col("m") + F.col("n") - F.col("c")), F.lit(0.0)).alias("jaccard"))
+def similarity_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, jaccard of the given pairs (a, b) from their whole sets (id, items), however small; 0 for an unknown or empty
+    set."""
+    of = lambda end: sets.select(F.col("id").alias(end), F.col("items").alias(f"s{end}"))
+    held = wanted.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return held.select("a", "b", F.coalesce(F.try_divide(common, F.size("sa") + F.size("sb") - common), F.lit(0.0)).alias("jaccard"))
 
 
 @dataclass
@@ -108,14 +303,14 @@ class Overlap:
 
 
 def filter_overlapping_go_terms(
-    nodes: DataFrame, pairs: DataFrame, dataset: DataFrame, threshold: float = 0.9, old: str = OLD_COUNT, new: str = NEW_COUNT, memberships: DataFrame | None = None
+    nodes: DataFrame, pairs: DataFrame, dataset: DataFrame, threshold: float = 0.9, old: str = OLD_COUNT, new: str = NEW_COUNT, memberships: DataFrame | None = None, sets: DataFrame | None = None
 ) -> Overlap:
     """Of each cluster the term with the largest change in percent stays, up or down; of equals the smallest id.
 
     nodes: all ids, of which those outside the dataset may still link others. pairs: both directions of a similarity
     that differs by direction; the one from the removed to the kept term is reported, the other if it is missing,
-    and 0 if both are. Where pairs leaves out what is less similar, memberships (id, item) gives the true value: in a
-    chain of links the removed term may be far from the kept one. Dataset rows whose id is no node go. A cluster without a
+    and 0 if both are. Where pairs leaves out what is less similar, memberships (id, item) or sets (id, items) gives the
+    true value: in a chain of links the removed term may be far from the kept one. Dataset rows whose id is no node go. A cluster without a
     row in the dataset, or with no known change, has no representative."""
     placed = written(clusters(nodes, pairs, threshold), "clusters")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -130,7 +325,9 @@ def filter_overlapping_go_terms(
     directed = pairs.select("a", "b", "jaccard", F.lit(0).alias("back")).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", F.lit(1).alias("back")))
     cell = directed.groupBy("a", "b").agg(F.min_by("jaccard", "back").alias("jaccard"))
     if memberships is not None:
-        cell = similarity_of(gone.select(F.col("go_id").alias("a"), F.col("representative_go_id").alias("b")).distinct(), memberships)
+        sets = item_sets(memberships)
+    if sets is not None:
+        cell = similarity_of(gone.select(F.col("go_id").alias("a"), F.col("representative_go_id").alias("b")).distinct(), sets)
     detail = gone.join(cell, (F.col("go_id") == F.col("a")) & (F.col("representative_go_id") == F.col("b")), "left").select(
         F.col("go_id").alias("removed_go_id"), "representative_go_id", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard_similarity"),
         F.col(old).alias("removed_genes_2016"), F.col(new).alias("removed_genes_2024"), F.col("pct_change").alias("removed_pct_change"),

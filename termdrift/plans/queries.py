@@ -13,7 +13,7 @@ from termdrift.functions import stats
 from termdrift.operators import classify, growth, ontology, overlap, universe
 from termdrift.plans import snapshot
 from termdrift.schemas import COMMON_TERMS, GROWTH, NEW_COUNT, OLD_COUNT
-from termdrift.scratch import shared_folder, written
+from termdrift.scratch import shared_folder
 from termdrift.sources import files
 
 CUT = "1998-03-01"
@@ -223,25 +223,29 @@ def retention(spark, sf_dir):
 
 
 def words(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\t\n\r]+", -1))).alias("item")).where("item <> ''")
+    """id, items: the distinct words of each document that has one."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    found = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\t\n\r]+", -1)), lambda x: x != "")
+    each = d.select(F.col("doc_id").alias("id"), found.alias("items")).where("size(items) > 0")
+    lists = each.groupBy("id").agg(F.collect_list("items").alias("lists"))  # of one row, but where an id repeats
+    return lists.select("id", F.when(F.size("lists") == 1, F.get("lists", F.lit(0))).otherwise(F.array_distinct(F.flatten("lists"))).alias("items"))
 
 
 def overlapped(spark, sf_dir) -> overlap.Overlap:
-    w = written(words(spark, sf_dir), "words")
+    w = overlap.stored_sets(words(spark, sf_dir))
     n = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("go_id"), F.col("n_chars").alias(NEW_COUNT))
-    dataset = w.groupBy(F.col("id").alias("go_id")).agg(F.count(F.lit(1)).alias(OLD_COUNT)).join(n, "go_id")
-    links = written(overlap.cluster_links(*overlap.jaccard_links(w, 0.85)), "links")
-    return overlap.filter_overlapping_go_terms(w.select("id").distinct(), links, dataset, memberships=w)
+    dataset = w.select(F.col("id").alias("go_id"), F.size("items").cast("long").alias(OLD_COUNT)).join(n, "go_id")
+    return overlap.filter_overlapping_go_terms(w.select("id"), overlap.set_cluster_links(w), dataset, sets=w)
 
 
 def jaccard_pairs(spark, sf_dir):
-    return overlap.jaccard_pairs(words(spark, sf_dir), 0.85).where("jaccard > 0.9").select("a", "b", r6("jaccard"))
+    w = overlap.stored_sets(words(spark, sf_dir))
+    return overlap.expanded(*overlap.set_links(w, 0.85)).where("jaccard > 0.9").select("a", "b", r6("jaccard"))
 
 
 def components(spark, sf_dir):
-    w = written(words(spark, sf_dir), "words")
-    return overlap.clusters(w.select("id").distinct(), overlap.cluster_links(*overlap.jaccard_links(w, 0.85)))
+    w = overlap.stored_sets(words(spark, sf_dir))
+    return overlap.clusters(w.select("id"), overlap.set_cluster_links(w))
 
 
 def overlap_filtered(spark, sf_dir):
