@@ -17,7 +17,9 @@ For those the prefix is taken once more, on the full sets: in the order of how m
 the similarity have their first common shingle where both still have as many to come as they must share. Such places
 are few, and the pairs that are left meet there; this filter is exact. A copy that is too far from its group has more
 shingles of its own than it may lack, so it meets nobody, however large the group. Sizes that cannot reach the
-similarity are skipped too.
+similarity are skipped too. In a wide group many copies are near to many others, though not to the hubs so far; so at
+each such place those outside its main component first meet a few sets of that one, dealt by a hash, then some more,
+in rows that grow with the places. All pairs of places whose sets are still in different components come last.
 
 Null and empty texts, and texts of blanks only, have the empty set: they are linked with nothing and kept. Texts
 shorter than a shingle are one shingle. Of each component the document with the smallest doc_id stays. A row without
@@ -45,6 +47,8 @@ from termdrift.scratch import Scratch
 #: What parts words, and the letters folded. On UTF-8 bytes, lower() and split() do just this.
 WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: How many sets of a key's main component the others meet, from round to round, before all pairs that are left do.
+HUBS = (8, 64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,6 +169,21 @@ def rare_places(sets: DataFrame, percent: int) -> DataFrame:
     return placed.select("c.key", "id", "n", (F.col("size") - F.col("i")).alias("rest"))
 
 
+def divided(placed: DataFrame) -> DataFrame:
+    """Of places with the component of their sets, those under keys that several components share, with the main one: the
+    one that has most of the key's places."""
+    members = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
+    return placed.join(split.select("key", "main"), "key")
+
+
+def merged(components: DataFrame, found: DataFrame) -> DataFrame:
+    """id, component: components once more, with what the links (a, b) found between them join."""
+    of = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    whole = connected_components(found.join(of("a"), "a").join(of("b"), "b"), "of_a", "of_b").toDF("component", "whole")
+    return components.join(whole, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+
+
 def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int, matches: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """Confirmed links (a, b) between classes, enough to connect each component; None where no key is shared."""
     chosen = scratch.write(postings(classes, coordinates, matches))
@@ -198,18 +217,21 @@ def links(classes: DataFrame, documents: DataFrame, size: int, coordinates: int,
     near = scratch.write(near.union(meet(star)))
 
     placed = scratch.write(apart(near, chosen).select("key", "id", "n", "component"))
-    members = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
-    unsettled = scratch.write(placed.join(split, "key").select("id", "component").distinct())  # they share a key with another component
-    rare = scratch.write(rare_places(sets.join(unsettled.select("id"), "id"), percent).join(unsettled, "id"))
-    members = rare.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    split = members.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "component"))["component"].alias("main")).where("parts > 1")
-    posted = rare.join(split.select("key", "main"), "key").join(classes.select("id", "n", "signature"), ["id", "n"])
-    posted = scratch.write(posted)
-    left = posted.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("rest_a"), F.col("component").alias("component_a"), F.col("signature").alias("sign"))
+    unsettled = scratch.write(divided(placed).select("id", "component").distinct())  # they share a key with another component
+    places = scratch.write(rare_places(sets.join(unsettled.select("id"), "id"), percent))
+    enough = F.least("rest_a", "rest") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    ends = [F.col("id").alias("a"), F.col("n").alias("m"), F.col("rest").alias("rest_a")]
+    for most in HUBS:
+        posted = scratch.write(divided(places.join(unsettled, "id")))
+        mixed = F.xxhash64("id", "key")
+        some = posted.where("component = main").groupBy("key", F.pmod(mixed, F.lit(most)).alias("hub")).agg(F.min(F.struct(mixed.alias("h"), "id", "n", "rest")).alias("x"))
+        pairs = posted.where("component <> main").select("key", *ends).join(some.select("key", F.col("x.id").alias("b"), "x.n", "x.rest"), "key")
+        met = scratch.write(meet(pairs.where(enough & _near("n", "m", percent)).select("a", "b").distinct()))
+        near, unsettled = near.union(met), scratch.write(merged(unsettled, met))
+    posted = scratch.write(divided(places.join(unsettled, "id")).join(classes.select("id", "n", "signature"), ["id", "n"]))
+    left = posted.where("component <> main").select("key", *ends, F.col("component").alias("component_a"), F.col("signature").alias("sign"))
     right = posted.select(F.col("key").alias("key_b"), F.col("id").alias("b"), "n", "rest", "component", "main", "signature")
     new = (F.col("component_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("b")))
-    enough = F.least("rest_a", "rest") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     rest = left.join(right, (F.col("key") == F.col("key_b")) & new & enough & likely)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return scratch.write(near.union(confirmed(rest, sets, percent)))
