@@ -26,15 +26,27 @@ def edges(terms: DataFrame, namespace: str = PROCESS) -> DataFrame:
 
 @contextmanager
 def planned_ahead(spark: SparkSession) -> Iterator[None]:
-    """Within, Spark plans an action before it runs and runs it as one job. For chains of joins whose sides lie as they
-    must already there is nothing to plan anew in between, and each stage would be a job of its own."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Within, Spark plans an action before it runs and runs it as one job, and trusts the order within buckets. For chains
+    of joins whose sides lie as they must already there is nothing to plan anew in between, and each stage would be a job
+    of its own."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def one_level(reached: DataFrame, links: DataFrame, level: int) -> DataFrame:
+    """snapshot, go_id, depth: reached, and at `level` what else hangs on its terms of the level before."""
+    below = (F.col("of") == F.col("snapshot")) & (F.col("parent") == F.col("go_id")) & (F.col("depth") == level - 1)
+    held = links.withColumnRenamed("snapshot", "of").hint("merge").join(reached, below, "right")
+    both = F.array(F.struct("go_id", "depth"), F.struct(F.col("child").alias("go_id"), F.lit(level).alias("depth")))
+    each = held.select("snapshot", F.explode(both).alias("x")).select("snapshot", "x.*").where("go_id IS NOT NULL")
+    return each.groupBy("snapshot", "go_id").agg(F.min("depth").alias("depth"))
 
 
 def all_depths(snapshots: dict[str, DataFrame], namespace: str = PROCESS, levels: int = 8, most: int = 16) -> tuple[DataFrame, dict[str, int]]:
@@ -42,35 +54,40 @@ def all_depths(snapshots: dict[str, DataFrame], namespace: str = PROCESS, levels
     largest depth of each snapshot that has a term with one.
 
     One traversal for all snapshots, breadth first, some levels a job and twice as many in the next, up to `most`. The
-    edges are written bucketed by snapshot and parent, so no level shuffles them again: only its own terms are, by which
-    it then meets the edges. Within a job a term may be reached again; its fewest steps count. What hangs on a cycle only
-    has no depth."""
+    edges are written bucketed by snapshot and parent, in order, so no level shuffles or sorts them again: only the terms
+    that the job has reached are, each with its fewest steps, and those of the last level meet the edges. Once an eighth as
+    many terms as there are edges has been reached, edges to reached terms are left out of those that are written. What
+    hangs on a cycle only has no depth."""
     named = [live_terms(t, namespace).select(F.lit(name).alias("snapshot"), "id", "parents") for name, t in snapshots.items()]
     live = reduce(DataFrame.union, named)
     with Scratch(live.sparkSession, "depths") as scratch:
         above = live.select("snapshot", F.col("id").alias("child"), F.explode_outer("parents").alias("parent"))
         known = above.join(live.select("snapshot", F.col("id").alias("parent"), F.lit(True).alias("known")).distinct(), ["snapshot", "parent"], "left")
-        dealt = known.repartition("snapshot", "parent").distinct()  # one shuffle for both
+        counted = Observation()
+        dealt = known.repartition("snapshot", "parent").distinct().observe(counted, F.count_if("known").alias("n"))  # one shuffle for both
         every = scratch.bucketed(dealt, "snapshot", "parent", grouped=True)
-        links = every.where("known").select("snapshot", "parent", "child")
+        links, fresh = every.where("known").select("snapshot", "parent", "child"), 0
         roots = every.groupBy("snapshot", F.col("child").alias("go_id")).agg(F.count("known").alias("parents")).where("parents = 0")
         deepest, at_last, level = dict.fromkeys(snapshots, None), Observation(), 0
         largest = [F.max(F.when(F.col("snapshot") == name, F.col("depth"))).alias(f"_{k}") for k, name in enumerate(snapshots)]
-        seen = scratch.write(roots.select("snapshot", "go_id", F.lit(0).alias("depth")).observe(at_last, F.count(F.lit(1)).alias("open"), *largest))
+        seen = scratch.write(roots.select("snapshot", "go_id", F.lit(0).alias("depth")).observe(at_last, F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("open"), *largest))
         frontier = seen
         while True:
             told = at_last.get
             deepest = {name: old if told[f"_{k}"] is None else told[f"_{k}"] for k, (name, old) in enumerate(deepest.items())}
             if not told["open"]:
                 return scratch.keep(seen), {name: d for name, d in deepest.items() if d is not None}
-            at, reached = frontier.select("snapshot", F.col("go_id").alias("parent")), []
+            fresh += told["rows"] if level else 0  # no edge leads to a root
+            if fresh * 8 >= counted.get["n"] > 0 and fresh:
+                gone, counted, fresh = seen.select("snapshot", F.col("go_id").alias("child")), Observation(), 0
+                rest = links.join(gone, ["snapshot", "child"], "left_anti").select("snapshot", "parent", "child")
+                links = scratch.bucketed(rest.observe(counted, F.count(F.lit(1)).alias("n")), "snapshot", "parent")
+            first, at = level, frontier
             for _ in range(levels):
                 level += 1
-                at = links.hint("merge").join(at, ["snapshot", "parent"], "left_semi").select("snapshot", F.col("child").alias("parent")).distinct()
-                reached.append(at.withColumn("depth", F.lit(level)))
-            fewest = reduce(DataFrame.union, reached).withColumnRenamed("parent", "go_id").groupBy("snapshot", "go_id").agg(F.min("depth").alias("depth"))
+                at = one_level(at, links, level)
             at_last = Observation()
-            new = fewest.join(seen.hint("merge"), ["snapshot", "go_id"], "left_anti").observe(at_last, F.count_if(F.col("depth") == level).alias("open"), *largest)
+            new = at.where(F.col("depth") > first).join(seen.hint("merge"), ["snapshot", "go_id"], "left_anti").observe(at_last, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("depth") == level).alias("open"), *largest)
             with planned_ahead(live.sparkSession):
                 new = scratch.write(new)
             seen, frontier, levels = seen.union(new), new.where(F.col("depth") == level), min(2 * levels, most)
