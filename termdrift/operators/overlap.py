@@ -4,9 +4,9 @@ Pairs of sets at a similarity are found by parts of their items, which is exact.
 wide that sets at the similarity are of the same or of neighbouring ones. For such a pair of classes there is a most by
 which two sets at the similarity may differ, and the items are dealt, by their hashes, into half as many parts again. Each
 item in which two sets differ makes at most one part differ, so what a set has in each part is a signature of which two
-sets at the similarity share all but that most; put in one order, they share one among their first most + 1, and only
-these are posted. The order is by how rare the items of a part are. A part has several items, so unlike sets hardly
-ever meet, while those that meet by one frequent item grow with the square of the table.
+sets at the similarity share all but that most; put in one order, they share SHARED among their first most + SHARED, and
+only these are posted. The order is by how rare the items of a part are. A part has several items, so unlike sets seldom
+share one signature and hardly ever two, while those that meet by one frequent item grow with the square of the table.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from termdrift.scratch import Scratch, bucketed, shared_folder, written
 
 #: How many counters tell rare items from frequent ones, parts for each that may differ, and sets of a block.
 COUNTERS, PARTS, BLOCK = 1 << 16, 1.5, 1024
+#: Signatures by which a pair must meet; by the number of parts, sets at the similarity share two at least.
+SHARED = 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +92,7 @@ def signatures(sizes: np.ndarray, items: np.ndarray, at_least: float, rare: np.n
         place = np.arange(total) - base[of]
         made = _mixed(_mixed(sums[0] * ODD + sums[1]) + place.astype("u8") * ODD + pair[of].astype("i8").astype("u8"))
         order = np.lexsort((made, -np.bincount(cell, weight, total), of))
-        first = order[place <= most[of]]
+        first = order[place < most[of] + SHARED]
         yield of[first], made[first], lower
 
 
@@ -128,41 +130,67 @@ def _fits(at_least: float) -> Column:
 
 
 def met_pairs(posted: DataFrame, at_least: float, *more: str) -> DataFrame:
-    """a, b, m, n: pairs a < b that share a signature and whose sizes allow the similarity; more: columns of posted that
+    """a, b, m, n: pairs a < b that share SHARED signatures and whose sizes allow the similarity; more: columns of posted that
     must differ."""
     left = posted.select("s", F.col("k").alias("a"), F.col("n").alias("m"), F.col("lower").alias("lower_a"), *[F.col(c).alias(f"{c}_a") for c in more])
     right = posted.select("s", F.col("k").alias("b"), "n", "lower", *more)
     new = (F.col("a") < F.col("b")) & (F.col("lower") | F.col("lower_a")) & _fits(at_least)
     for c in more:
         new &= F.col(c) != F.col(f"{c}_a")
-    return left.join(right, "s").where(new).select("a", "b", "m", "n").distinct()
+    return often(left.join(right, "s").where(new))
 
 
-def parities(hashes):
-    """256 bits of each set, each telling whether the set has an odd number of the items that hash to it. Two sets differ in
-    at least as many items as these differ in bits."""
-    import pyarrow as pa
+def often(meetings: DataFrame) -> DataFrame:
+    """a, b, m, n: the pairs that meet SHARED times."""
+    return meetings.groupBy("a", "b", "m", "n").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= SHARED).drop("times")
 
-    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False)
-    bit = (_mixed(hashes.flatten().to_numpy(zero_copy_only=False).view("u8")) >> np.uint64(56)).astype("i8")
-    odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 256 + bit, minlength=256 * len(sizes)) & 1
-    flat = np.packbits(odd.astype("u1"), bitorder="little").view("i8")
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype="i4") * 4), pa.array(flat))
 
+def parities(hashes, largest=1 << 19):
+    """Bits of each set, each telling whether the set has an odd number of the items that hash to it: as many as the set has
+    items, rounded up to a power of two, 256 at least. Two sets differ in at least as many items as these differ in bits."""
+    import pyarrow as pa
 
-def likely(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
-    """The pairs that may reach at_least by 256 bits of each set, so that few whole sets are shuffled for nothing."""
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    bits = F.arrow_udf(parities, "array<long>")
-    told = sets.join(ends, "k", "left_semi").select("k", bits(F.transform("items", lambda x: F.xxhash64(x))).alias("bits"))
-    held = pairs.join(told.toDF("a", "bits_a"), "a").join(told.toDF("b", "bits_b"), "b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes, flat, at = hashes.value_lengths().to_numpy(zero_copy_only=False), [], 0
+    ends = np.cumsum(sizes)
+    widths = 1 << np.maximum(np.ceil(np.log2(np.maximum(sizes, 1))), 8).astype("i8")
+    while at < len(sizes):  # so many items at once, one set at least
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + largest, "right")))
+        items = hashes.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).view("u8")
+        own = np.repeat(widths[at:to], sizes[at:to])
+        bit = (_mixed(items) >> np.uint64(32)).astype("i8") & (own - 1)
+        first = np.cumsum(widths[at:to]) - widths[at:to]
+        odd = np.bincount(np.repeat(first, sizes[at:to]) + bit, minlength=int(widths[at:to].sum())) & 1
+        flat.append(np.packbits(odd.astype("u1"), bitorder="little").view("i8"))
+        at = to
+    starts = np.concatenate([[0], np.cumsum(widths // 64)]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(flat) if flat else np.zeros(0, "i8")))
+
+
+def parity_bits(sets: DataFrame) -> DataFrame:
+    """k, bits: parities of each set."""
+    return sets.select("k", F.arrow_udf(parities, "array<long>")(F.transform("items", lambda x: F.xxhash64(x))).alias("bits"))
+
+
+def _folded(bits: str, to: Column) -> Column:
+    """The bits that fewer words, a power of two of them, would hold of the same set."""
+    more = F.sequence(F.lit(1), (F.size(bits) / to).cast("int") - 1)
+    fold = F.aggregate(more, F.slice(bits, 1, to), lambda sum, i: F.zip_with(sum, F.slice(bits, i * to + 1, to), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(F.size(bits) > to, fold).otherwise(F.col(bits))
+
+
+def likely(pairs: DataFrame, bits: DataFrame, at_least: float) -> DataFrame:
+    """The pairs that may reach at_least by some bits of each set, so that few whole sets are shuffled for nothing. bits:
+    parity_bits of the sets, best written."""
+    held = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    words = F.least(F.size("bits_a"), F.size("bits_b"))
+    odd = F.zip_with(_folded("bits_a", words), _folded("bits_b", words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(odd, F.lit(0), lambda n, x: n + x)
     return held.where(apart <= (F.col("m") + F.col("n")) * ((1 - at_least) / (1 + at_least)) + 1e-6).select("a", "b", "m", "n")
 
 
 def candidate_pairs(sets: DataFrame, at_least: float) -> DataFrame:
     """a, b, m, n: pairs a < b of sets that may reach at_least, above 0. No pair that reaches it is missing."""
-    return likely(met_pairs(shared_postings(sets, at_least), at_least), sets, at_least)
+    return likely(met_pairs(shared_postings(sets, at_least), at_least), parity_bits(sets), at_least)
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -200,16 +228,18 @@ def spanning(whole: DataFrame, own: DataFrame, at_least: float, wanted: Column,
     of at_least one. own: where sets are looked up by k, those of whole at least.
 
     All sets under a signature first meet one of them, in rows that grow with the postings. Then only pairs that do not yet
-    hang together can change anything, and all of those that share a signature are compared."""
+    hang together can change anything, and all of those that share SHARED signatures are compared."""
     posted = scratch.write(shared_postings(whole, at_least))
     hub = F.min(F.struct("k", "n")).over(Window.partitionBy("s"))
     star = posted.withColumn("hub", hub).select(F.col("hub.k").alias("a"), F.col("k").alias("b"), F.col("hub.n").alias("m"), "n")
-    near = scratch.write(compared_pairs(star.where((F.col("a") < F.col("b")) & _fits(at_least)).distinct(), own).where(wanted))
+    bits = scratch.write(parity_bits(whole))
+    close = likely(often(star.where((F.col("a") < F.col("b")) & _fits(at_least))), bits, at_least)
+    near = scratch.write(compared_pairs(close, own).where(wanted))
     placed = scratch.write(placed_by(near, posted))
     split = placed.groupBy("s").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("s")
     apart = scratch.write(placed.join(split, "s", "left_semi"))
     met = scratch.write(met_pairs(apart, at_least, "component"))
-    return scratch.write(near.union(compared_pairs(likely(met, own, at_least), own).where(wanted)))
+    return scratch.write(near.union(compared_pairs(likely(met, bits, at_least), own).where(wanted)))
 
 
 def within(own: DataFrame, links: DataFrame, at_least: float, scratch: Scratch) -> DataFrame:
