@@ -24,8 +24,9 @@ from termdrift.operators.components import connected_components
 from termdrift.schemas import NEW_COUNT, OLD_COUNT
 from termdrift.scratch import Scratch, bucketed, shared_folder, written
 
-#: How many counters tell rare items from frequent ones, parts for each that may differ, and sets of a block.
-COUNTERS, PARTS, BLOCK = 1 << 16, 1.5, 1024
+#: How many counters tell rare items from frequent ones, parts for each that may differ, and the most sets of
+#: a block and, but for its last set, items of a block.
+COUNTERS, PARTS, BLOCK, ITEMS = 1 << 16, 1.5, 1024, 1 << 20
 #: Signatures by which a pair must meet; by the number of parts, sets at the similarity share two at least.
 SHARED = 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -193,16 +194,11 @@ def candidate_pairs(sets: DataFrame, at_least: float) -> DataFrame:
     return likely(met_pairs(shared_postings(sets, at_least), at_least), parity_bits(sets), at_least)
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """a, b, jaccard of pairs with both sets and their sizes."""
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.withColumn("both", both).select("a", "b", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("jaccard"))
-
-
 def compared_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, jaccard of candidate pairs."""
+    """a, b, m, n, jaccard of candidate pairs."""
     of = lambda end: sets.select(F.col("k").alias(end), F.col("items").alias(f"s{end}"))
-    return scored(pairs.join(of("a"), "a").join(of("b"), "b"))
+    held = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return held.select("a", "b", "m", "n", (F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("jaccard"))
 
 
 def distinct_sets(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +220,7 @@ def placed_by(links: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def spanning(whole: DataFrame, own: DataFrame, at_least: float, wanted: Column, scratch: Scratch) -> DataFrame:
-    """a, b, jaccard: wanted pairs of the sets in whole, enough to hang together what all would. wanted: what makes a pair
+    """a, b, m, n, jaccard: wanted pairs of the sets in whole, enough to hang together what all would. wanted: what makes a pair
     of at_least one. own: where sets are looked up by k, those of whole at least.
 
     All sets under a signature first meet one of them, in rows that grow with the postings. Then only pairs that do not yet
@@ -242,20 +238,65 @@ def spanning(whole: DataFrame, own: DataFrame, at_least: float, wanted: Column,
     return scratch.write(near.union(compared_pairs(likely(met, bits, at_least), own).where(wanted)))
 
 
-def within(own: DataFrame, links: DataFrame, at_least: float, scratch: Scratch) -> DataFrame:
-    """a, b, jaccard of all pairs that reach at_least, given links that hang together whatever reaches it.
+def in_common(sets, left: np.ndarray, right: np.ndarray, largest: int = 1 << 22) -> np.ndarray:
+    """How many items each of the sets at left has in common with each at right. sets: an Arrow list array.
+
+    Which set has which item is a matrix of ones and zeros, so the counts are a product of matrices; of the matrix so many
+    cells are made at once, or one column, and sums of so few ones are exact."""
+    import pyarrow as pa
+
+    items, of = sets.flatten(), np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False))
+    if pa.types.is_nested(items.type):
+        items = pa.array([repr(x) for x in items.to_pylist()])
+    code = items.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    shared = np.bincount(code, minlength=1) > 1
+    kept = shared[code]  # what only one set has is in common to none
+    of, code = of[kept], (np.cumsum(shared) - 1)[code[kept]]
+    order = np.argsort(code, kind="stable")
+    of, code, width = of[order], code[order], max(1, largest // max(1, len(sets)))
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, int(shared.sum()), width):
+        some = slice(*np.searchsorted(code, (at, at + width)))
+        has = np.zeros((len(sets), min(width, int(shared.sum()) - at)), "f4")
+        has[of[some], code[some] - at] = 1
+        both += has[left] @ has[right].T
+    return both
+
+
+def met_blocks(at_least: float):
+    """The pairs (a, b, jaccard) that reach at_least of the sets of two blocks, or of one, as a function of an Arrow table of
+    both: x, y, own, place, k, n, items."""
+
+    def meet(table):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        own, place, n = (table[c].to_numpy() for c in ("own", "place", "n"))
+        left, right = np.flatnonzero(own == table["x"][0].as_py()), np.flatnonzero(own == table["y"][0].as_py())
+        both = in_common(table["items"].combine_chunks(), left, right)
+        jaccard = both / (n[left][:, None] + n[right][None, :] - both)
+        a, b = np.nonzero((jaccard >= at_least) & (place[left][:, None] < place[right][None, :]))
+        k = table["k"].combine_chunks()
+        return pa.table([k.take(pa.array(left[a])), k.take(pa.array(right[b])), pa.array(jaccard[a, b])], ["a", "b", "jaccard"])
+
+    return meet
 
-    A component is dealt into blocks of BLOCK sets, and each two blocks meet in a group of their own, so a set is shuffled
-    once for each block and not for each pair."""
-    placed = scratch.write(connected_components(links).withColumnRenamed("node", "k"))
-    in_order = Window.partitionBy("component").orderBy("k")
-    blocks = placed.withColumn("own", F.floor((F.row_number().over(in_order) - 1) / BLOCK).cast("int"))
-    last = placed.groupBy("component").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last"))
-    sets = scratch.write(blocks.join(last, "component").join(own, "k"))
-    left = sets.select("component", F.col("own").alias("x"), F.explode(F.sequence("own", "last")).alias("y"), F.col("k").alias("a"), F.col("n").alias("m"), F.col("items").alias("sa"))
-    right = sets.select("component", F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"), F.col("k").alias("b"), "n", F.col("items").alias("sb"))
-    met = left.hint("merge").join(right, ["component", "x", "y"]).where((F.col("a") < F.col("b")) & _fits(at_least))
-    return scored(met).where(F.col("jaccard") >= at_least)
+
+def within(own: DataFrame, links: DataFrame, at_least: float, scratch: Scratch) -> DataFrame:
+    """a, b, jaccard of all pairs that reach at_least, given links (a, b, m, n) that hang together whatever reaches it.
+
+    A component is dealt into blocks of at most BLOCK sets and about ITEMS items, and each two blocks meet in a group of
+    their own, so a set is shuffled once for each block and not for each pair, and a task holds two blocks at a time."""
+    sizes = links.select(F.col("a").alias("k"), F.col("m").alias("n")).union(links.select("b", "n")).distinct()
+    placed = connected_components(links).withColumnRenamed("node", "k").join(sizes, "k")
+    in_order, room = Window.partitionBy("component").orderBy("k"), F.greatest("n", F.lit(ITEMS // BLOCK)).cast("long")
+    block = F.floor((F.sum(room).over(in_order) - room) / ITEMS).cast("int")
+    blocks = scratch.write(placed.select("component", "k", "n", F.row_number().over(in_order).alias("place"), block.alias("own")))
+    last = blocks.groupBy("component").agg(F.max("own").alias("last"))
+    sets = blocks.join(last, "component").join(own.select("k", "items"), "k").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    dealt = sets.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "place", "k", "n", "items")
+    key = own.schema["k"].dataType.simpleString()
+    return dealt.groupBy("component", "x", "y").applyInArrow(met_blocks(at_least), f"a {key}, b {key}, jaccard double")
 
 
 def set_links(sets: DataFrame, at_least: float) -> tuple[DataFrame, DataFrame]:
@@ -294,16 +335,25 @@ def jaccard_pairs(memberships: DataFrame, at_least: float = 0.0, key: str = "id"
 
 
 def expanded(pairs: DataFrame, twins: DataFrame) -> DataFrame:
-    """a, b, jaccard of all pairs a < b of ids, given those of unlike sets and each id's twin."""
-    of = lambda end: twins.select(F.col("id").alias(f"{end}_id"), F.col("twin").alias(end))
-    unlike = pairs.join(of("a"), "a").join(of("b"), "b").select("a_id", "b_id", "jaccard")
-    like = of("a").join(of("b"), F.col("a") == F.col("b")).where("a_id < b_id").select("a_id", "b_id", F.lit(1.0).alias("jaccard"))
-    return unlike.union(like).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "jaccard")
+    """a, b, jaccard of all pairs a < b of ids, given those of unlike sets and each id's twin.
+
+    The ids of a twin are dealt into lists of at most BLOCK, and pairs become pairs of lists; pairs of ids, which may be many
+    times as many, are made last and not shuffled. The lists of one twin meet in groups of their own."""
+    nth = F.row_number().over(Window.partitionBy("twin").orderBy("id"))
+    listed = twins.withColumn("part", F.floor((nth - 1) / BLOCK).cast("int")).groupBy("twin", "part").agg(F.collect_list("id").alias("ids"))
+    of = lambda end: listed.select(F.col("twin").alias(end), F.col("part").alias(f"{end}_part"), F.col("ids").alias(f"{end}_ids"))
+    unlike = pairs.join(of("a"), "a").join(of("b"), "b")
+    several = of("b").where("b_part > 0 OR size(b_ids) > 1")
+    alike = of("a").join(several, (F.col("a") == F.col("b")) & (F.col("a_part") <= F.col("b_part"))).repartition("a", "a_part", "b_part")
+    ids = lambda df, jaccard: df.select(jaccard, "b_ids", F.explode("a_ids").alias("a")).select("jaccard", "a", F.explode("b_ids").alias("b"))
+    like = ids(alike, F.lit(1.0).alias("jaccard")).where("a < b")
+    return ids(unlike, F.col("jaccard")).union(like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
 
 
 def cluster_links(pairs: DataFrame, twins: DataFrame) -> DataFrame:
     """a, b, jaccard: pairs, and each id with its twin, which hang together what all pairs would."""
-    return pairs.union(twins.where("id <> twin").select(F.col("twin").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
+    alike = twins.where("id <> twin").select(F.col("twin").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return pairs.select("a", "b", "jaccard").union(alike)
 
 
 def clusters(nodes: DataFrame, pairs: DataFrame, threshold: float = 0.9) -> DataFrame:

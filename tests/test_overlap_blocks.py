@@ -1,0 +1,87 @@
+"""All pairs of a wide component, by blocks whose counts are products of matrices, and ids of like sets put in at the end."""
+
+import random
+import time
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from termdrift.operators import overlap
+from termdrift.scratch import Scratch
+
+
+def near_copies(n, size, seed=7):
+    """Sets that each differ from the first in up to ten items."""
+    rng, sets = random.Random(seed), {0: set(range(size))}
+    for k in range(1, n):
+        sets[k] = (sets[0] - set(rng.sample(range(size), rng.randrange(6)))) | {1000 * k + i for i in range(rng.randrange(1, 6))}
+    return sets
+
+
+def given(spark, sets):
+    return spark.createDataFrame([(k, len(s), [str(x) for x in s]) for k, s in sets.items()], "k long, n int, items array<string>")
+
+
+def brute(sets, at_least):
+    every = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    return {p: j for p, j in every.items() if j >= at_least}
+
+
+def star(spark, sets):
+    return spark.createDataFrame([(0, k, len(sets[0]), len(sets[k])) for k in sets if k], "a long, b long, m int, n int")
+
+
+def test_a_wide_component_takes_seconds(spark):
+    """Set by set, the 179,700 pairs of 600 sets of 400 items took one task minutes."""
+    sets = near_copies(600, 400)
+    held, began = given(spark, sets).repartition(4).cache(), time.time()
+    with Scratch(spark, "wide") as scratch:
+        got = overlap.within(held, star(spark, sets), 0.97, scratch).collect()
+    assert time.time() - began < 70  # 23 s, 115 s set by set
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == brute(sets, 0.97)
+
+
+@pytest.mark.parametrize("block, items", [(1024, 150), (3, 1 << 20), (4, 450), (1024, 1)])
+def test_blocks_by_sets_and_items_lose_no_pair(spark, monkeypatch, block, items):
+    sets = near_copies(11, 60) | {50: set(range(200)) | {-1}}  # one set larger than the others
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "ITEMS", items)
+    links = star(spark, sets)
+    with Scratch(spark, "blocks") as scratch:
+        got = overlap.within(given(spark, sets), links, 0.2, scratch).collect()
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == brute(sets, 0.2) and len(got) == 12 * 11 // 2
+
+
+def test_counts_are_the_same_however_few_cells_are_made_at_once():
+    sets = near_copies(12, 40)
+    lists = pa.array([[str(x) for x in sets[k]] for k in sets])
+    want = [[len(sets[a] & sets[b]) for b in (1, 2, 11)] for a in (0, 5)]
+    for cells in (1, 100, 1 << 22):
+        assert overlap.in_common(lists, [0, 5], [1, 2, 11], cells).tolist() == want
+    nested = pa.array([[{"x": i, "y": "a"} for i in sorted(sets[k])] for k in sets])
+    assert overlap.in_common(nested, [0, 5], [1, 2, 11]).tolist() == want
+    assert overlap.in_common(pa.array([["a"], ["b"], []]), [0, 2], [1]).tolist() == [[0], [0]]
+
+
+@pytest.mark.parametrize("block", [1, 2, 1024])
+def test_ids_of_like_sets_are_all_put_in(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    twins = {i: 0 for i in range(0, 14, 2)} | {1: 1, 3: 1, 99: 1, 5: 5, 7: 7, 98: 7}
+    pairs = {(0, 1): 0.95, (1, 5): 0.9, (0, 5): 0.91}
+    want = {(a, b): 1.0 if twins[a] == twins[b] else pairs.get(tuple(sorted((twins[a], twins[b])))) for a in twins for b in twins if a < b}
+    got = overlap.expanded(
+        spark.createDataFrame([(*p, j) for p, j in pairs.items()], "a long, b long, jaccard double"), spark.createDataFrame(list(twins.items()), "id long, twin long")
+    ).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got})
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == {p: j for p, j in want.items() if j}
+
+
+def test_string_ids_and_nested_items(spark):
+    sets = {f"t{k}": {(i, "x") for i in range(20)} | ({(k, "y")} if k else set()) for k in range(6)}
+    rows = [(k, {"u": i, "v": v}) for k, s in sets.items() for i, v in s]
+    items = spark.createDataFrame(rows, "id string, item struct<u: int, v: string>")
+    got = {(r["a"], r["b"]): r["jaccard"] for r in overlap.jaccard_pairs(items, 0.85).collect()}
+    assert got == {(a, b): pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
+    links, twins = overlap.jaccard_links(items, 0.85)
+    assert overlap.cluster_links(links, twins).where(F.col("jaccard") >= 0.85).count() == len(got)
